@@ -1 +1,12 @@
-"""Part of taleweave; see the README for the layout."""
+"""Registered queries: each module applies operators to the supplied tables and gives the equivalent SQL."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES: tuple[str, ...] = ()
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
