@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.llm import mixing, near_dup, piece_fst, quality, sharding, token_counts, token_files, topk
+from taleweave.llm import licences, lm, mixing, near_dup, piece_fst, quality, sharding, token_counts, token_files, topk
 
 END_ID, WORD_VOCABULARY, LIMIT = 2, 49_408, 512
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -36,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return piece_fst.encode_documents(_documents(spark, sf_dir), path, keep_ids=False)
@@ -55,14 +59,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), F.col("fits")[0].alias("chars_within"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/language/hundred; every tenth one stands for a licence file."""
+    name = F.concat(F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE-")).otherwise(F.lit("text-")), F.col("doc_id").cast("string"))
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), hundred, name)
+    return licences.scan(_documents(spark, sf_dir).withColumn("path", path), keep=("doc_id",)).drop("cosine")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_token_files": op2_token_files,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
+    "op5_language_model": op5_language_model,
     "op6_pieces": op6_pieces,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_shards": op8_shards,
+    "op10_licences": op10_licences,
     "op9_token_counts": op9_token_counts,
 }
 
