@@ -9,7 +9,6 @@ from taleweave.functions import text as fn
 from taleweave.plans.common import S, pick, sql_list, sql_pick, sql_squeeze, sql_text, sql_trim, table
 from taleweave.registry import query
 
-ID, TEXT = F.col("doc_id"), F.col("text")
 _SPLIT = rf"list_filter(regexp_split_to_array(%s, '{S}+'), lambda w: w <> '')"
 _EDGE = r"[^\p{L}\p{N}''’]"
 
@@ -27,7 +26,7 @@ TITLES = ("A Night at Sea", "Chương 3", "Storm?", "One", "", None, "a b c d e
 
 @query("p19_headline", rf"SELECT doc_id, regexp_matches(line, '^{S}*(?:Chương|Chapter){S}*[0-9]') AS headline FROM (SELECT doc_id, {sql_pick(('Chapter 1: ', ' Chương 12', 'chapter 3', 'Chapter one'), 'doc_id')} || text AS line FROM documents)")
 def headline(spark, sf_dir):
-    line = F.concat(pick(("Chapter 1: ", " Chương 12", "chapter 3", "Chapter one"), ID), TEXT)
+    line = F.concat(pick(("Chapter 1: ", " Chương 12", "chapter 3", "Chapter one"), F.col("doc_id")), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", fn.headline(line).alias("headline"))
 
 
@@ -83,7 +82,7 @@ def speakable(spark, sf_dir):
 
 @query("p38_inline_tags", rf"SELECT doc_id, tags FROM (SELECT doc_id, regexp_extract_all({sql_pick(('[sigh] a [b c]', '[]x', 'plain [open', ''), 'doc_id')} || text, '\[([^\]]*)\]', 1) AS tags FROM documents)")
 def inline_tags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.inline_tags(F.concat(pick(("[sigh] a [b c]", "[]x", "plain [open", ""), ID), TEXT)).alias("tags"))
+    return docs(spark, sf_dir).select("doc_id", fn.inline_tags(F.concat(pick(("[sigh] a [b c]", "[]x", "plain [open", ""), F.col("doc_id")), F.col("text"))).alias("tags"))
 
 
 def sql_fold(x: str) -> str:
@@ -99,7 +98,7 @@ _CANON = (
 
 @query("p39_diacritic_filter", f"SELECT doc_id, contains({sql_fold('name')}, 'an') AS hit FROM (SELECT doc_id, {sql_pick(NAMES, 'doc_id')} AS name FROM documents)")
 def diacritic_filter(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.contains(fn.fold(pick(NAMES, ID)), fn.fold(F.lit("ÂN"))).alias("hit"))
+    return docs(spark, sf_dir).select("doc_id", F.contains(fn.fold(pick(NAMES, F.col("doc_id"))), fn.fold(F.lit("ÂN"))).alias("hit"))
 
 
 @query(
@@ -109,7 +108,7 @@ def diacritic_filter(spark, sf_dir):
     FROM (SELECT doc_id, lower({sql_trim(sql_pick(NAMES, 'doc_id'))}) AS low FROM documents)""",
 )
 def alias_stop(spark, sf_dir):
-    name = pick(NAMES, ID)
+    name = pick(NAMES, F.col("doc_id"))
     return docs(spark, sf_dir).select("doc_id", F.lower(F.trim(name)).isin(*fn.TITLE_SUFFIXES).alias("bare_title"), fn.descriptive(name).alias("descriptive"))
 
 
@@ -139,8 +138,8 @@ _COPIED = rf"regexp_replace({sql_trim(chr(34) + 'rest' + chr(34))}, '[ .…]+\z'
       FROM (SELECT doc_id, {sql_pick(TITLES, 'doc_id')} AS title, 'Chapter 9: ' || {sql_pick(('The Long Road...', 'x y', 'A Night at Sea'), 'doc_id')} AS head FROM documents))""",
 )
 def title_rules(spark, sf_dir):
-    head = F.concat(F.lit("Chapter 9: "), pick(("The Long Road...", "x y", "A Night at Sea"), ID))
-    return docs(spark, sf_dir).select("doc_id", fn.title_fault(pick(TITLES, ID), head).alias("fault"))
+    head = F.concat(F.lit("Chapter 9: "), pick(("The Long Road...", "x y", "A Night at Sea"), F.col("doc_id")))
+    return docs(spark, sf_dir).select("doc_id", fn.title_fault(pick(TITLES, F.col("doc_id")), head).alias("fault"))
 
 
 @query(
@@ -148,7 +147,7 @@ def title_rules(spark, sf_dir):
     r"SELECT doc_id, list_filter(list_distinct_ordered, lambda w: w <> 'đen') AS words FROM (SELECT doc_id, list_filter(regexp_split_to_array(name, '[^\p{L}]+'), lambda w: regexp_matches(w, '[" + "".join(fn.FOLDS.values()) + rf"]')) AS list_distinct_ordered FROM (SELECT doc_id, {sql_pick(NAMES, 'doc_id')} AS name FROM documents))",
 )
 def foreign_words(spark, sf_dir):
-    marked = F.filter(F.split(pick(NAMES, ID), r"[^\p{L}]+"), lambda w: w.rlike("[" + "".join(fn.FOLDS.values()) + "]") & (w != "đen"))
+    marked = F.filter(F.split(pick(NAMES, F.col("doc_id")), r"[^\p{L}]+"), lambda w: w.rlike("[" + "".join(fn.FOLDS.values()) + "]") & (w != "đen"))
     return docs(spark, sf_dir).select("doc_id", marked.alias("words"))
 
 
@@ -161,23 +160,23 @@ _LEADS = ("hắn Nói : ", "she walked in:", "Lão thì thầm ", "quiet. ")
     FROM (SELECT doc_id, {sql_pick(_LEADS, 'doc_id')} AS lead FROM documents)""",
 )
 def speech_attribution(spark, sf_dir):
-    lead = pick(_LEADS, ID)
+    lead = pick(_LEADS, F.col("doc_id"))
     return docs(spark, sf_dir).select("doc_id", fn.attributes_speech(lead).alias("attributes"), fn.hands_off(lead).alias("hands_off"))
 
 
 @query("f03_sentences", rf"SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS s FROM documents))")
 def sentences(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(fn.sentences(TEXT)).alias("pos", "sentence"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(fn.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query("f05_sentence_ends", rf"SELECT doc_id, len(regexp_extract_all(text, '[.!?…]')) AS ends, regexp_matches(text, '[.!?…][\"”’'')\]»]*{S}*\z') AS closed FROM documents")
 def sentence_ends(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.sentence_ends(TEXT).cast("long").alias("ends"), fn.ends_sentence(TEXT).alias("closed"))
+    return docs(spark, sf_dir).select("doc_id", fn.sentence_ends(F.col("text")).cast("long").alias("ends"), fn.ends_sentence(F.col("text")).alias("closed"))
 
 
 @query("f08_minor_parts", rf"SELECT doc_id, list_filter(string_split(regexp_replace(text, '([,;:\-–—]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents")
 def minor_parts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.minor_parts(TEXT).alias("parts"))
+    return docs(spark, sf_dir).select("doc_id", fn.minor_parts(F.col("text")).alias("parts"))
 
 
 _GAP = rf"CASE WHEN regexp_matches(x, '[.!?]{S}*\z') THEN 'sentence' ELSE 'minor' END"
@@ -188,7 +187,7 @@ _GAP = rf"CASE WHEN regexp_matches(x, '[.!?]{S}*\z') THEN 'sentence' ELSE 'minor
     rf"SELECT doc_id, gaps, list_transform(gaps, lambda g: CASE g WHEN 'para' THEN 0.7::DOUBLE WHEN 'minor' THEN 0.3 ELSE 0.5 END) AS pauses FROM (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(text, '([,;:\-–—]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: {_GAP}) AS gaps FROM documents)",
 )
 def gap_classes(spark, sf_dir):
-    gaps = docs(spark, sf_dir).select("doc_id", F.transform(fn.minor_parts(TEXT), fn.gap_class).alias("gaps"))
+    gaps = docs(spark, sf_dir).select("doc_id", F.transform(fn.minor_parts(F.col("text")), fn.gap_class).alias("gaps"))
     return gaps.withColumn("pauses", F.transform("gaps", fn.gap_seconds))
 
 
@@ -197,18 +196,18 @@ _CUES = ("[sigh] so <|emotion_3|> then", "<|emotion_|>a[b", "no cue", "a[laugh][
 
 @query("f11_emotion_parts", r"SELECT doc_id, list_filter(string_split(regexp_replace(x, '(\[[^\]]*\]|<\|emotion_[0-9]*\|>)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') AS parts FROM " + f"(SELECT doc_id, {sql_pick(_CUES, 'doc_id')} AS x FROM documents)")
 def emotion_parts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.emotion_parts(pick(_CUES, ID)).alias("parts"))
+    return docs(spark, sf_dir).select("doc_id", fn.emotion_parts(pick(_CUES, F.col("doc_id"))).alias("parts"))
 
 
 @query("f16_canon_key", f"SELECT doc_id, {_CANON} AS key FROM (SELECT doc_id, {sql_squeeze(sql_pick(NAMES, 'doc_id'))} AS s FROM documents)")
 def canon_key(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.canon_key(pick(NAMES, ID)).alias("key"))
+    return docs(spark, sf_dir).select("doc_id", fn.canon_key(pick(NAMES, F.col("doc_id"))).alias("key"))
 
 
 @query("f17_corrected_source", "SELECT doc_id, replace(replace(replace(text, 'the', 'THE'), 'THEre', 'there'), 'on', '0n') AS text FROM documents")
 def corrected_source(spark, sf_dir):
     fixes = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in (("the", "THE"), ("THEre", "there"), ("", "x"), ("on", "0n"))])
-    fixed = F.aggregate(fixes, TEXT, lambda t, f: F.when(f["before"] != "", F.replace(t, f["before"], f["after"])).otherwise(t))
+    fixed = F.aggregate(fixes, F.col("text"), lambda t, f: F.when(f["before"] != "", F.replace(t, f["before"], f["after"])).otherwise(t))
     return docs(spark, sf_dir).select("doc_id", fixed.alias("text"))
 
 
@@ -217,7 +216,7 @@ _WORDS = r"list_filter(regexp_split_to_array(%s, '[^\p{L}\p{N}]+'), lambda w: w
 
 @query("f18_words", f"SELECT doc_id, {_WORDS % 'text'} AS words FROM documents")
 def words(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.words(TEXT).alias("words"))
+    return docs(spark, sf_dir).select("doc_id", fn.words(F.col("text")).alias("words"))
 
 
 @query(
@@ -229,13 +228,13 @@ def words(spark, sf_dir):
 def word_alignment(spark, sf_dir):
     from taleweave.operators.script import alignment
 
-    got = F.when(ID % 4 == 0, TEXT).when(ID % 4 == 1, F.upper(TEXT)).when(ID % 4 == 2, F.concat(TEXT, F.lit(" extra"))).otherwise(F.replace(TEXT, F.lit("the"), F.lit("teh")))
-    return docs(spark, sf_dir).select("doc_id", alignment(fn.words(TEXT), fn.words(got)).alias("alignment"))
+    got = F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, F.upper(F.col("text"))).when(F.col("doc_id") % 4 == 2, F.concat(F.col("text"), F.lit(" extra"))).otherwise(F.replace(F.col("text"), F.lit("the"), F.lit("teh")))
+    return docs(spark, sf_dir).select("doc_id", alignment(fn.words(F.col("text")), fn.words(got)).alias("alignment"))
 
 
 @query("f20_fold", f"SELECT doc_id, {sql_fold(sql_pick(NAMES, 'doc_id') + ' || text')} AS folded FROM documents")
 def fold(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.fold(F.concat(pick(NAMES, ID), TEXT)).alias("folded"))
+    return docs(spark, sf_dir).select("doc_id", fn.fold(F.concat(pick(NAMES, F.col("doc_id")), F.col("text"))).alias("folded"))
 
 
 @query(
@@ -254,7 +253,7 @@ def head_chars(spark, sf_dir):
 
 @query("f24_speak_as_declared", "SELECT doc_id, CASE WHEN instr(text, 'the') > 0 THEN substr(text, 1, instr(text, 'the') - 1) || '[cough]' || substr(text, instr(text, 'the') + 3) ELSE text END AS text FROM documents")
 def speak_as_declared(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.replace_first(TEXT, F.lit("the"), F.lit("[cough]")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", fn.replace_first(F.col("text"), F.lit("the"), F.lit("[cough]")).alias("text"))
 
 
 _FILES = ("Ch.17 - A Title.mp3", "Ch.x - B.mp3", "Ch.2 - C.wav", "ch34.txt", "034 - Tên.txt", "part-7.5.txt", "0.txt", "none", "Ch.5 - A - B.mp3")
@@ -262,7 +261,7 @@ _FILES = ("Ch.17 - A Title.mp3", "Ch.x - B.mp3", "Ch.2 - C.wav", "ch34.txt", "03
 
 @query("f25_output_name", rf"SELECT doc_id, CAST(nullif(regexp_extract(f, '^Ch\.([0-9]+) - .*\.mp3\z', 1), '') AS INTEGER) AS number, nullif(regexp_extract(f, '^Ch\.[0-9]+ - (.*)\.mp3\z', 1), '') AS title FROM (SELECT doc_id, {sql_pick(_FILES, 'doc_id')} AS f FROM documents)")
 def output_name(spark, sf_dir):
-    f = pick(_FILES, ID)
+    f = pick(_FILES, F.col("doc_id"))
     number, title = F.regexp_extract(f, r"^Ch\.([0-9]+) - .*\.mp3\z", 1), F.regexp_extract(f, r"^Ch\.[0-9]+ - (.*)\.mp3\z", 1)
     return docs(spark, sf_dir).select("doc_id", number.try_cast("int").alias("number"), F.nullif(title, F.lit("")).alias("title"))
 
@@ -274,7 +273,7 @@ def output_name(spark, sf_dir):
     FROM (SELECT doc_id, regexp_replace({sql_pick(_FILES, 'doc_id')}, '(.)\.[^.]*\z', '\1') AS stem FROM documents)""",
 )
 def number_in_name(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.number_in_name(pick(_FILES, ID)).alias("number"))
+    return docs(spark, sf_dir).select("doc_id", fn.number_in_name(pick(_FILES, F.col("doc_id"))).alias("number"))
 
 
 @query("f27_sample_tags", "SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || '-' || p_partkey || '_' || p_name, '[-_ ]'), lambda w: lower(trim(w, ' '))), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')) AS words FROM part")
@@ -294,12 +293,12 @@ _RAW = ('```json\n{"a": 1}\n```', '﻿{"b": [1, 2,]}', ' {"c": {"d": 1,},} ', "`
 
 @query("f33_strip_fences", rf"SELECT doc_id, {sql_trim(rf'''regexp_replace(regexp_replace(regexp_replace({sql_trim('raw')}, '^﻿+', ''), '^```json', ''), '```\z', '')''')} AS body FROM (SELECT doc_id, [{', '.join('E' + sql_text(r.replace(chr(10), chr(92) + 'n')) for r in _RAW)}][doc_id % 4 + 1] AS raw FROM documents)")
 def strip_fences(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", fn.strip_fences(pick(_RAW, ID)).alias("body"))
+    return docs(spark, sf_dir).select("doc_id", fn.strip_fences(pick(_RAW, F.col("doc_id"))).alias("body"))
 
 
 @query("f35_comma_repair", rf"SELECT doc_id, regexp_replace({sql_pick(_RAW[1:3], 'doc_id')}, ',{S}*([}}\]])', '\1', 'g') AS body FROM documents")
 def comma_repair(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.regexp_replace(pick(_RAW[1:3], ID), rf",{S}*([}}\]])", "$1").alias("body"))
+    return docs(spark, sf_dir).select("doc_id", F.regexp_replace(pick(_RAW[1:3], F.col("doc_id")), rf",{S}*([}}\]])", "$1").alias("body"))
 
 
 _SEAMS = (None, "door, bell", "none", "tags: slash , sword", "tags:", " wind ")
@@ -315,13 +314,13 @@ _SEAMS = (None, "door, bell", "none", "tags: slash , sword", "tags:", " wind ")
 def seam_value(spark, sf_dir):
     from taleweave.operators.script import seam
 
-    kind, parts = seam(pick(_SEAMS, ID))
+    kind, parts = seam(pick(_SEAMS, F.col("doc_id")))
     return docs(spark, sf_dir).select("doc_id", kind.alias("kind"), parts.alias("parts"))
 
 
 @query("u01_word_set", r"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> ''))) AS words FROM documents")
 def word_set(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_sort(fn.letter_words(TEXT)).alias("words"))
+    return docs(spark, sf_dir).select("doc_id", F.array_sort(fn.letter_words(F.col("text"))).alias("words"))
 
 
 _TAGS = (["Elderly", " powerful "], ["old", "elderly", "Dark Cave"], ["x", ""], ["weak"])
@@ -333,7 +332,7 @@ _TAGS = (["Elderly", " powerful "], ["old", "elderly", "Dark Cave"], ["x", ""],
     FROM (SELECT doc_id, list_transform([{', '.join(sql_list(t) for t in _TAGS)}][doc_id % 4 + 1], lambda x: replace(lower(trim(x, ' ')), ' ', '-')) AS t FROM documents)""",
 )
 def normal_tags(spark, sf_dir):
-    tags = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t]) for t in _TAGS]), (ID % 4 + 1).cast("int"))
+    tags = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t]) for t in _TAGS]), (F.col("doc_id") % 4 + 1).cast("int"))
     return docs(spark, sf_dir).select("doc_id", F.slice(fn.normal_tags(tags), 1, 1).alias("first_tag"))
 
 
@@ -344,11 +343,11 @@ def token_estimate(spark, sf_dir):
 
 @query("v10_inline_tag_refusal", rf"SELECT doc_id FROM documents WHERE regexp_matches({sql_pick(('[sigh] ', '', '[', 'a[b]'), 'doc_id')} || text, '\[[^\]]*\]')")
 def inline_tag_refusal(spark, sf_dir):
-    text = F.concat(pick(("[sigh] ", "", "[", "a[b]"), ID), TEXT)
+    text = F.concat(pick(("[sigh] ", "", "[", "a[b]"), F.col("doc_id")), F.col("text"))
     return docs(spark, sf_dir).where(F.size(fn.inline_tags(text)) > 0).select("doc_id")
 
 
 @query("v05_nonverbal", "SELECT doc_id, (length(text) - length(replace(text, 'and', ''))) // 3 AS hits, doc_id % 3 <> 0 AND (length(text) - length(replace(text, 'and', ''))) // 3 = 1 AS valid FROM documents")
 def nonverbal(spark, sf_dir):
-    hits = F.floor((F.length("text") - F.length(F.replace(TEXT, F.lit("and"), F.lit("")))) / 3)
-    return docs(spark, sf_dir).select("doc_id", hits.alias("hits"), ((ID % 3 != 0) & (hits == 1)).alias("valid"))
+    hits = F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.lit("and"), F.lit("")))) / 3)
+    return docs(spark, sf_dir).select("doc_id", hits.alias("hits"), ((F.col("doc_id") % 3 != 0) & (hits == 1)).alias("valid"))
