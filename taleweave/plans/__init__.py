@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("web", "text", "timeline")
+MODULES: tuple[str, ...] = ("web", "text", "timeline", "match")
 
 
 def load() -> None:
