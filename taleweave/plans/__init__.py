@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("web", "text", "timeline", "match")
+MODULES: tuple[str, ...] = ("web", "text", "timeline", "match", "ledger")
 
 
 def load() -> None:
