@@ -173,6 +173,7 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def accepted(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of documents that judge() keeps. Texts are read once to fit and once to judge, and never shuffled."""
-    fitted = fit(written(_described(documents, []), "quality"))
-    return _judged(_described(documents, documents.columns), fitted, cutoff).where("kept").select(*documents.columns)
+    """The rows of documents that judge() keeps. Texts are read once and written next to their statistics; a filter on
+    statistics that were not written would be pushed down and repeat their whole expression for every use."""
+    described = written(_described(documents, documents.columns), "quality")
+    return _judged(described, fit(described), cutoff).where("kept").select(*documents.columns)
