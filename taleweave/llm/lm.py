@@ -30,7 +30,7 @@ from taleweave.scratch import written
 
 END = b""
 DICTIONARY, WORD_BYTES, SYMBOLS = 262_144, 64, 1_023
-ROUNDS, LEARN_TOKENS, SCORE_TOKENS = 3, 400_000, 1_000_000
+ROUNDS, LEARN_TOKENS, SCORE_TOKENS = 3, 1_000_000, 4_000_000
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 500_000
 SLICES, LOTS = 32, 1024

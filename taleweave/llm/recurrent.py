@@ -14,9 +14,11 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASSES, WINDOW = 16, 32, 16
-TRAIN_LANES, SCORE_LANES = 128, 512
+HIDDEN, CLASSES, WINDOW = 16, 32, 32
+TRAIN_LANES, SCORE_LANES = 256, 512
 RATE, CLIP = 0.05, 1.0
+#: A longer document is learnt in segments, each from an empty state, so that it does not keep one lane alone at work.
+SEGMENT = 2_048
 
 
 def class_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -40,6 +42,19 @@ def lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
     return out
 
 
+def exp_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits) and its row sums, up to a factor of each row that ends up in both; logits are changed to match."""
+    logits -= logits.max()  # one maximum for all is many times faster than one a row
+    e = np.exp(logits)
+    total = e @ np.ones(e.shape[1], np.float32)
+    low = np.flatnonzero(total < 1e-25)
+    if len(low):
+        own = logits[low] - logits[low].max(axis=1, keepdims=True)
+        logits[low], e[low] = own, np.exp(own)
+        total[low] = e[low].sum(axis=1)
+    return e, total
+
+
 class Model:
     """Parameters by name in self.p; input symbol before the first token of a document is `start`."""
 
@@ -110,9 +125,7 @@ class Model:
         """Log probabilities of targets given states s (tokens, HIDDEN); with learn also gradients of their negative sum."""
         p = self.p
         logits = s @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        e, total = exp_sums(logits)
         cls, rows = self.cls[target], np.arange(len(target))
         out = logits[rows, cls] - np.log(total)
         grads, ds = {}, None
@@ -129,9 +142,8 @@ class Model:
                 own, a, b = order[begin:end], self.offsets[k], self.offsets[k + 1]
                 w, sk, at = p["word_w"][:, a:b], s[own], self.within[target[own]]
                 l = sk @ w + p["word_b"][a:b]
-                l -= l.max(axis=1, keepdims=True)
-                e, i = np.exp(l), np.arange(end - begin)
-                total = e.sum(axis=1)
+                e, total = exp_sums(l)
+                i = np.arange(end - begin)
                 out[own] += l[i, at] - np.log(total)
                 if learn:
                     e /= total[:, None]
@@ -186,8 +198,9 @@ class Model:
 
     # ---- documents ----------------------------------------------------------------------------------------------
 
-    def _windows(self, docs: list[np.ndarray], width: int):
-        """(lanes on, given, target, first, doc) of every window, the last four as (steps, lanes); doc is -1 past a lane's end."""
+    def _windows(self, docs: list[np.ndarray], heads: np.ndarray, width: int):
+        """(lanes on, given, target, first, doc) of every window, the last four as (steps, lanes); doc is -1 past a lane's
+        end. heads: the symbol before each document."""
         own = lanes(np.array([len(d) for d in docs]), width)
         order = [d for mine in own for d in mine]
         sizes = np.array([len(docs[d]) for d in order])
@@ -196,7 +209,7 @@ class Model:
         first = np.zeros(len(target), bool)
         first[np.cumsum(sizes) - sizes] = True
         given = np.concatenate([target[:1], target[:-1]])
-        given[first] = self.start
+        given[first] = heads[order]
         length = np.array([sum(len(docs[d]) for d in mine) for mine in own])
         begin = np.cumsum(length) - length
         for t in range(0, int(length.max()), WINDOW):
@@ -208,15 +221,17 @@ class Model:
 
     def train(self, docs: list[np.ndarray]) -> int:
         """One pass over documents (arrays of symbols, none empty); returns the tokens seen."""
-        h = np.zeros((min(TRAIN_LANES, len(docs)), HIDDEN), np.float32)
-        for on, given, target, first, doc in self._windows(docs, TRAIN_LANES):
+        parts = [d[k : k + SEGMENT] for d in docs for k in range(0, len(d), SEGMENT)]
+        heads = np.array([d[k - 1] if k else self.start for d in docs for k in range(0, len(d), SEGMENT)])
+        h = np.zeros((min(TRAIN_LANES, len(parts)), HIDDEN), np.float32)
+        for on, given, target, first, doc in self._windows(parts, heads, TRAIN_LANES):
             h[on] = self._learn(given, target, first, doc >= 0, h[on])
         return sum(map(len, docs))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of every document."""
         out, h = np.zeros(len(docs)), np.zeros((min(SCORE_LANES, len(docs)), HIDDEN), np.float32)
-        for on, given, target, first, doc in self._windows(docs, SCORE_LANES):
+        for on, given, target, first, doc in self._windows(docs, np.full(len(docs), self.start), SCORE_LANES):
             states, h[on], _ = self._steps(given, first, h[on], False)
             where = np.flatnonzero(doc.ravel() >= 0)
             found, _, _ = self._output(states.reshape(-1, HIDDEN)[where], target.ravel()[where], False)
