@@ -10,7 +10,7 @@ for vectors that can still compete, ties included. Shards give k rows each and a
 
 Queries and shards meet in blocks of bounded size, one task row per (shard, query block). Vectors that are null or hold
 a null or non-finite component, or a null id, take no part. Vectors of another length than a query's do not meet it.
-Repeated ids count as rows of their own, apart from the query's own id. No candidates: no rows.
+Repeated ids count as rows of their own, apart from the query's own id. No candidates: no rows. Scores must fit a long.
 """
 
 from __future__ import annotations
