@@ -11,7 +11,8 @@ language and source gets a minimum-covariance-determinant estimate:
 3. the covariance is scaled so that its median distance is that of a normal vector, and a document is rejected at a
    squared Mahalanobis distance over CUTOFF.
 
-Every step is one aggregation of sums per group with the quantile from a mergeable sketch, so no task holds a group.
+Every step is one aggregation of sums per group with the quantile from a mergeable sketch, and the joins of documents
+with their group's estimate are salted, so no task holds a group, not even that of all documents.
 Most documents have no symbols and no repeats, so the covariance of the half would be singular: FLOOR is added to each
 component's variance. Groups of fewer than LEAST documents are judged with the estimate of all documents together.
 Distances are whitened through a Cholesky factor, written out for the five components.
@@ -33,7 +34,7 @@ WINDOW = 8
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FLOOR = (0.25, 0.05, 0.05, 0.05, 0.05)
-STEPS, LEAST = 3, 60
+STEPS, LEAST, SALTS = 3, 60, 32
 #: The median of chi-square with five degrees of freedom. Statistics of good text have long tails: the labelled good
 #: documents of the test tables reach 190, symbol junk starts at 700, and the bound lies between.
 MEDIAN, CUTOFF = 4.3515, 300.0
@@ -115,12 +116,16 @@ def _with_factor(estimate: DataFrame, d: int) -> DataFrame:
     return estimate.drop(*[f"c{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
+def _salted(estimate: DataFrame) -> DataFrame:
+    return estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _measured(points: DataFrame, estimate: DataFrame) -> DataFrame:
-    return points.join(estimate, "grp").withColumn("d2", _distance(len(FEATURES)))
+    return points.join(_salted(estimate), ["grp", "salt"]).withColumn("d2", _distance(len(FEATURES)))
 
 
 def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
-    """points: grp, f0.. ; per grp: m*, l**, scale (what a squared distance is divided by) and docs."""
+    """points: grp, salt, f0.. ; per grp: m*, l**, scale (what a squared distance is divided by) and docs."""
     d = range(len(FEATURES))
     quartiles = [F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
     start = points.groupBy("grp").agg(*quartiles)
@@ -130,7 +135,7 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         measured = _measured(points, estimate)
         half = measured.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
-        sums = measured.join(half, "grp").where("d2 <= half").groupBy("grp").agg(
+        sums = measured.join(_salted(half), ["grp", "salt"]).where("d2 <= half").groupBy("grp").agg(
             *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
             *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1)],
         )
@@ -146,13 +151,13 @@ def _group() -> Column:
 
 
 def _described(documents: DataFrame, keep: list[str]) -> DataFrame:
-    stats = statistics(documents.select(*dict.fromkeys([*keep, "text", "lang", "source"])))
-    return stats.select(*keep, *STATISTICS, _group().alias("grp"), base_failed().alias("base_failed"), *[x.alias(f) for f, x in zip(FEATURES, features(), strict=True)])
+    stats = statistics(documents.select(*dict.fromkeys([*keep, "doc_id", "text", "lang", "source"])))
+    return stats.select(*keep, *STATISTICS, _group().alias("grp"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"), base_failed().alias("base_failed"), *[x.alias(f) for f, x in zip(FEATURES, features(), strict=True)])
 
 
 def fit(described: DataFrame) -> DataFrame:
     """Estimate of every group in described; groups of fewer than LEAST usable documents get that of all documents."""
-    points = described.where("not base_failed").select(F.explode(F.array(F.col("grp"), F.lit("all"))).alias("grp"), *FEATURES)
+    points = described.where("not base_failed").select(F.explode(F.array(F.col("grp"), F.lit("all"))).alias("grp"), "salt", *FEATURES)
     found = written(estimates(points), "mcd")
     own = found.where((F.col("docs") >= LEAST) & (F.col("grp") != "all"))
     lone = described.select("grp").distinct().join(own.select("grp"), "grp", "left_anti")
@@ -161,7 +166,7 @@ def fit(described: DataFrame) -> DataFrame:
 
 
 def _judged(described: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:
-    judged = described.join(fitted, "grp", "left")
+    judged = described.join(_salted(fitted), ["grp", "salt"], "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance(len(FEATURES)) / F.col("scale")))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
@@ -174,6 +179,8 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 def accepted(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of documents that judge() keeps. Texts are read once and written next to their statistics; a filter on
-    statistics that were not written would be pushed down and repeat their whole expression for every use."""
-    described = written(_described(documents, documents.columns), "quality")
-    return _judged(described, fit(described), cutoff).where("kept").select(*documents.columns)
+    statistics that were not written would be pushed down and repeat their whole expression for every use. The row is one
+    column meanwhile, so that its names cannot clash."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), "doc_id", "text", "lang", "source")
+    described = written(_described(whole, ["__row"]), "quality")
+    return _judged(described, fit(described), cutoff).where("kept").select("__row.*")
