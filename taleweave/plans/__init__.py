@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("web", "text", "timeline", "match", "ledger", "numbers")
+MODULES: tuple[str, ...] = ("web", "text", "timeline", "match", "ledger", "numbers", "sequential")
 
 
 def load() -> None:
