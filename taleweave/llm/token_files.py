@@ -18,8 +18,9 @@ first and reads back as null; repeated rows are written one by one; an empty tab
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -107,33 +108,21 @@ class TokenFile:
 
 # ---- encoding ----------------------------------------------------------------------------------------------------
 
-#: Letters of the Latin blocks: for text of these alone, NFC and lower-casing work letter by letter and the vocabulary's
-#: own split is the pattern below. All other text, and text with a special token's bracket, goes to the library whole.
+#: Letters of the Latin blocks: for text of these alone, NFC and lower-casing work letter by letter, and as no piece of the
+#: vocabulary's split reaches over white space, every word between white space is encoded by itself. All other text, and
+#: text with a special token's bracket, goes to the library whole.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ž‐-‧€]*")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ž]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9\xb2\xb3\xb9\xbc-\xbea-z\xaa\xb5\xba\xdf-\xf6\xf8-ž]+")
 
 
-class WordCache(dict):
-    """Packed ids of a word as the library gives them, kept up to a number of words."""
-
-    MOST = 1_500_000
-
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
+class Encoder:
+    """Exact ids of whole texts. by_word: the vocabulary lower-cases and drops white space (see PLAIN), so the library is
+    asked once per distinct piece, for all new pieces of a text together; otherwise every text goes to the library whole.
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = out
-        return out
+    Packed ids of words and pieces are kept up to MOST; when they are full the later half goes, as frequent words come
+    early."""
 
-
-class Encoder:
-    """Exact ids of whole texts. by_word: the vocabulary lower-cases and encodes the pieces of SPLIT one by one, so that
-    the library is asked once per distinct word; otherwise every text goes to the library whole."""
+    MOST, LONG = 600_000, 48
 
     def __init__(self, path: str, by_word: bool) -> None:
         from tokenizers import Tokenizer
@@ -141,13 +130,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = WordCache(self.tokenizer) if by_word else None
+        self.words: dict[str, bytes] | None = {} if by_word else None
+        vocabulary = self.tokenizer.get_vocab() if by_word else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces of SPLIT: encoded as one text, cut after each token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(pieces) or cuts[-1] != 4 * len(ids):
+            return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        split = {w: SPLIT.findall(w) for w in new}
+        known = self.words
+        pieces = list({p for parts in split.values() for p in parts if p not in known})
+        found = dict(zip(pieces, self._pieces(pieces), strict=True)) if pieces else {}
+        for w, parts in split.items():
+            if w not in found:
+                found[w] = b"".join([found[p] if p in found else known[p] for p in parts])
+        if len(known) + len(found) > self.MOST:
+            self.words = dict(itertools.islice(known.items(), self.MOST // 2))
+        self.words.update((w, ids) for w, ids in found.items() if len(w) < self.LONG)
+        return found
 
     def __call__(self, text: str) -> bytes:
         """ids as little-endian uint32."""
         if self.words is None or "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, SPLIT.findall(text.lower())))
+        words = text.lower().split()
+        known = self.words
+        new = set(words).difference(known)
+        if new:
+            found = self._learn(list(new))
+            return b"".join([found[w] if w in found else known[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
+
+
+@functools.lru_cache(maxsize=1)
+def kept_encoder(path: str, by_word: bool) -> Encoder:
+    """One encoder per Python worker, so that its words serve all tasks that the worker runs."""
+    return Encoder(path, by_word)
 
 
 def splits_by_word(path: str) -> bool:
@@ -169,7 +195,7 @@ def write_token_files(documents: DataFrame, out: str, vocabulary_path: str, voca
     bits, by_word = width_of(vocabulary), splits_by_word(vocabulary_path)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(vocabulary_path, by_word), TaskContext.get().partitionId(), 0
+        encoder, part, number = kept_encoder(vocabulary_path, by_word), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         attempt = TaskContext.get().taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(out)
