@@ -14,7 +14,7 @@ class PrefixSegmenter:
     """vocabulary: the tokens that merging can give. rank(a, b): the priority at which a and b merge (lowest first, then
     leftmost), or None. alone: symbols that are not in the vocabulary stand for themselves and never merge."""
 
-    PAIRS = 2_000_000
+    PAIRS = 1_000_000
 
     def __init__(self, vocabulary: set[str], rank: Callable[[str, str], float | None]) -> None:
         self.vocabulary, self.rank = vocabulary, rank

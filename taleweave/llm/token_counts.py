@@ -14,6 +14,7 @@ special tokens, as is the library's default; nothing is added, cut or padded.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class PrefixCounter:
-    MOST_WORDS, LONG = 1_200_000, 48
+    MOST_WORDS, LONG = 600_000, 48
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -140,6 +141,12 @@ class PrefixCounter:
         return int(counts[-1]) if len(counts) else 0
 
 
+@functools.lru_cache(maxsize=1)
+def kept_counter(path: str) -> PrefixCounter:
+    """One counter per Python worker, so that its words serve all tasks that the worker runs."""
+    return PrefixCounter(path)
+
+
 def longest_within(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix of at most budget tokens. Counts may fall again, so the last one counts."""
     fit = np.flatnonzero(counts <= budget)
@@ -151,7 +158,7 @@ def count_tokens(documents: DataFrame, path: str, budgets: tuple[int, ...] = (51
     count at every character."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = kept_counter(path)
         for batch in batches:
             n_bytes, n_tokens, fits, every = [], [], [], []
             for text in batch.column(1).to_pylist():
