@@ -18,6 +18,7 @@ pieces. A literal mark in a text reads back as a space, so decode(encode(text))
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 class Transducer:
     """pieces: (text, score, type) by id, types numbered as in a model file."""
 
-    MOST_PARTS, LONG = 1_200_000, 48
+    MOST_PARTS, LONG = 600_000, 48
 
     def __init__(self, pieces: list[tuple[str, float, int]], pairs: bool, dummy_prefix: bool = True) -> None:
         self.pieces, self.pairs, self.dummy_prefix = pieces, pairs, dummy_prefix
@@ -114,11 +115,17 @@ class Transducer:
         return out[1:] if self.dummy_prefix and out.startswith(" ") else out
 
 
+@functools.lru_cache(maxsize=1)
+def kept_machine(path: str) -> Transducer:
+    """One machine per Python worker, so that its parts serve all tasks that the worker runs."""
+    return Transducer.load(path)
+
+
 def encode_documents(documents: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids (unless keep_ids is false), ids_crc32, round_trip (whether the ids decode to the text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer.load(path)
+        machine = kept_machine(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             packed = [machine.encode(t) for t in texts]
