@@ -17,9 +17,10 @@ VOICE = "struct<file:string,tags:array<string>,label:string,exclusive:boolean>"
 
 def chapters(spark: SparkSession, path: str) -> DataFrame:
     """n, text: one file per chapter, numbered by the digits of its name."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"([0-9]+)[^0-9]*\z", 1).try_cast("int").alias("n"), F.col("value").alias("text"))
-    return files.where("n > 0")
+    from taleweave.functions.text import number_in_name
+
+    name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    return spark.read.text(path, wholetext=True).select(number_in_name(name).alias("n"), F.col("value").alias("text")).where("n > 0")
 
 
 def documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
