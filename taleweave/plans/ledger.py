@@ -11,8 +11,8 @@ from taleweave.registry import query
 
 _STAGE, _STATE = sql_pick(op.STAGES, "(l_partkey % 4)"), sql_pick(op.STATES, "(l_suppkey + l_orderkey)")
 _TASKS = f"""tasks AS (SELECT DISTINCT ON (chapter, take, stage) * FROM (SELECT l_orderkey AS chapter, l_linenumber AS take, {_STAGE} AS stage, {_STATE} AS state, 'w' || l_suppkey % 12 AS worker,
-    CASE WHEN l_partkey % 5 = 0 THEN ['w' || l_partkey % 7] ELSE [] END AS racers, 1704000000 + l_partkey % 4000 * 700 AS lease_until, CAST(l_quantity AS BIGINT) % 16 AS attempts, l_partkey, l_suppkey FROM lineitem)
-    ORDER BY chapter, take, stage, l_partkey, l_suppkey)"""
+    CASE WHEN l_partkey % 5 = 0 THEN ['w' || l_partkey % 7] ELSE [] END AS racers, 1704000000 + l_partkey % 4000 * 700 AS lease_until, CAST(l_quantity AS BIGINT) % 16 AS attempts, l_partkey, l_suppkey, l_quantity FROM lineitem)
+    ORDER BY chapter, take, stage, l_partkey, l_suppkey, l_quantity)"""
 _BEATS = "beats AS (SELECT 'w' || user_id % 12 AS worker, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS ts, event_id, event_type, value FROM events)"
 NOW = 1706658900
 _LIVE = f"live AS (SELECT worker FROM beats GROUP BY worker HAVING {NOW} - max(ts) < 90 * 20)"
@@ -23,7 +23,7 @@ def tasks(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("take"), pick(op.STAGES, p % 4).alias("stage"), pick(op.STATES, s + F.col("l_orderkey")).alias("state"),
         F.concat(F.lit("w"), s % 12).alias("worker"), F.when(p % 5 == 0, F.array(F.concat(F.lit("w"), p % 7))).otherwise(F.array().cast("array<string>")).alias("racers"),
-        (1704000000 + p % 4000 * 700).alias("lease_until"), (F.col("l_quantity").cast("long") % 16).alias("attempts"), F.struct(p, s).alias("__k"),
+        (1704000000 + p % 4000 * 700).alias("lease_until"), (F.col("l_quantity").cast("long") % 16).alias("attempts"), F.struct(p, s, F.col("l_quantity")).alias("__k"),
     )
     first = {c: F.min_by(c, "__k").alias(c) for c in ("state", "worker", "racers", "lease_until", "attempts")}
     return rows.groupBy("chapter", "take", "stage").agg(*first.values())

@@ -148,9 +148,9 @@ def nucleus(spark, sf_dir):
     return p.withColumn("before", F.round(F.coalesce(before, F.lit(0.0)), 9)).where("before < 0.7").groupBy("vec_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("a23_percentile", "SELECT event_type, quantile_cont(CAST(value AS DOUBLE), 0.3) AS p30, quantile_cont(CAST(value AS DOUBLE), 0.95) AS p95 FROM events GROUP BY event_type")
+@query("a23_percentile", "SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), 0.3), 6) AS p30, round(quantile_cont(CAST(value AS DOUBLE), 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def percentile(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", 0.3).alias("p30"), F.percentile("value", 0.95).alias("p95"))
+    return events(spark, sf_dir).groupBy("event_type").agg(F.round(F.percentile("value", 0.3), 6).alias("p30"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
 
 
 _SAMPLES = "s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
