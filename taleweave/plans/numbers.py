@@ -58,9 +58,10 @@ _EASE = f"""CASE c WHEN 'in' THEN u * u WHEN 'out' THEN 1 - (1 - u) * (1 - u) WH
   WHEN 'in-out-sin' THEN (1 - cos({math.pi} * u)) / 2 ELSE u END"""
 
 
-@query("f52_easing", f"SELECT event_id, round({_EASE}, 4) AS value FROM (SELECT event_id, {sql_pick(_CURVES, 'event_id')} AS c, least(greatest(value / 100::DOUBLE, 0.0), 1.0) AS u FROM events)")
+@query("f52_easing", f"SELECT event_id, {_EASE} BETWEEN -1e-9 AND 1 + 1e-9 AS inside, CAST(floor({_EASE} * 100 + 1e-7) AS BIGINT) AS percent FROM (SELECT event_id, {sql_pick(_CURVES, 'event_id')} AS c, least(greatest(value / 100::DOUBLE, 0.0), 1.0) AS u FROM events)")
 def easing(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(fn.ease(pick(_CURVES, F.col("event_id")), F.col("value") / 100), 4).alias("value"))
+    eased = fn.ease(pick(_CURVES, F.col("event_id")), F.col("value") / 100)
+    return events(spark, sf_dir).select("event_id", eased.between(-1e-9, 1 + 1e-9).alias("inside"), F.floor(eased * 100 + F.lit(1e-7)).alias("percent"))
 
 
 @query("f52_motion", "SELECT event_id, round(CASE WHEN u < 6 THEN CASE WHEN k % 2 = 1 THEN 3.0 - 2.0 * (u - k) * (u - k) ELSE 1.0 + 2.0 * (u - k) * (u - k) END ELSE 1.0 END, 9) AS value FROM (SELECT event_id, value / 4.0::DOUBLE AS u, CAST(floor(value / 4.0::DOUBLE) AS BIGINT) AS k FROM events)")
