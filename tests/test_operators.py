@@ -186,3 +186,13 @@ def test_nothing_breaks_on_empty_tables(spark):
     assert resolve.resolve(spark.createDataFrame([("A",), (None,)], "speaker string"), cast).count() == 2
     tasks = spark.createDataFrame([], "chapter long, take int, stage string, state string, worker string, racers array<string>, lease_until long, attempts long")
     assert ledger.progress(tasks).count() == 0 and ledger.upstream_done(tasks).count() == 0
+
+
+def test_quote_findings_of_events(spark, monkeypatch):
+    from taleweave.plans import sequential as plans
+
+    long = "word " * 30
+    text = f'He went "{long}".\n“One\ntwo”\nShe said: "{long}" and "left'
+    events = sequential.quote_events(spark.createDataFrame([(1, text)], "chapter long, text string"))
+    monkeypatch.setattr(plans, "quote_segmentation", lambda s, d: events)
+    assert sorted(r.kind for r in plans.quote_findings(spark, "").collect()) == ["swallowed paragraph", "unclosed quote", "welded prose"]
