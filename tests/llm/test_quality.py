@@ -93,3 +93,20 @@ def test_clean_documents_stay(spark, data):
     judged = quality.judge(spark.read.parquet(f"{data}/documents.parquet"))
     good = judged.join(spark.read.parquet(f"{data}/labels.parquet").where("quality = 1"), "doc_id").where("not base_failed")
     assert good.count() > 20 and good.where("not kept").count() == 0
+
+
+def test_words_parted_by_symbols_are_junk(spark):
+    """A symbol for every second word or so, next to prose of the same length and words."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(300):
+        words = [f"{'abcdefgh'[int(rng.integers(8))]}{int(rng.integers(1000))}" for _ in range(int(rng.integers(40, 200)))]
+        rows.append((k, (" | " if k % 20 == 0 else " ").join(words), "en", "a", 0))
+    kept = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows)).collect()}
+    assert kept == {k: k % 20 != 0 for k in range(300)}
+
+
+def test_labelled_junk_with_symbols_is_rejected(spark, data):
+    judged = quality.judge(spark.read.parquet(f"{data}/documents.parquet"))
+    junk = judged.join(spark.read.parquet(f"{data}/labels.parquet").where("quality = 0"), "doc_id").where("n_symbols > 0")
+    assert junk.count() > 0 and junk.where("kept").count() == 0
