@@ -12,12 +12,12 @@
 5. Two classes can be near while neither is near the centre. So buckets that still hold several components are paired
    again, one class of each component around a centre drawn anew, until a round finds no link that joins components.
 6. What pairs of different components are left in a bucket are then taken without exception: in buckets of up to FULL
-   classes all of them; a larger bucket is first parted by the values of the next ONWARD bands. A part that is still
-   larger is paired around STARS centres drawn anew. Pairs inside a component need no test.
+   classes all of them. The classes of larger buckets are joined exactly by their rare shingles (see rare_pairs()), whose
+   candidates include every near pair, whether or not it shares a bucket. Pairs inside a component need no test.
 
-A pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 40 = 1e-7, one of 0.85 with 6e-11. If all
-buckets that it shares are larger than FULL, points 3 and 5 missed it, and the centres of point 6 miss it too, it meets in
-no part with probability 3e-5 or 2e-9.
+Besides likely(), only a pair that shares no bucket can be missed: one of similarity 0.8 with probability (1 - 0.8 ** 5) **
+40 = 1e-7, one of 0.85 with 6e-11. Texts of one long passage and little else differ by few rare shingles, so their common
+ones are joined too and the candidates grow with the square of such a group.
 
 Words are runs of non-space characters, A-Z lower-cased. A text of fewer words than a shingle is one shingle; null text
 or text without words has an empty set and is linked with nothing. A null doc_id is linked with nothing and kept, with a
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from taleweave.scratch import written
 
 BINS, BANDS = 200, 40
-FULL, ONWARD, DEPTH, STARS = 16, 2, 1, 3
+FULL, SALTS, BLOCK = 16, 16, 64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -204,34 +204,51 @@ def redrawn(places: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     return one.join(centres, "bucket").where("id <> centre").select(*_pair("id", "centre")).distinct()
 
 
-def across(places: DataFrame, found: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a bucket, as point 6 above has it. places: bucket, band,
-    id; found: id, component; bands: id, bands."""
-    rows = places.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("bucket").alias("key"), "band")
-    pairs = []
-    for depth in range(DEPTH + 1):
-        spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-        rows = written(rows.join(spread.select("key", "n"), "key"), "shared-buckets")
-        few = rows.where(F.col("n") <= FULL)
-        other = few.select("key", F.col("id").alias("with"), F.col("component").alias("theirs"))
-        both = few.join(other, (few["key"] == other["key"]) & (few["component"] != other["theirs"]) & (few["id"] < other["with"]))
-        pairs.append(written(both.select(F.col("id").alias("a"), F.col("with").alias("b")).distinct(), "pairs"))
-        rows = rows.where(F.col("n") > FULL).drop("n")
-        if rows.isEmpty():
-            break
-        if depth < DEPTH:
-            steps = F.explode(F.sequence(F.lit(1 + ONWARD * depth), F.lit(ONWARD * (depth + 1)))).alias("step")
-            value = F.element_at("bands", F.pmod(F.col("band") + F.col("step"), F.lit(BANDS)) + 1)
-            rows = rows.join(bands, "id").select("id", "component", "key", "band", "bands", steps).select("id", "component", F.xxhash64("key", "step", value).alias("key"), "band")
-    else:
-        for turn in range(STARS):
-            centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(turn))).alias("c"))
-            met = rows.join(centre, "key").where("component <> c.component").withColumn("centre", F.col("c.id"))
-            pairs.append(met.select(*_pair("id", "centre")).distinct())
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.union(more)
-    return out.distinct()
+def across(places: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components, as point 6 above has it. places: bucket, id; found: id, component;
+    texts: id, text."""
+    rows = places.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("bucket").alias("key"))
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    rows = written(rows.join(spread.select("key", "n"), "key"), "shared-buckets")
+    pairs = _crossed(rows.where(F.col("n") <= FULL).withColumn("block", F.lit(0)))
+    large = written(rows.where(F.col("n") > FULL).select("id", "component").distinct(), "large-buckets")
+    return pairs if large.isEmpty() else pairs.union(rare_pairs(large, texts, width, percent)).distinct()
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the rows of equal (key, block): key, block, id, component."""
+    one, other = rows.select("key", "block", "id", "component"), rows.select("key", "block", F.col("id").alias("with"), F.col("component").alias("theirs"))
+    met = one.join(other, ["key", "block"]).where("component <> theirs and id < with")
+    return met.select(F.col("id").alias("a"), F.col("with").alias("b")).distinct()
+
+
+def rare_pairs(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the first shingles of both, in one order for all classes
+    (those of over FULL classes last, by their number). Sets of n shingles with similarity p have at least p * n in common,
+    so one of the first n - ceil(p * n) + 1 of either is among them. Rows of a common shingle are salted and its pairs dealt
+    over blocks of about BLOCK classes, each pair of blocks once. classes: id, component."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = shingle_hashes(text.as_buffer().to_pybytes(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x)) for x in (doc, component)] + [pa.array(h)], names=["id", "component", "key"])
+
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = classes.join(texts, "id").select("id", "component", "text").mapInArrow(explode, "id long, component long, key long")
+    rows = written(rows.select("*", salt), "shingles")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
+    common = written(common, "common-shingles").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")))
+    sets = rows.join(common, ["key", "salt"], "left").groupBy("id", "component").agg(ordered.alias("all"))
+    size = F.size("all")
+    first = F.slice("all", F.lit(1), size - F.floor((size * percent + 99) / 100).cast("int") + 1)
+    first = sets.select("id", "component", F.explode(first).alias("x")).select("id", "component", "x.key", F.ceil(F.col("x.n") / BLOCK).cast("int").alias("blocks"))
+    first = written(first, "first-shingles")
+    few = _crossed(first.where("blocks = 0").withColumn("block", F.lit(0)))
+    many = first.where("blocks > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return few.union(_crossed(many.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -263,7 +280,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             break
         all_links, tested = all_links.union(more), tested.union(drawn)
         found = components(all_links)
-    more = links(across(places, found, one.select("id", "bands")).join(tested, ["a", "b"], "left_anti"))
+    more = links(across(places, found, texts, width, percent).join(tested, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = components(all_links.union(more))
     of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

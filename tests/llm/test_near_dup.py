@@ -59,6 +59,16 @@ def test_chains_of_near_copies(spark):
     compare(spark, rows, 3, 85)
 
 
+def test_many_different_texts_in_every_bucket(spark):
+    """All share a passage and 0.78 of their shingles, so every bucket is large; forty of them are near to one other each."""
+    passage = " ".join(f"p{k}" for k in range(400))
+    rows = []
+    for k in range(400):
+        own = [f"s{k // 2 if k < 40 else k}_{j}" for j in range(12)] + [f"o{k}_{j}" for j in range(43)]
+        rows.append((k, " ".join([passage, *own])))
+    compare(spark, rows, 5, 80)
+
+
 def test_groups_of_copies_and_short_texts(spark):
     rows = [(k, "One TWO three four five six") for k in range(200)] + [(300, "one two"), (301, "ONE two"), (302, "two one"), (303, "x"), (304, "x")]
     compare(spark, rows, 3, 85)
