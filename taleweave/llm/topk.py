@@ -8,9 +8,12 @@ component, so a term's postings are one contiguous row. For a query the terms ar
 non-essential. The postings of the essential terms are traversed whole; the rest are probed, largest bound first, only
 for vectors that can still compete, ties included. Shards give k rows each and a window merges them.
 
-Queries and shards meet in blocks of bounded size, one task row per (shard, query block). Vectors that are null or hold
-a null or non-finite component, or a null id, take no part. Vectors of another length than a query's do not meet it.
-Repeated ids count as rows of their own, apart from the query's own id. No candidates: no rows. Scores must fit a long.
+Queries and shards meet in blocks of bounded size, one task row per (shard, query block); only the query blocks are sent to
+every shard. Rows are dealt to blocks by their place in a written table, so rows that repeat an id spread like others.
+Vectors that are null or hold a null or non-finite component, or a null id, take no part. Vectors of another length than
+a query's do not meet it; empty vectors meet each other and score 0. Repeated ids count as rows of their own, apart from
+the query's own id; a query whose id repeats gives the k best of its rows together. Columns other than id and v are
+ignored. No candidates: no rows. Scores must fit a long.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taleweave.scratch import written
 
-SHARD_ROWS, QUERY_ROWS = 1024, 1024
+SHARD_ROWS, QUERY_ROWS = 4096, 1024
 #: Inner products of doubles are exact up to here.
 EXACT = float(2**53)
 
@@ -56,19 +59,21 @@ class Shard:
         need = floor - base
         cut = int(np.searchsorted(reach, need, side="left"))
         essential = order[cut:]
-        alive = np.arange(len(self.ids))
-        part = q[essential] @ self.postings[essential] + flip[essential].sum()
+        alive, part = np.arange(len(self.ids)), q[essential] @ self.postings[essential] + flip[essential].sum()
+        mine = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
+        if mine.start < mine.stop:  # the query's own rows do not count among the k
+            alive, part = np.delete(alive, mine), np.delete(part, mine)
         left = reach[cut - 1] if cut else 0.0
         for at in range(cut - 1, -1, -8):
             if len(alive) > k:
-                need = max(need, float(np.partition(part, -k - 1)[-k - 1]))
+                need = max(need, float(np.partition(part, -k)[-k]))
             keep = part + left >= need
             if not keep.all():
                 alive, part = alive[keep], part[keep]
             probe = order[max(0, at - 7) : at + 1]
             part = part + q[probe] @ self.postings[probe[:, None], alive] + flip[probe].sum()
             left = reach[at - 8] if at >= 8 else 0.0
-        return self._best(part + base, alive, own, k)
+        return self._best(part + base, self.ids[alive], k)
 
     def _plain(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """For components too large for doubles: integers of any size."""
@@ -76,9 +81,8 @@ class Shard:
         found = [(-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != own]
         return [(-s, i) for s, i in sorted(found)[:k]]
 
-    def _best(self, scores: np.ndarray, alive: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        keep = self.ids[alive] != own
-        scores, ids = scores[keep], self.ids[alive][keep]
+    @staticmethod
+    def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
         if len(scores) > k:
             near = scores >= np.partition(scores, -k)[-k]
             scores, ids = scores[near], ids[near]
@@ -107,25 +111,24 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Both frames: id long, v array<long>. Returns query_id, rank, id, score."""
     usable = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    vectors, queries = vectors.where(usable), queries.where(usable)
+    vectors, queries = (written(df.where(usable).select("id", "v"), "topk-rows") for df in (vectors, queries))
     n_shards = max(1, -(-vectors.count() // shard_rows))
     n_blocks = max(1, -(-queries.count() // query_rows))
-    spread = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    shards = written(_blocks(spread(vectors, n_shards), "part"), "topk-shards")
+    spread = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    shards = written(_blocks(spread(vectors, n_shards), "part"), "topk-shards").withColumnRenamed("block", "shard")
     blocks = written(_blocks(spread(queries, n_blocks), "part"), "topk-queries")
-    left = shards.select(F.col("block").alias("shard"), "dims", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qblock"))
-    right = blocks.select(F.col("block").alias("qblock"), "dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    pairs = left.join(right, ["shard", "qblock", "dims"]).select("dims", "ids", "vectors", "qids", "qvectors")
+    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    pairs = shards.join(sent, ["shard", "dims"]).select("dims", "ids", "vectors", "qids", "qvectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dims, ids, data, qids, qdata in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shard = Shard(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dims))
+                own_ids, asked = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
+                shard = Shard(own_ids, np.frombuffer(data, "<i8").reshape(len(own_ids), dims))
                 out: list[tuple[int, int, int]] = []
                 first = max(k + 1, len(shard.ids) // 16)
                 sample = shard.rows[:, :first].astype(np.float64)
-                asked = np.frombuffer(qids, "<i8")
-                for q, query in zip(asked.tolist(), np.frombuffer(qdata, "<i8").reshape(-1, dims), strict=True):
+                for q, query in zip(asked.tolist(), np.frombuffer(qdata, "<i8").reshape(len(asked), dims), strict=True):
                     seen = query.astype(np.float64) @ sample  # full scores of a few rows: a first k-th best, own row aside
                     seen = seen[shard.ids[:first] != q]
                     floor = float(np.partition(seen, -k)[-k]) if len(seen) >= k else -np.inf

@@ -49,3 +49,17 @@ def test_table_against_numpy(spark, data):
     rows = [(r.id, list(r.v)) for r in v.collect()]
     got = sorted(tuple(r) for r in topk.top_k(v, v.where("id % 50 = 0"), 5).collect())
     assert got == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
+
+
+def test_empty_vectors_as_queries_and_candidates(spark):
+    rows = [(0, []), (50, []), (7, []), (3, [1, 2]), (100, [2, 2])]
+    got = topk.top_k(frame(spark, rows), frame(spark, rows).where("id % 50 = 0"), 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, [rows[0], rows[1], rows[4]], 5)
+
+
+def test_one_id_on_most_rows(spark):
+    """Rows of the query's own id do not push other rows out of the k best, and spread over the shards."""
+    rows = [(50, [9, k % 7]) for k in range(50_000)] + [(k, [1, k % 5]) for k in range(51, 91)]
+    vectors = frame(spark, rows)
+    got = topk.top_k(vectors, frame(spark, [(50, [9, 3]), (100, [0, 1])]), 5, shard_rows=5_000)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, [(50, [9, 3]), (100, [0, 1])], 5)
