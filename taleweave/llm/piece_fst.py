@@ -1,19 +1,27 @@
-"""Encoding to and decoding from sentence pieces by a weighted finite-state transducer.
+"""Encoding to and decoding from sentence pieces by weighted finite-state transducers.
 
-A model compiles to three machines: the normaliser (white space to the piece mark, a mark before the text), the pieces,
-and byte fallback for characters that no piece covers. Composed with an input they form a lattice of arcs over
-positions, and the encoding is its shortest path in the tropical semiring (weights add along a path, the least wins).
+A model compiles to three machines over characters and pieces; weights are tropical (they add along a path, the least
+wins):
 
-- Unigram models: an arc weighs minus the piece's score, a fallback character more than any piece.
-- Pair-merge models: the pieces' machine has a state per last piece. An arc that enters piece b after piece a weighs one
-  if merging the text of a and b gives a, b back, and infinity otherwise. Exactly one path of finite weight is left, and
-  it is the merge result (see prefix_dp), so the shortest path over (position, last piece) is found in one pass.
+- the normaliser has a state before the first character, one inside the text and, if the model drops extra white space,
+  one behind a space that is still to be written. It writes the piece mark for spaces and one before the text;
+- the pieces' machine has a state per prefix of a piece. An arc reads a character; a state at the end of a piece writes
+  that piece and returns to the start. Characters that are no piece get a fallback arc, which writes their bytes;
+- the neighbours' machine reads pieces. Unigram models have one state and a piece weighs minus its score, a fallback
+  character more than any piece. Pair-merge models have a state per last piece: piece b after piece a weighs one if merging
+  the text of a and b gives a, b back (see prefix_dp), and infinity otherwise.
 
-No piece holds a mark behind another character, so the lattice falls apart before every run of marks; the shortest path
-of each part is kept per distinct part.
+An input is composed with the three in turn, on demand: the normaliser's output with the pieces' machine gives a lattice
+of arcs over positions, and the shortest path over (position, state of the neighbours' machine) is the encoding. For
+pair-merge models one path of finite weight is left, which is the merge result.
+
+No piece holds a mark behind another character, so the composition falls apart before every run of spaces, and the
+normaliser is inside the text there; the shortest path of each part is kept per distinct part.
 
 Models with a compiled character map, or that treat white space as a suffix, are refused. Null and empty texts give no
-pieces. A literal mark in a text reads back as a space, so decode(encode(text)) differs from such a text.
+pieces; very long texts are encoded whole, part by part; repeated rows get equal pieces; an empty table gives no rows;
+columns other than doc_id and text are ignored. A literal mark in a text reads back as a space, so
+decode(encode(text)) differs from such a text.
 """
 
 from __future__ import annotations
@@ -30,8 +38,74 @@ from pyspark.sql import DataFrame
 from taleweave.llm.prefix_dp import PrefixSegmenter
 
 MARK = "▁"
-PART = re.compile(" +[^ ]*|[^ ]+")
+PART = re.compile("[ ▁]+[^ ▁]*|[^ ▁]+")
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+BEGIN, INSIDE, GAP = 0, 1, 2
+#: What a fallback character weighs over the dearest piece.
+PENALTY = 10.0
+
+
+class Normaliser:
+    """arcs[state][character] = (output, next state); OTHER stands for every character without an arc, written behind the
+    output."""
+
+    OTHER = ""
+
+    def __init__(self, dummy_prefix: bool, squeeze: bool) -> None:
+        before = MARK if dummy_prefix else ""
+        if squeeze:
+            self.arcs = [{" ": ("", BEGIN), self.OTHER: (before, INSIDE)}, {" ": ("", GAP), self.OTHER: ("", INSIDE)}, {" ": ("", GAP), self.OTHER: (MARK, INSIDE)}]
+        else:
+            self.arcs = [{" ": (before + MARK, INSIDE), self.OTHER: (before, INSIDE)}, {" ": (MARK, INSIDE), self.OTHER: ("", INSIDE)}]
+
+    def run(self, part: str, state: int) -> str:
+        out = []
+        for c in part:
+            arcs = self.arcs[state]
+            arc = arcs.get(c)
+            if arc is None:
+                text, state = arcs[self.OTHER]
+                out.append(text + c)
+            else:
+                text, state = arc
+                out.append(text)
+        return "".join(out)
+
+
+class Pieces:
+    """arcs[state][character] = next state, state 0 at the start; ends[state] = (piece, weight) where a piece ends."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[str, float] | None] = [None]
+        self.fallback = max(weights.values(), default=0.0) + PENALTY
+        for piece, weight in weights.items():
+            state = 0
+            for c in piece:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(None)
+                state = self.arcs[state][c]
+            self.ends[state] = (piece, weight)
+
+    def compose(self, text: str) -> list[list[tuple[int, str, float]]]:
+        """Lattice of text: for every position the arcs (position before, piece, weight) that end there."""
+        arcs, ends, size = self.arcs, self.ends, len(text)
+        out: list[list[tuple[int, str, float]]] = [[] for _ in range(size + 1)]
+        for start in range(size):
+            state, at = 0, start
+            while at < size:
+                state = arcs[state].get(text[at])
+                if state is None:
+                    break
+                at += 1
+                if ends[state] is not None:
+                    out[at].append((start, *ends[state]))
+            one = arcs[0].get(text[start])
+            if one is None or ends[one] is None:
+                out[start + 1].append((start, text[start], self.fallback))
+        return out
 
 
 class Transducer:
@@ -39,21 +113,21 @@ class Transducer:
 
     MOST_PARTS, LONG = 600_000, 48
 
-    def __init__(self, pieces: list[tuple[str, float, int]], pairs: bool, dummy_prefix: bool = True) -> None:
-        self.pieces, self.pairs, self.dummy_prefix = pieces, pairs, dummy_prefix
-        usable = [(p.replace(MARK, " "), s, i) for i, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER)]
-        if bad := [p for p, _, _ in usable if " " in p.lstrip(" ")]:
+    def __init__(self, pieces: list[tuple[str, float, int]], pairs: bool, dummy_prefix: bool = True, squeeze: bool = False) -> None:
+        self.pairs, self.dummy_prefix = pairs, dummy_prefix
+        scores = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
+        if bad := [p for p in scores if MARK in p.lstrip(MARK)]:
             raise ValueError(f"pieces hold a mark behind another character: {bad[:3]}")
-        self.ids = {p: i for p, _, i in usable}
-        self.scores = {p: s for p, s, _ in usable}
-        self.longest = max(map(len, self.ids), default=1)  # of the unigram path
+        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in pieces]
-        scores = self.scores
+        self.normaliser = Normaliser(dummy_prefix, squeeze)
+        self.machine = Pieces({p: 1.0 if pairs else -s for p, s in scores.items()})
         rank = lambda a, b: -s if (s := scores.get(a + b)) is not None else None
-        self.segmenter = PrefixSegmenter(set(self.ids), rank)
+        self.merges = PrefixSegmenter(set(scores), rank)
         self.parts: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -63,36 +137,41 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         n, t = model.normalizer_spec, model.trainer_spec
-        if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or t.treat_whitespace_as_suffix or t.model_type not in (1, 2):
+        if n.precompiled_charsmap or not n.escape_whitespaces or t.treat_whitespace_as_suffix or t.model_type not in (1, 2):
             raise ValueError("the model's normaliser or type is not compiled here")
-        return cls([(p.piece, p.score, p.type) for p in model.pieces], t.model_type == 2, n.add_dummy_prefix)
-
-    def normalise(self, text: str) -> str:
-        text = text.replace(MARK, " ")
-        return " " + text if self.dummy_prefix and text else text
-
-    def _shortest(self, part: str) -> list[str]:
-        """Tropical shortest path over positions, for weights that do not depend on the piece before."""
-        worst = min(self.scores.values(), default=0.0) - 10.0
-        weight, back = [0.0] + [float("inf")] * len(part), [0] * (len(part) + 1)
-        for end in range(1, len(part) + 1):
-            for start in range(max(0, end - self.longest), end):
-                score = self.scores.get(part[start:end])
-                if score is None and end - start == 1:
-                    score = worst
-                if score is not None and weight[start] - score < weight[end]:
-                    weight[end], back[end] = weight[start] - score, start
-        out, end = [], len(part)
-        while end:
-            out.append(part[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-    def _part(self, part: str) -> bytes:
-        if len(self.parts) >= self.MOST_PARTS:
-            self.parts.clear()
+        return cls([(p.piece, p.score, p.type) for p in model.pieces], t.model_type == 2, n.add_dummy_prefix, n.remove_extra_whitespaces)
+
+    def shortest(self, text: str) -> tuple[float, list[str]]:
+        """Weight and pieces of the shortest path of a normalised text, ties to the longer last piece."""
+        pairs, known, fits, whole = self.pairs, self.merges.fits.get, self.merges.stand_together, self.merges.stands
+        best: list[dict[str, tuple[float, int, str, str]]] = [{"": (0.0, 0, "", "")}]  # by position and state: weight, arc back
+        for arcs in self.machine.compose(text)[1:]:
+            here: dict[str, tuple[float, int, str, str]] = {}
+            for start, piece, weight in arcs:
+                state = piece if pairs else ""
+                for before, path in best[start].items():
+                    if pairs:
+                        allowed = known((before, piece)) if before else whole(piece)
+                        if allowed is None:
+                            allowed = fits(before, piece)
+                        if not allowed:  # an arc of infinite weight
+                            continue
+                    total = path[0] + weight
+                    if state not in here or total < here[state][0]:
+                        here[state] = (total, start, before, piece)
+            best.append(here)
+        if not best[-1]:
+            raise ValueError(f"no finite path for {text!r}: the scores do not fit the pieces")
+        state, at, out = min(best[-1], key=lambda s: best[-1][s][0]), len(text), []
+        weight = best[-1][state][0]
+        while at:
+            _, at, state, piece = best[at][state]
+            out.append(piece)
+        return weight, out[::-1]
+
+    def _part(self, part: str, state: int) -> bytes:
         ids: list[int] = []
-        for piece in self.segmenter.path(part) if self.pairs else self._shortest(part):
+        for piece in self.shortest(self.normaliser.run(part, state))[1]:
             known = self.ids.get(piece)
             if known is not None:
                 ids.append(known)
@@ -101,14 +180,22 @@ class Transducer:
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
         out = np.array(ids, "<u4").tobytes()
+        kept = self.first if state == BEGIN else self.parts
+        if len(kept) >= self.MOST_PARTS:
+            kept.clear()
         if len(part) <= self.LONG:
-            self.parts[part] = out
+            kept[part] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian uint32."""
+        parts = PART.findall(text)
+        if not parts:
+            return b""
         known, make = self.parts, self._part
-        return b"".join([known.get(p) or make(p) for p in PART.findall(self.normalise(text))])
+        out = [known.get(p) or make(p, INSIDE) for p in parts[1:]]
+        out.insert(0, self.first.get(parts[0]) or make(parts[0], BEGIN))
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")

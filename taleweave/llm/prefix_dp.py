@@ -38,7 +38,8 @@ class PrefixSegmenter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
+    def stand_together(self, a: str, b: str) -> bool:
+        """Whether merging the text of both gives both back."""
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
@@ -47,7 +48,8 @@ class PrefixSegmenter:
             known = self.fits[key] = self.merged(a + b) == [a, b]
         return known
 
-    def _whole(self, token: str) -> bool:
+    def stands(self, token: str) -> bool:
+        """Whether merging the token's text gives the token."""
         known = self.whole.get(token)
         if known is None:
             known = self.whole[token] = self.merged(token) == [token]
@@ -74,9 +76,9 @@ class PrefixSegmenter:
                 if before:
                     good = known((out[before - 1], token))
                     if good is None:
-                        good = self._fits(out[before - 1], token)
+                        good = self.stand_together(out[before - 1], token)
                 else:
-                    good = end == 1 or self._whole(token)
+                    good = end == 1 or self.stands(token)
                 if good:
                     out.append(token)
                     break
@@ -91,11 +93,3 @@ class PrefixSegmenter:
             before = end - len(token)
             out.append(1 + (out[before - 1] if before else 0))
         return out
-
-    def path(self, word: str) -> list[str]:
-        """Tokens of the whole word."""
-        lasts, out, end = self.lasts(word), [], len(word)
-        while end:
-            out.append(lasts[end - 1])
-            end -= len(out[-1])
-        return out[::-1]
