@@ -69,6 +69,40 @@ def test_many_different_texts_in_every_bucket(spark):
     compare(spark, rows, 5, 80)
 
 
+def family(n):
+    """Texts of 1,002 shared words, 7 words shared by two and 88 of their own: the two are at 0.8512, all others at 0.8403."""
+    passage = [f"p{k}" for k in range(1002)]
+    return [(k, " ".join([*passage, *(f"s{k // 2}_{j}" for j in range(7)), *(f"o{k}_{j}" for j in range(88))])) for k in range(n)]
+
+
+def test_family_at_the_threshold_loses_no_link(spark):
+    compare(spark, family(300), 3, 85)
+
+
+def test_prefix_join_alone_finds_every_link(spark, monkeypatch):
+    """Without further stars and without small buckets, and with hot keys and blocks of a few rows."""
+    for name, value in (("ROUNDS", 0), ("FULL", 1), ("HOT", 4), ("SALTS", 3), ("BLOCK", 5)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(9)
+    rows = family(40)
+    for k in range(60):
+        base = [f"b{k % 6}_{j}" for j in range(120)]
+        for at in rng.sample(range(120), rng.randrange(0, 9)):
+            base[at] = f"c{k}_{at}"
+        rows.append((1_000 + k, " ".join(base[: rng.randrange(100, 121)])))
+    compare(spark, rows, 3, 85)
+    compare(spark, rows, 5, 80)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text), (5, "a b c d e f g"), (7, text + " end"), (7, "h i j k l m n"), (9, "a b c d e f g"), (9, ""), (9, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(documents(spark, [(*r, "en", "a", 0) for r in rows])).collect())
+    assert got == [(5, 3, 5, True), (5, 56, 5, True), (7, 3, 7, True), (7, 57, 5, False), (9, 0, 9, True), (9, 0, 9, True), (9, 3, 5, False)]
+    left = near_dup.without_copies(documents(spark, [(*r, "en", "a", 0) for r in rows])).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in left) == [(5, "a b c"), (5, "w0 w1"), (7, "h i j"), (9, "")]
+
+
 def test_groups_of_copies_and_short_texts(spark):
     rows = [(k, "One TWO three four five six") for k in range(200)] + [(300, "one two"), (301, "ONE two"), (302, "two one"), (303, "x"), (304, "x")]
     compare(spark, rows, 3, 85)
