@@ -11,8 +11,8 @@ wins):
   character more than any piece. Pair-merge models have a state per last piece: piece b after piece a weighs one if merging
   the text of a and b gives a, b back (see prefix_dp), and infinity otherwise.
 
-An input is composed with the three in turn, on demand: the normaliser's output with the pieces' machine gives a lattice
-of arcs over positions, and the shortest path over (position, state of the neighbours' machine) is the encoding. For
+An input is composed with the three in turn, on demand: the normaliser's output with the pieces' machine gives the arcs
+that leave a position, and the shortest path over (position, state of the neighbours' machine) is the encoding. For
 pair-merge models one path of finite weight is left, which is the merge result.
 
 No piece holds a mark behind another character, so the composition falls apart before every run of spaces, and the
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -59,25 +60,27 @@ class Normaliser:
             self.arcs = [{" ": (before + MARK, INSIDE), self.OTHER: (before, INSIDE)}, {" ": (MARK, INSIDE), self.OTHER: ("", INSIDE)}]
 
     def run(self, part: str, state: int) -> str:
-        out = []
-        for c in part:
-            arcs = self.arcs[state]
-            arc = arcs.get(c)
-            if arc is None:
-                text, state = arcs[self.OTHER]
-                out.append(text + c)
-            else:
-                text, state = arc
-                out.append(text)
+        out, at = [], 0
+        while at < len(part):
+            if state == INSIDE:  # its arcs copy everything up to a space
+                end = part.find(" ", at)
+                end = len(part) if end < 0 else end
+                out.append(part[at:end])
+                if (at := end) == len(part):
+                    break
+            c = part[at]
+            text, state = self.arcs[state].get(c) or self.arcs[state][self.OTHER]
+            out.append(text if c == " " else text + c)
+            at += 1
         return "".join(out)
 
 
 class Pieces:
-    """arcs[state][character] = next state, state 0 at the start; ends[state] = (piece, weight) where a piece ends."""
+    """arcs[state][character] = next state, state 0 at the start; ends[state] = (piece, weight, length) where a piece ends."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.arcs: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[str, float] | None] = [None]
+        self.ends: list[tuple[str, float, int] | None] = [None]
         self.fallback = max(weights.values(), default=0.0) + PENALTY
         for piece, weight in weights.items():
             state = 0
@@ -87,24 +90,19 @@ class Pieces:
                     self.arcs.append({})
                     self.ends.append(None)
                 state = self.arcs[state][c]
-            self.ends[state] = (piece, weight)
+            self.ends[state] = (piece, weight, len(piece))
 
-    def compose(self, text: str) -> list[list[tuple[int, str, float]]]:
-        """Lattice of text: for every position the arcs (position before, piece, weight) that end there."""
+    def leaving(self, text: str, at: int) -> list[tuple[str, float, int]]:
+        """The arcs of the composition with text that leave position at, shortest first."""
         arcs, ends, size = self.arcs, self.ends, len(text)
-        out: list[list[tuple[int, str, float]]] = [[] for _ in range(size + 1)]
-        for start in range(size):
-            state, at = 0, start
-            while at < size:
-                state = arcs[state].get(text[at])
-                if state is None:
-                    break
-                at += 1
-                if ends[state] is not None:
-                    out[at].append((start, *ends[state]))
-            one = arcs[0].get(text[start])
-            if one is None or ends[one] is None:
-                out[start + 1].append((start, text[start], self.fallback))
+        state, out = arcs[0].get(text[at]), []
+        if state is None or ends[state] is None:
+            out.append((text[at], self.fallback, 1))
+        while state is not None:
+            if arc := ends[state]:
+                out.append(arc)
+            at += 1
+            state = arcs[state].get(text[at]) if at < size else None
         return out
 
 
@@ -142,44 +140,64 @@ class Transducer:
         return cls([(p.piece, p.score, p.type) for p in model.pieces], t.model_type == 2, n.add_dummy_prefix, n.remove_extra_whitespaces)
 
     def shortest(self, text: str) -> tuple[float, list[str]]:
-        """Weight and pieces of the shortest path of a normalised text, ties to the longer last piece."""
-        pairs, known, fits, whole = self.pairs, self.merges.fits.get, self.merges.stand_together, self.merges.stands
-        best: list[dict[str, tuple[float, int, str, str]]] = [{"": (0.0, 0, "", "")}]  # by position and state: weight, arc back
-        for arcs in self.machine.compose(text)[1:]:
-            here: dict[str, tuple[float, int, str, str]] = {}
-            for start, piece, weight in arcs:
-                state = piece if pairs else ""
-                for before, path in best[start].items():
-                    if pairs:
-                        allowed = known((before, piece)) if before else whole(piece)
-                        if allowed is None:
-                            allowed = fits(before, piece)
-                        if not allowed:  # an arc of infinite weight
-                            continue
-                    total = path[0] + weight
-                    if state not in here or total < here[state][0]:
-                        here[state] = (total, start, before, piece)
-            best.append(here)
-        if not best[-1]:
-            raise ValueError(f"no finite path for {text!r}: the scores do not fit the pieces")
-        state, at, out = min(best[-1], key=lambda s: best[-1][s][0]), len(text), []
-        weight = best[-1][state][0]
+        """Weight and pieces of the shortest path of a normalised text. Unigram models have one state a position: the least
+        weight so far, ties to the longer last piece. In pair-merge models the only finite path is the shortest, so arcs are
+        followed depth first, longest first, and (position, last piece) states that lead nowhere are not entered twice."""
+        return self._only(text) if self.pairs else self._least(text)
+
+    def _least(self, text: str) -> tuple[float, list[str]]:
+        weights, lasts = [0.0] + [float("inf")] * len(text), [""] * (len(text) + 1)
+        for start in range(len(text)):
+            for piece, weight, length in self.machine.leaving(text, start):
+                if weights[start] + weight < weights[start + length]:
+                    weights[start + length], lasts[start + length] = weights[start] + weight, piece
+        out, at = [], len(text)
         while at:
-            _, at, state, piece = best[at][state]
-            out.append(piece)
-        return weight, out[::-1]
+            out.append(lasts[at])
+            at -= len(lasts[at])
+        return weights[-1], out[::-1]
+
+    def _only(self, text: str) -> tuple[float, list[str]]:
+        known, leaving, size = self.merges.fits.get, self.machine.leaving, len(text)
+        path: list[tuple[str, float, int]] = []
+        waiting: list[list[tuple[str, float, int]]] = []
+        dead: set[tuple[int, str]] = set()
+        at, last, arcs = 0, "", leaving(text, 0) if text else []
+        while at < size:
+            while arcs:
+                arc = arcs.pop()
+                piece = arc[0]
+                allowed = known((last, piece)) if last else self.merges.stands(piece)
+                if allowed is None:
+                    allowed = self.merges.stand_together(last, piece)
+                if allowed and not (dead and (at + arc[2], piece) in dead):
+                    path.append(arc)
+                    waiting.append(arcs)
+                    at, last = at + arc[2], piece
+                    arcs = leaving(text, at) if at < size else []
+                    break
+            else:  # only arcs of infinite weight are left: one step back
+                if not path:
+                    raise ValueError(f"no finite path for {text!r}: the scores do not fit the pieces")
+                dead.add((at, last))
+                at -= path.pop()[2]
+                arcs, last = waiting.pop(), path[-1][0] if path else ""
+        return sum([a[1] for a in path]), [a[0] for a in path]
 
     def _part(self, part: str, state: int) -> bytes:
-        ids: list[int] = []
-        for piece in self.shortest(self.normaliser.run(part, state))[1]:
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-        out = np.array(ids, "<u4").tobytes()
+        path = self.shortest(self.normaliser.run(part, state))[1]
+        ids = list(map(self.ids.get, path))
+        if None in ids:
+            ids = []
+            for piece in path:
+                known = self.ids.get(piece)
+                if known is not None:
+                    ids.append(known)
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in piece.encode()]
+                elif not ids or ids[-1] != self.unknown:
+                    ids.append(self.unknown)
+        out = struct.pack(f"<{len(ids)}I", *ids)
         kept = self.first if state == BEGIN else self.parts
         if len(kept) >= self.MOST_PARTS:
             kept.clear()
