@@ -55,8 +55,7 @@ def with_holders(tasks: DataFrame, alive: DataFrame) -> DataFrame:
 def reap(tasks: DataFrame, alive: DataFrame, now: int, uptime: int) -> DataFrame:
     """Held tasks whose lease has run out or whose holders are gone, with what happens to them: extended (racers alive),
     stuck (the worker still beats: the expiry counts), expired, or orphaned (after two minutes' uptime)."""
-    known = with_holders(tasks, alive)
-    out = known.where(held(F.col("state")))
+    out = with_holders(tasks.where(held(F.col("state"))), alive)
     lapsed = F.col("lease_until") < now
     racing = F.size(F.coalesce("racers", F.array().cast("array<string>"))) > 0
     verdict = F.when(lapsed & racing & F.col("live"), "extended").when(lapsed & F.col("live"), "stuck").when(lapsed, "expired").when(~F.col("live") & F.lit(uptime > 120), "orphaned")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from taleweave.scratch import written
 
 
-def closure(deps: DataFrame, root: str, most: int = 64) -> DataFrame:
+def closure(deps: DataFrame, root: str) -> DataFrame:
     """name, depth, direct: every pack that root reaches, at its greatest distance, so that deeper (weaker) ones come
-    first. A level per round over written tables; a pack that reaches itself never ends, so `most` levels mean a loop."""
+    first. A level per round over written tables. A path without a loop has no more steps than there are packs that name
+    others, so a level beyond that means that a pack reaches itself."""
     level = written(deps.where(F.col("name") == root).select(F.col("dep").alias("name"), F.lit(1).alias("depth")).distinct(), "closure")
-    found, depth = level, 1
+    found, depth, most = level, 1, deps.select("name").distinct().count()
     while not level.isEmpty():
         if depth > most:
             raise ValueError("a pack depends on itself")

@@ -6,6 +6,7 @@ hold the lines of one chapter, whose number does not follow the data. Only what
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.text import ends_sentence, sentence_ends
 
+CELL = 1024  # width of a range of positions that is numbered by itself
 OVERHEAD = 64  # characters that a line costs besides its text
 
 
@@ -148,41 +150,49 @@ def quote_events(chapters: DataFrame) -> DataFrame:
     return chapters.select("chapter", "text").mapInPandas(split, "chapter long, pos long, kind string, text string, `from` long, `to` long, open boolean")
 
 
+_MARK, _CLOSE = re.compile('[\n"“「]'), re.compile('["”」]')
+
+
 def _events(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     start = at = 0
-    while at < len(text):
-        mark = text[at]
-        if mark == "\n":
+    while (mark := _MARK.search(text, at)) is not None:
+        at = mark.start()
+        if mark.group() == "\n":
             yield "narration", text[start:at], start, at, False
-            start = at + 1
-        elif mark in '"“「':
-            close = next((k for k in range(at + 1, len(text)) if text[k] in '"”」'), -1)
-            if close >= 0 and _is_term(text, start, at, close):
-                at = close + 1
-                continue
-            yield "narration", text[start:at], start, at, False
-            end = close if close >= 0 else len(text)
-            yield "dialogue", text[at + 1 : end], at + 1, end, close < 0
-            start = at = end + 1
+            start = at = at + 1
+            continue
+        found = _CLOSE.search(text, at + 1)
+        if found and _is_term(text, at, found.start()):
+            at = found.end()
             continue
-        at += 1
+        yield "narration", text[start:at], start, at, False
+        end = found.start() if found else len(text)
+        yield "dialogue", text[at + 1 : end], at + 1, end, found is None
+        start = at = end + 1
     yield "narration", text[start:], start, len(text), False
 
 
-def _is_term(text: str, start: int, opened: int, closed: int) -> bool:
+def _is_term(text: str, opened: int, closed: int) -> bool:
     inner = text[opened + 1 : closed].strip()
-    small = inner and not set(inner) & set("\n.!?…") and len(inner) <= 24 and len(inner.split()) <= 4
+    small = inner and len(inner) <= 24 and not set(inner) & set("\n.!?…") and len(inner.split()) <= 4
     before = text[text.rfind("\n", 0, opened) + 1 : opened].rstrip()
-    return bool(small and before and before[-1].isalnum() and text[closed + 1 :].split("\n", 1)[0].strip())
+    end = text.find("\n", closed)
+    return bool(small and before and before[-1].isalnum() and text[closed + 1 : end if end >= 0 else len(text)].strip())
 
 
 def assign_voices(speakers: DataFrame, voices: DataFrame) -> DataFrame:
     """speakers: chapter, pos, speaker, gender; voices: voice, gender, used, place. Each speaker in turn gets the voice of
     its gender that is used least in the chapter, then least overall, then comes first. Within a chapter and gender that
-    is the list of voices by (used, place), taken round by round, so row numbers say it all."""
+    is the list of voices by (used, place), taken round by round, so row numbers say it all. Rows are numbered within
+    ranges of pos, and the ranges' sizes give the rest, so a chapter that holds the table is no single task."""
     by = W.partitionBy("gender")
     ranked = voices.withColumns({"turn": F.row_number().over(by.orderBy("used", "place")) - 1, "n": F.count(F.lit(1)).over(by)})
-    asked = speakers.withColumn("k", F.row_number().over(W.partitionBy("chapter", "gender").orderBy("pos")) - 1)
+    cells = speakers.withColumn("cell", F.floor(F.col("pos") / CELL))
+    before = W.partitionBy("chapter", "gender").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cells.groupBy("chapter", "gender", "cell").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select("chapter", "gender", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("chapter", "gender", "cell").orderBy("pos")) - 1
+    asked = cells.withColumn("own", own).join(sizes, ["chapter", "gender", "cell"]).withColumn("k", F.col("own") + F.col("before"))
     sizes = ranked.select("gender", "n").distinct()
     turn = asked.join(sizes, "gender").withColumn("turn", F.col("k") % F.col("n"))
     return turn.join(ranked.drop("n"), ["gender", "turn"]).select("chapter", "pos", "speaker", "voice")

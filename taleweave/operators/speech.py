@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,22 +58,31 @@ def balanced(words: pd.Series, width: pd.Series) -> pd.Series:
 
 
 def _balance(words: list[str], width: int) -> list[str]:
+    """best[b]: the least sum for the first b words in as many rows as are laid so far; one step of it a row."""
+    sizes = np.array([len(w) for w in words], np.int64)
     rows, used = 1, -1
-    for w in words:
-        used += len(w) + 1
-        if used > width and used > len(w):
-            rows, used = rows + 1, len(w)
-    span = lambda a, b: sum(map(len, words[a:b])) + b - a - 1
-    best = {0: (0, [])}
-    for _ in range(min(rows, len(words))):
-        nxt: dict[int, tuple[int, list[str]]] = {}
-        for a, (cost, lines) in best.items():
-            for b in range(a + 1, len(words) + 1):
-                new = cost + span(a, b) ** 2
-                if b not in nxt or new < nxt[b][0]:
-                    nxt[b] = (new, [*lines, " ".join(words[a:b])])
-        best = nxt
-    return best[len(words)][1] if words else []
+    for n in sizes.tolist():
+        used += n + 1
+        if used > width and used > n:
+            rows, used = rows + 1, n
+    edges, n = np.concatenate([[0], np.cumsum(sizes + 1)]), len(words)
+    never = np.int64(1) << 60
+    best, cuts = np.full(n + 1, never), []
+    best[0] = 0
+    for row in range(1, min(rows, n) + 1):
+        last, new, cut = n - (rows - row), np.full(n + 1, never), np.zeros(n + 1, np.int64)
+        for low in range(row, last + 1, 512):  # the words that may end this row
+            ends, starts = np.arange(low, min(low + 512, last + 1)), np.arange(row - 1, last)
+            sums = best[starts, None] + (edges[ends] - edges[starts, None] - 1) ** 2
+            sums[starts[:, None] >= ends] = never
+            cut[ends], new[ends] = starts[sums.argmin(axis=0)], sums.min(axis=0)
+        best = new
+        cuts.append(cut)
+    out, end = [], n
+    for cut in reversed(cuts):
+        out.append(" ".join(words[cut[end] : end]))
+        end = cut[end]
+    return out[::-1]
 
 
 @F.pandas_udf(StringType())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("web", "text", "timeline", "match", "ledger", "numbers", "sequential", "contracts", "files", "chapters")
+MODULES: tuple[str, ...] = ("web", "text", "timeline", "match", "ledger", "numbers", "sequential", "contracts", "files", "chapters", "audit")
 
 
 def load() -> None:

@@ -27,7 +27,8 @@ def json_documents(spark, sf_dir):
 
     path = fresh_path(spark, "documents")
     body = F.concat(F.lit('{\n  "event_id": '), F.col("event_id").cast("string"), F.lit(',\n  "props": '), "props", F.lit("\n}"))
-    table(spark, sf_dir, "events").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    bodies = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("thousand")).agg(F.collect_list(body).alias("bodies"))
+    bodies.select("thousand", F.concat(F.lit("["), F.array_join("bodies", ",\n"), F.lit("]")).alias("value")).write.partitionBy("thousand").text(path)
     return files.documents(spark, path, "event_id long, props struct<k:long>").select("event_id", F.col("props.k").alias("k"))
 
 
@@ -109,7 +110,7 @@ def short_chunk_merge(spark, sf_dir):
 
 @query("o14_balanced_lines")
 def balanced_lines(spark, sf_dir):
-    words = F.slice(F.filter(F.split("text", rf"{S}+"), lambda w: w != ""), 1, 24)
+    words = F.filter(F.split("text", rf"{S}+"), lambda w: w != "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(sp.balanced(words, F.lit(42))).alias("row", "line"))
 
 
@@ -142,11 +143,6 @@ def json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sp.repaired_json(pick(_BROKEN, F.col("event_id"))).alias("body"))
 
 
-@query("v14_repair_verdict", "SELECT event_id, event_id % 6 <> 4 AS accepted FROM events")
-def repair_verdict(spark, sf_dir):
-    return json_repair(spark, sf_dir).select("event_id", F.col("body").isNotNull().alias("accepted"))
-
-
 @query("p33_sound_items", "SELECT conv_id, turn, turn % 3 = 1 AND turn % 2 = 0 AS sound FROM conversations")
 def sound_items(spark, sf_dir):
     t = F.col("turn")
@@ -163,15 +159,6 @@ def speaker_predicates(spark, sf_dir):
     return c.join(retracted, ["conv_id", "turn"], "left").select("conv_id", "turn", F.lower(F.trim("role")).isin("anonymous", "system").alias("anonymous"), kind.alias("kind"))
 
 
-@query("v19_babble_verdict", r"SELECT doc_id, CASE WHEN doc_id % 9 > s THEN 'babble' WHEN doc_id % 31 = 0 THEN 'cap' ELSE 'clean' END AS verdict FROM (SELECT doc_id, len(regexp_extract_all(lower(regexp_extract(text, '([^ ]+)', 1)), '[aeiouyæɐɑɒɔəɘɛɜɤɯɵøœʉʊʌɪɨ]+')) AS s FROM documents)")
-def babble_verdict(spark, sf_dir):
-    from taleweave.functions.numbers import VOWELS
-
-    syllables = F.regexp_count(F.lower(F.regexp_extract("text", "([^ ]+)", 1)), F.lit(f"[{VOWELS}]+"))
-    k = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 9 > syllables, "babble").when(k % 31 == 0, "cap").otherwise("clean").alias("verdict"))
-
-
 @query("a26_onsets")
 def onsets(spark, sf_dir):
     """Box average of |x|, and where it first crosses 5, 25 and 90 percent of its peak."""
@@ -226,12 +213,6 @@ def chunk_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 4).alias("chunk")).agg(F.substring(F.sha2(F.array_join(parts, ";"), 256), 1, 16).alias("key"))
 
 
-@query("v15_attribution_audit", "SELECT conv_id, turn, 'mention' AS finding FROM conversations WHERE turn % 2 = 0 AND starts_with(lower(text), 'le')")
-def attribution_audit(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where((F.col("turn") % 2 == 0) & F.lower("text").startswith("le"))
-    return c.select("conv_id", "turn", F.lit("mention").alias("finding"))
-
-
 _VOICES = """v AS (SELECT n_nationkey AS voice, n_nationkey % 2 AS gender, row_number() OVER (PARTITION BY n_nationkey % 2 ORDER BY used, n_name) - 1 AS t, count(*) OVER (PARTITION BY n_nationkey % 2) AS n FROM (SELECT n_nationkey, n_name, count(c_custkey) AS used FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)),
   bad AS (SELECT c_custkey, c_custkey % 2 AS gender, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) - 1 AS k FROM customer WHERE c_nationkey % 2 <> c_custkey % 2)"""
 
@@ -274,17 +255,17 @@ def reconcile_apply(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(folds, "o_custkey", "left").select("o_orderkey", F.coalesce("survivor", "o_custkey").alias("speaker"))
 
 
-_WORKERS = "workers AS (SELECT 'w' || s_suppkey AS worker, list_element(['merge', 'render', 'digest', 'crawl'], s_suppkey % 4 + 1) AS stage, s_suppkey AS place FROM supplier WHERE s_suppkey < 40)"
+_WORKERS = "workers AS (SELECT 'w' || s_suppkey AS worker, list_element(['merge', 'render', 'digest', 'crawl'], s_suppkey % 4 + 1) AS stage, s_suppkey AS place FROM supplier)"
 
 
 @query("t05_offer", f"WITH {_TASKS}, {_WORKERS}, w AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY place) AS k FROM workers), t AS (SELECT stage, chapter, take, row_number() OVER (PARTITION BY stage ORDER BY chapter, take) AS k FROM tasks WHERE state = 'pending') SELECT worker, stage, chapter, take FROM w JOIN t USING (stage, k)")
 def offer(spark, sf_dir):
     """One tick of the scheduler: the workers of each stage, in order of asking, get its pending rows in order."""
     s = F.col("s_suppkey")
-    workers = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("w"), s).alias("worker"), pick(("merge", "render", "digest", "crawl"), s % 4).alias("stage"), s.alias("place"))
+    workers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("w"), s).alias("worker"), pick(("merge", "render", "digest", "crawl"), s % 4).alias("stage"), s.alias("place"))
     w = workers.withColumn("k", F.row_number().over(W.partitionBy("stage").orderBy("place")))
     t = tasks(spark, sf_dir).where("state = 'pending'").select("stage", "chapter", "take", F.row_number().over(W.partitionBy("stage").orderBy("chapter", "take")).alias("k"))
-    return w.join(t.where("k <= 40"), ["stage", "k"]).select("worker", "stage", "chapter", "take")
+    return w.join(t, ["stage", "k"]).select("worker", "stage", "chapter", "take")
 
 
 @query("t12_write_queue", f"WITH {_TASKS}, busy AS (SELECT DISTINCT chapter FROM tasks WHERE state IN ('assigned', 'running')), q AS (SELECT o_orderkey AS id, o_custkey AS chapter FROM orders WHERE o_orderstatus = 'P') SELECT id, chapter FROM q ANTI JOIN busy USING (chapter)")

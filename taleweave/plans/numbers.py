@@ -79,9 +79,9 @@ def softmax(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.transform(fn.softmax(F.col("embedding")), lambda p: F.round(p, 9)).alias("p"))
 
 
-@query("f55_repetition_penalty", "SELECT vec_id, list_transform(range(1, 9), lambda i: round(CASE WHEN i - 1 IN (0, 3, 5) THEN CASE WHEN embedding[i] < 0 THEN CAST(embedding[i] AS DOUBLE) * 1.5 ELSE CAST(embedding[i] AS DOUBLE) / 1.5 END ELSE CAST(embedding[i] AS DOUBLE) END, 9)) AS x FROM embeddings")
+@query("f55_repetition_penalty", "SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: round(CASE WHEN i - 1 IN (0, 3, 5) THEN CASE WHEN embedding[i] < 0 THEN CAST(embedding[i] AS DOUBLE) * 1.5 ELSE CAST(embedding[i] AS DOUBLE) / 1.5 END ELSE CAST(embedding[i] AS DOUBLE) END, 9)) AS x FROM embeddings")
 def repetition_penalty(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     return vectors(spark, sf_dir).select("vec_id", F.transform(fn.penalise(logits, F.array(F.lit(0), F.lit(3), F.lit(5)), 1.5), lambda x: F.round(x, 9)).alias("x"))
 
 
@@ -219,8 +219,8 @@ def sound_judge(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", doubt.alias("doubt"), (F.col("event_id") == first).alias("complains"))
 
 
-@query("x09_prompt_sections", r"SELECT doc_id, regexp_replace(regexp_replace('# Text' || chr(10) || '{{text}}' || chr(10) || '# Cast' || chr(10) || '{{cast}} {{gone}}', '\{\{text\}\}', substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 40)), '\{\{cast\}\}', source) AS prompt FROM documents")
+@query("x09_prompt_sections", r"SELECT doc_id, regexp_replace(regexp_replace('# Text' || chr(10) || '{{text}}' || chr(10) || '# Cast' || chr(10) || '{{cast}} {{gone}}', '\{\{text\}\}', regexp_replace(text, '[^a-z ]', '', 'g')), '\{\{cast\}\}', source) AS prompt FROM documents")
 def prompt_sections(spark, sf_dir):
     out = F.lit("# Text\n{{text}}\n# Cast\n{{cast}} {{gone}}")
-    out = F.replace(out, F.lit("{{text}}"), F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40))
+    out = F.replace(out, F.lit("{{text}}"), F.regexp_replace("text", "[^a-z ]", ""))
     return table(spark, sf_dir, "documents").select("doc_id", F.replace(out, F.lit("{{cast}}"), F.col("source")).alias("prompt"))

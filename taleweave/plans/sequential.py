@@ -83,19 +83,6 @@ def quote_parity(spark, sf_dir):
     return p.where(F.trim("part") != "").select("doc_id", "pos", F.when(F.col("pos") % 2 == 1, "dialogue").otherwise("narration").alias("kind"), "part")
 
 
-@query("v01_quote_findings")
-def quote_findings(spark, sf_dir):
-    """Quotes that never close, speeches over a paragraph end, and long speeches that prose runs into."""
-    e = quote_segmentation(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    before = F.lag(F.struct("kind", "text", "to")).over(W.partitionBy("chapter").orderBy("pos"))
-    d = e.withColumn("b", before).where("kind = 'dialogue'")
-    welded = (F.length("text") > 120) & (F.col("b.kind") == "narration") & (F.col("b.to") == F.col("from") - 1) & F.col("b.text").rlike(r"[\p{L}\p{N}]\z")
-    kind = F.when(F.col("open"), "unclosed quote").when(F.col("text").rlike(r"\n[^\n]*[^ \t\n]"), "swallowed paragraph").when(welded, "welded prose")
-    return d.select("chapter", "pos", kind.alias("kind")).where("kind is not null")
-
-
 _SENT = rf"list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_trim('x')}), lambda x: x <> '')"
 
 

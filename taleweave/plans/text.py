@@ -53,10 +53,10 @@ def _lines(spark, sf_dir):
 @query(
     "p21_quoted_term",
     rf"""SELECT doc_id, line, t <> '' AND NOT regexp_matches(t, '[\n.!?…]') AND length(t) <= 24 AND len(regexp_split_to_array(t, '{S}+')) <= 4 AS term
-    FROM (SELECT doc_id, CAST(line AS INTEGER) AS line, {sql_trim("substr(text, 1, 30)")} AS t FROM {_LINES})""",
+    FROM (SELECT doc_id, CAST(line AS INTEGER) AS line, {sql_trim("text")} AS t FROM {_LINES})""",
 )
 def quoted_term(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "line", fn.quoted_term(F.substring("text", 1, 30)).alias("term"))
+    return _lines(spark, sf_dir).select("doc_id", "line", fn.quoted_term(F.col("text")).alias("term"))
 
 
 def _has(markers, words: str) -> str:

@@ -120,12 +120,12 @@ def carry_forward(spark, sf_dir):
     return op.carry_forward(lines(spark, sf_dir), ["scene", "music"]).select("chapter", "pos", "scene", "music")
 
 
-@query("w12_adjacent_repeats", """WITH t AS (SELECT conv_id AS chapter, turn AS pos, CASE WHEN turn % 3 = 2 THEN 'again' ELSE substr(text, 1, 3) END AS text, 'x' || turn // 2 AS speaker FROM conversations),
+@query("w12_adjacent_repeats", """WITH t AS (SELECT conv_id AS chapter, turn AS pos, CASE WHEN turn % 3 = 2 THEN 'again' ELSE text END AS text, 'x' || turn // 2 AS speaker FROM conversations),
     b AS (SELECT *, lag(text) OVER w AS said, lag(speaker) OVER w AS by_ FROM (SELECT chapter, pos, CASE WHEN pos % 4 > 1 THEN 'same' ELSE text END AS text, speaker FROM t) WINDOW w AS (PARTITION BY chapter ORDER BY pos))
     SELECT chapter, pos FROM b WHERE text = said AND speaker = by_""")
 def adjacent_repeats(spark, sf_dir):
     t = lines(spark, sf_dir).withColumn("speaker", F.concat(F.lit("x"), F.floor(F.col("pos") / 2)))
-    t = t.withColumn("text", F.when(F.col("pos") % 4 > 1, "same").when(F.col("pos") % 3 == 2, "again").otherwise(F.substring("text", 1, 3)))
+    t = t.withColumn("text", F.when(F.col("pos") % 4 > 1, "same").when(F.col("pos") % 3 == 2, "again").otherwise(F.col("text")))
     return op.adjacent_repeats(t)
 
 
@@ -163,9 +163,9 @@ def caption_frames(spark, sf_dir):
     return op.snap(slots(spark, sf_dir), 24)
 
 
-@query("w25_frame_timeline", f"""WITH {_SNAP} SELECT chapter, pos, unnest(range(first, last)) AS frame FROM snapped WHERE last > first AND chapter % 10 >= 0 AND pos <= 2""")
+@query("w25_frame_timeline", f"""WITH {_SNAP} SELECT chapter, pos, unnest(range(first, last)) AS frame FROM snapped WHERE last > first""")
 def frame_timeline(spark, sf_dir):
-    return op.frames(op.snap(slots(spark, sf_dir), 24).where("pos <= 2"))
+    return op.frames(op.snap(slots(spark, sf_dir), 24))
 
 
 _ITEMS = "items AS (SELECT conv_id AS chapter, turn AS pos, CASE WHEN turn % 5 = 1 THEN 'rain' WHEN turn % 5 = 2 AND conv_id % 2 = 0 THEN 'fire' END AS sound, CASE WHEN turn % 5 = 4 AND conv_id % 3 > 0 THEN 'rain' WHEN turn = 7 THEN 'fire' END AS stop, turn % 2 = 0 OR turn > 4 AS spoken FROM conversations)"

@@ -209,14 +209,15 @@ def template_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s13_discovered_index",
-    """WITH listing AS (SELECT page_id AS n, url FROM pages WHERE page_id % 3 <> 0), wanted AS (SELECT n FROM range(0, 300) t(n)), total AS (SELECT 200 AS total)
+    """WITH listing AS (SELECT page_id AS n, url FROM pages WHERE page_id % 3 <> 0), wanted AS (SELECT unnest(range(lo, hi + 1)) AS n FROM (SELECT min(n) AS lo, max(n) AS hi FROM listing)), total AS (SELECT max(n) - 9 AS total FROM listing)
     SELECT n, CASE WHEN n > total THEN NULL ELSE url END AS url, n > total AS absent FROM wanted LEFT JOIN listing USING (n), total""",
 )
 def discovered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleweave.operators.index import densify
 
     listing = table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.col("page_id").alias("n"), "url")
-    return densify(listing.where("n < 300"), 0, 300, total=200)
+    low, high = listing.agg(F.min("n"), F.max("n")).first()
+    return densify(listing, low, high - low + 1, total=high - 9)
 
 
 @query(
