@@ -24,9 +24,12 @@ def session(app: str = "taleweave", cores: str | int = "*", partitions: int = 8)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only a local session may leave it unset, as in tests, and
+    gets one of its own; on a cluster every executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-taleweave-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
