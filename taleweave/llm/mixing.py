@@ -99,12 +99,13 @@ def mix(documents: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int =
 
 
 def mixed(documents: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it; columns as in documents.
+    """The rows of documents, each as often as the mix takes it; columns as in documents, whatever their names.
 
     Rows are numbered in a written copy, so rows that share a doc_id get copies of their own.
     """
-    numbered = written(documents.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    keys = numbered.select(F.col("__row").alias("doc_id"), *(c for c in ("source", "text") if c in documents.columns))
-    copies = mix(keys, weights, share, most, seed).where("copies > 0").select(F.col("doc_id").alias("__row"), "copies")
-    out = numbered.join(copies, "__row")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*documents.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    numbered = written(documents.select(row, F.monotonically_increasing_id().alias("number")), "mix-rows")
+    keys = numbered.select(F.col("number").alias("doc_id"), "row.source", "row.text")
+    copies = mix(keys, weights, share, most, seed).where("copies > 0").select(F.col("doc_id").alias("number"), "copies")
+    out = numbered.join(copies, "number")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

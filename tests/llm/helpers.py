@@ -25,5 +25,5 @@ def clashing(df):
     """Extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["size", "taken", "grp", "salt", "row", "component", "slot", "shard", "n_tokens", "kept", "place", "band", "word", "n_words", "path_", "id", "start", "rank", "f0", "turn"]
+    names = ["size", "taken", "grp", "salt", "row", "component", "slot", "shard", "n_tokens", "kept", "place", "band", "word", "n_words", "path_", "id", "start", "rank", "f0", "turn", "number", "copies", "text_key", "__row", "__copy", "__words"]
     return df.withColumns({n: F.lit("x") for n in names})
