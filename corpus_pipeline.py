@@ -15,22 +15,30 @@ from taleweave.scratch import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules accept."""
+    """Documents that the rules accept. Null and empty texts have no words and go; very long texts are judged whole; null
+    language and source are groups of their own; repeated rows get equal verdicts. All columns stay, whatever their names;
+    an empty table gives an empty one."""
     return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
+    """One document of each group of near copies (five words, similarity 0.8), that of the least doc_id. Texts without words
+    and rows without doc_id have no copies and stay; exact repeats of a row become one; rows that repeat a doc_id with
+    another text are judged by that text; very long texts are compared whole. All columns stay; an empty table gives an
+    empty one."""
     return near_dup.without_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it. Null and empty texts have size 0; the null source is a source of its
+    own; repeated rows count one by one. All columns stay, whatever their names; an empty table gives an empty one."""
     return mixing.mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each row of the mix, with their count and whether they decode to the text."""
+    """Piece ids of each row of the mix, with their count and whether they decode to the text. Null and empty texts have no
+    pieces; very long texts are encoded whole; repeated rows give repeated rows; other columns than doc_id and text go; an
+    empty table gives no rows."""
     return piece_fst.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
