@@ -8,8 +8,9 @@
 4. A candidate whose sizes or one-byte bin values (see likely()) cannot belong to a near pair goes; the others are
    confirmed on the full sets, recomputed from the texts. Confirmed links give components (alternating stars over written
    tables, never on the driver).
-5. Two classes can be near while neither is near the centre. Buckets that still hold several components get new stars,
-   one class of each component around a centre drawn anew, up to ROUNDS times. This only joins large groups cheaply.
+5. Two classes can be near while neither is near the centre. Buckets of over FULL classes that still hold several
+   components get new stars, one class of each component around a centre drawn anew, up to ROUNDS times or until a star
+   joins nothing. This only joins large groups cheaply; no result depends on it.
 6. What then lies in one bucket but in different components is paired without exception: in buckets of up to FULL
    classes directly, and the classes of larger buckets by an exact prefix-filter join on their full sets (rare_pairs()),
    whose candidates include every near pair, whether or not it shares a bucket. Pairs inside a component need no test.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from taleweave.scratch import written
 
 BINS, BANDS = 200, 40
-ROUNDS, FULL, SALTS, BLOCK = 3, 16, 16, 64
+ROUNDS, FULL, SALTS, BLOCK = 2, 16, 16, 64
 #: A key with more rows than this is split over SALTS tasks before it is joined.
 HOT = 512
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -118,16 +119,6 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sketch, kind)
 
 
-def _meet(pairs: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """pairs joined with one, which has a row per key. The pairs of a key that many pairs share, such as a star's centre,
-    are dealt to SALTS copies of its row."""
-    hot = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    spread = pairs.withColumn("__salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).join(hot.withColumn("__hot", F.lit(True)), [key, "__salt"], "left")
-    spread = spread.withColumn("__salt", F.when(F.col("__hot"), F.col("__salt")).otherwise(-1)).drop("__hot")
-    copies = one.withColumn("__salt", F.lit(-1)).unionByName(one.join(hot, key))
-    return spread.join(copies, [key, "__salt"]).drop("__salt")
-
-
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose bins agree in a share of no less than six standard
     deviations below it (a near pair falls below with probability 1e-9). Bins that copy another count with it, so a set of
@@ -145,12 +136,13 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     a = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sig_a"))
     b = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sig_b"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    met = _meet(_meet(pairs, a, "a"), b, "b").where(100 * low >= percent * high)
+    met = pairs.join(a, "a").join(b, "b").where(100 * low >= percent * high)
     return met.select("a", "b", low.alias("low"), "sig_a", "sig_b").mapInArrow(close, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: id, text."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: id, text. The pairs of an a that
+    many pairs share, such as a star's centre, are dealt to SALTS copies of its text."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -174,7 +166,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return _meet(_meet(pairs, a, "a"), b, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(hot.where(F.col("n") > HOT).select("a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "hot-centres")
+    if hot.isEmpty():
+        met = pairs.join(a, "a")
+    else:
+        salted = pairs.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        salted = salted.join(hot.select("a", F.col("salt").alias("own"), F.lit(True).alias("hot")), ["a", "own"], "left")
+        salted = salted.select("a", "b", F.when(F.col("hot"), F.col("own")).otherwise(-1).alias("salt"))
+        met = salted.join(a.withColumn("salt", F.lit(-1)).unionByName(a.join(hot, "a")), ["a", "salt"])
+    return met.join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,15 +190,15 @@ def components(links: DataFrame) -> DataFrame:
             out = met.select(F.col("v"), F.col("m")).where("v <> m").union(least.select("u", "m"))
         else:
             out = met.where("v > u").select(F.col("v"), F.least("m", "u").alias("m"))
-        return out.toDF("u", "v").where("u > v").distinct()
+        return out.toDF("u", "v").where("u > v")
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "stars")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links-once")
     before = mark(edges)
     while before[0]:
-        edges = written(stars(stars(edges, False), True), "stars")
+        edges = written(stars(stars(edges, False), True).distinct(), "stars")
         if (now := mark(edges)) == before:
             break
         before = now
@@ -205,10 +206,6 @@ def components(links: DataFrame) -> DataFrame:
     return written(least.union(edges.select("v", "v")).groupBy("id").agg(F.min("component").alias("component")), "components")
 
 
-def _pair(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
 def _salt(n: str = "n", *columns: str) -> Column:
     """For rows of a key with n rows in all: one of SALTS numbers where n is over HOT, else 0."""
     return F.when(F.col(n) > HOT, F.pmod(F.xxhash64(*(columns or ["id"])), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
@@ -229,12 +226,12 @@ def divided(places: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def redrawn(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of point 5: stars over one class of each component of a bucket. rows: bucket, id, n, component. Equal
-    buckets draw equal centres."""
+    """Pairs (centre a, member b) of point 5: stars over one class of each component of a bucket. rows: bucket, id, n,
+    component. Equal buckets draw equal centres."""
     one = rows.groupBy("bucket", "n", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
     centres = one.groupBy("bucket", "n").agg(F.min_by("id", F.xxhash64("component", F.lit(turn))).alias("centre"))
     met = one.withColumn("salt", _salt()).join(centres.select("bucket", "centre", _salts().alias("salt")), ["bucket", "salt"])
-    return met.where("id <> centre").select(*_pair("id", "centre")).distinct()
+    return met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def across(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -287,7 +284,7 @@ def rare_pairs(classes: DataFrame, texts: DataFrame, width: int, percent: int) -
     y = first.select("key", own["ys"].alias("yb"), every["xs"].alias("xb"), *named("y"))
     met = x.join(y, ["key", "xb", "yb"]).where("component_x <> component_y and (size_x < size_y or size_x = size_y and id_x < id_y)")
     enough = (100 + percent) * (F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) + 1) >= percent * (F.col("size_x") + F.col("size_y"))
-    return met.where(enough & (100 * F.col("size_x") >= percent * F.col("size_y"))).select(*_pair("id_x", "id_y")).distinct()
+    return met.where(enough & (100 * F.col("size_x") >= percent * F.col("size_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -307,24 +304,22 @@ def _judged(documents: DataFrame, width: int, percent: int) -> DataFrame:
     shares = places.groupBy("id").agg(F.sum("n").alias("shares"))
     centres = places.join(shares, "id").groupBy("bucket", "n").agg(F.max_by("id", F.struct(F.col("shares"), -F.col("id"))).alias("centre"))
     met = places.withColumn("salt", _salt()).join(centres.select("bucket", "centre", _salts().alias("salt")), ["bucket", "salt"])
-    tested = written(met.where("id <> centre").select(*_pair("id", "centre")).distinct(), "pairs")
+    stars = met.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
     def links(candidates: DataFrame) -> DataFrame:
         return written(confirmed(written(likely(candidates, signatures, percent), "likely"), texts, width, percent), "links")
 
-    all_links = links(tested)
+    all_links = links(stars)
     found = components(all_links)
     rows = divided(places, found)
     for turn in range(ROUNDS):
-        drawn = written(redrawn(rows, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = links(drawn)
-        tested = tested.union(drawn)
+        more = links(redrawn(rows.where(F.col("n") > FULL), turn))
         if more.isEmpty():
             break
         all_links = all_links.union(more)
         found = components(all_links)
         rows = divided(rows, found)
-    more = links(across(rows, texts, width, percent).join(tested, ["a", "b"], "left_anti"))
+    more = links(across(rows, texts, width, percent))
     if not more.isEmpty():
         found = components(all_links.union(more))
     named = classes.select("id", "set_key", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
