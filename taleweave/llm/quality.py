@@ -14,7 +14,8 @@ language and source gets a minimum-covariance-determinant estimate:
 Every step is one aggregation of sums per group with the quantile from a mergeable sketch, and the joins of documents
 with their group's estimate are salted, so no task holds a group, not even that of all documents.
 Most documents have no symbols and no repeats, so the covariance of the half would be singular: FLOOR is added to each
-component's variance. Groups of fewer than LEAST documents are judged with the estimate of all documents together.
+component's variance. A group of fewer than LEAST documents is judged with the estimate of its language, failing that of
+its source, failing that of all documents: the first of them that has LEAST documents.
 Distances are whitened through a Cholesky factor, written out for the five components.
 
 Null language and null source are groups of their own. Rows are judged one by one, so repeated rows get equal verdicts
@@ -149,24 +150,26 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     return estimate.join(scale, "grp")
 
 
-def _group() -> Column:
-    """Language and source as one key; null differs from every name."""
-    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("null")) for c in ("lang", "source")]), 256)
+def _group(*names: str) -> Column:
+    """The columns as one key; null differs from every name."""
+    parts = [F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("null")) for c in names]
+    return F.sha2(F.concat(F.lit(f"{','.join(names)};"), *parts), 256)
 
 
 def _described(documents: DataFrame, keep: list[str]) -> DataFrame:
     stats = statistics(documents.select(*dict.fromkeys([*keep, "doc_id", "text", "lang", "source"])))
-    return stats.select(*keep, *STATISTICS, _group().alias("grp"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"), base_failed().alias("base_failed"), *[x.alias(f) for f, x in zip(FEATURES, features(), strict=True)])
+    return stats.select(*keep, *STATISTICS, _group("lang", "source").alias("grp"), F.array(_group("lang"), _group("source")).alias("wider"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"), base_failed().alias("base_failed"), *[x.alias(f) for f, x in zip(FEATURES, features(), strict=True)])
 
 
 def fit(described: DataFrame) -> DataFrame:
-    """Estimate of every group in described; groups of fewer than LEAST usable documents get that of all documents."""
-    points = described.where("not base_failed").select(F.explode(F.array(F.col("grp"), F.lit("all"))).alias("grp"), "salt", *FEATURES)
-    found = written(estimates(points), "mcd")
-    own = found.where((F.col("docs") >= LEAST) & (F.col("grp") != "all"))
-    lone = described.select("grp").distinct().join(own.select("grp"), "grp", "left_anti")
-    lone = lone.withColumn("all", F.lit("all")).join(found.withColumnRenamed("grp", "all"), "all").drop("all")
-    return written(own.unionByName(lone), "mcd").drop("docs")
+    """Estimate of every group in described: its own, or that of its language, its source or all documents, the first that
+    comes from LEAST usable documents."""
+    levels = F.concat(F.array("grp"), "wider", F.array(F.lit("all")))
+    points = described.where("not base_failed").select(F.explode(levels).alias("grp"), "salt", *FEATURES)
+    found = written(estimates(points), "mcd").where((F.col("docs") >= LEAST) | (F.col("grp") == "all")).drop("docs")
+    asked = described.select("grp", "wider").distinct().select(F.col("grp").alias("of"), F.posexplode(levels).alias("level", "grp"))
+    chosen = asked.join(found, "grp").groupBy("of").agg(F.min_by(F.struct(*[c for c in found.columns if c != "grp"]), "level").alias("x"))
+    return written(chosen.select(F.col("of").alias("grp"), "x.*"), "mcd")
 
 
 def _judged(described: DataFrame, fitted: DataFrame, cutoff: float) -> DataFrame:

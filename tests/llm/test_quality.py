@@ -65,11 +65,18 @@ def test_verdicts_against_numpy(spark):
     for r in rows:
         if not failed[r[0]]:
             groups.setdefault((r[2], r[3]), []).append(r[0])
-    everyone = estimate(np.array([features(stats[k]) for ks in groups.values() for k in ks]))
+    usable = [r for r in rows if not failed[r[0]]]
+
+    def judges(key):
+        """The documents whose estimate a group gets: its own, its language's, its source's or all."""
+        levels = [lambda r: (r[2], r[3]) == key, lambda r: r[2] == key[0], lambda r: r[3] == key[1]]
+        sets = [[r[0] for r in usable if same(r)] for same in levels]
+        return next((s for s in sets if len(s) >= quality.LEAST), [r[0] for r in usable])
+
     found = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
     assert any(len(ks) >= quality.LEAST for ks in groups.values()) and any(len(ks) < quality.LEAST for ks in groups.values())
     for key, ks in groups.items():
-        mean, cov, scale = estimate(np.array([features(stats[k]) for k in ks])) if len(ks) >= quality.LEAST else everyone
+        mean, cov, scale = estimate(np.array([features(stats[k]) for k in judges(key)]))
         for k in ks:
             d = np.array(features(stats[k])) - mean
             want = d @ np.linalg.inv(cov) @ d / scale
