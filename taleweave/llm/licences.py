@@ -3,11 +3,14 @@
 Passages of a file are all its lines, all its blocks between blank lines and, for a licence file (see LICENCE_FILE), the
 whole text. Words are runs of letters, digits, dots and dashes, lower-cased. A word weighs tf * idf with idf =
 log((1 + t) / (1 + df)) + 1 over the t templates; words of no template have df 0, so that foreign text lowers a cosine.
-The best template of a file's best passage at THRESHOLD or more is its own licence (ties: the smaller name).
+The best template of a file's best passage at THRESHOLD or more is its own licence (ties: the smaller name). Neighbouring
+licences differ in few words, so a template counts only if the passage names its version numbers and the same of the
+words in DECIDING as the template does: a licence without a template gets no name rather than its neighbour's.
 
 A directory's licence is that of its best licence file (highest cosine, then name). A file without a licence of its own
 takes that of the nearest directory above it: the distinct directories are exploded to their ancestors and joined with
-the licensed directories, both joins salted, so one directory or root with a third of all rows is spread over SALTS keys.
+the licensed directories, salted, so that one root above a third of all directories is spread over SALTS keys. Files meet
+the result, one row per directory, in a plain join, which adaptive execution splits where a directory is hot.
 
 Null and empty texts have no passages and can only inherit; a null path has no directory; repeated rows get equal
 verdicts; an empty table gives no rows.
@@ -28,30 +31,57 @@ from taleweave.scratch import written
 
 THRESHOLD, SALTS = 0.6, 32
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice)([^a-z].*)?$"
+#: Words (also within others) that tell a licence from its neighbours.
+DECIDING = ("affero", "lesser", "sharealike", "by-sa", "-sa ", "noderiv", "by-nd", "-nd ", "noncommercial", "by-nc")
+#: A licence whose first clauses are those of another: what the text must hold besides.
+REFINED = {"BSD-2-Clause": ("neither the name", "BSD-3-Clause")}
 _WORD = re.compile(r"[0-9a-zà-ɏ](?:[0-9a-zà-ɏ.-]*[0-9a-zà-ɏ])?")
 
 # Notices as their licences recommend or as they are commonly worded.
 TEMPLATES = {
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     ),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
 }
 
 
+def decided(words: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """The DECIDING words of a passage, and its numbers without a trailing .0."""
+    text = " ".join([*words, ""])
+    return frozenset(d for d in DECIDING if d in text), frozenset(w.removesuffix(".0") for w in words if re.fullmatch(r"\d+(\.\d+)?", w))
+
+
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float) -> None:
         texts = [(name, Counter(_WORD.findall(t.lower()))) for name in sorted(templates) for t in templates[name]]
@@ -59,6 +89,7 @@ class Matcher:
         idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
         self.threshold, self.idf, self.foreign = threshold, idf, math.log(1 + len(texts)) + 1
         self.names = [name for name, _ in texts]
+        self.decided = [decided(_WORD.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for k, (_, tf) in enumerate(texts):
             norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
@@ -79,9 +110,12 @@ class Matcher:
             norm += weight * weight
             for k, t in self.postings.get(w, ()):
                 dots[k] += weight * t
-        best = max(dots, key=lambda k: (round(dots[k], 9), -k))
-        cosine = dots[best] / math.sqrt(norm)
-        return (cosine, self.names[best]) if cosine >= self.threshold else None
+        least, own_words = self.threshold * math.sqrt(norm), None
+        for k in sorted((k for k in dots if dots[k] >= least), key=lambda k: (-round(dots[k], 9), k)):
+            own_words = own_words or decided(words)
+            if self.decided[k][0] == own_words[0] and self.decided[k][1] <= own_words[1]:
+                return dots[k] / math.sqrt(norm), self.names[k]
+        return None
 
     def best(self, text: str | None, licence_file: bool) -> tuple[float, str] | None:
         if not text:
@@ -99,7 +133,11 @@ class Matcher:
         if licence_file:
             found.append(self._cosine(_WORD.findall(text.lower())))
         good = [x for x in found if x]
-        return min(good, key=lambda x: (-round(x[0], 9), x[1])) if good else None
+        if not good:
+            return None
+        cosine, name = min(good, key=lambda x: (-round(x[0], 9), x[1]))
+        clause, fuller = REFINED.get(name, ("", name))
+        return cosine, fuller if clause in " ".join(text.lower().split()) else name
 
 
 def own_licences(files: DataFrame, keep: tuple[str, ...], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,6 +180,5 @@ def scan(files: DataFrame, keep: tuple[str, ...] = (), templates=TEMPLATES, thre
     licensed = written(licensed.select("directory", "x.licence"), "licensed-directories")
     directories = own.where("own is null and directory is not null").select("directory").distinct()
     found = written(inherited(directories, licensed), "inherited")
-    lone = own.withColumn("salt", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")))
-    out = lone.join(_salted(found), ["directory", "salt"], "left")
+    out = own.join(found, "directory", "left")
     return out.select(*dict.fromkeys([*keep, "path"]), "own", "cosine", F.coalesce("own", "inherited").alias("licence"), F.when(F.col("own").isNull(), F.col("from_directory")).alias("from_directory"))

@@ -66,3 +66,16 @@ def test_ties_take_the_smaller_name(spark):
     files = spark.createDataFrame([("f", "alpha beta gamma")], "path string, text string")
     r = licences.own_licences(files, (), same).first()
     assert r.own == "A" and r.cosine == pytest.approx(1.0)
+
+
+def test_neighbouring_licences_keep_their_own_names():
+    matcher = licences.Matcher(licences.TEMPLATES, licences.THRESHOLD)
+    name = lambda text: (matcher.best(text, True) or (0, None))[1]
+    for own, texts in licences.TEMPLATES.items():
+        assert {name(t) for t in texts} == {own}
+    assert name("GNU Affero General Public License, version 3") in ("AGPL-3.0", None)
+    assert name("GNU General Public License, version 2") in ("GPL-2.0", None)
+    assert name("This work is licensed under the GNU General Public License, version 1.") is None
+    assert name("Licensed under CC BY-NC-SA 4.0.") is None
+    two = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:"
+    assert name(two) == "BSD-2-Clause" and name(two + "\n\n3. Neither the name of the holder\nnor of its contributors") == "BSD-3-Clause"
