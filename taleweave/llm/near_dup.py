@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from taleweave.scratch import written
 
 BINS, BANDS = 200, 40
-ROUNDS, FULL, SALTS, BLOCK = 2, 16, 16, 64
+ROUNDS, FULL, SALTS, BLOCK = 2, 16, 16, 1024
 #: A key with more rows than this is split over SALTS tasks before it is joined.
 HOT = 512
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
