@@ -188,11 +188,23 @@ def test_nothing_breaks_on_empty_tables(spark):
     assert ledger.progress(tasks).count() == 0 and ledger.upstream_done(tasks).count() == 0
 
 
-def test_quote_findings_of_events(spark, monkeypatch):
-    from taleweave.plans import sequential as plans
+def test_quote_findings_and_repair_verdicts(spark):
+    from taleweave.operators import audit
 
     long = "word " * 30
     text = f'He went "{long}".\n“One\ntwo”\nShe said: "{long}" and "left'
-    events = sequential.quote_events(spark.createDataFrame([(1, text)], "chapter long, text string"))
-    monkeypatch.setattr(plans, "quote_segmentation", lambda s, d: events)
-    assert sorted(r.kind for r in plans.quote_findings(spark, "").collect()) == ["swallowed paragraph", "unclosed quote", "welded prose"]
+    chapters = spark.createDataFrame([(1, text)], "chapter long, text string")
+    assert sorted(r.kind for r in audit.quote_findings(chapters).collect()) == ["swallowed paragraph", "unclosed quote", "welded prose"]
+    bodies = ["not json at all", "{}", '{"text": ""}', json.dumps({"text": 'One.\n"I go."\nTwo.'}), json.dumps({"text": 'One.\n"I go.\nTwo.'}), json.dumps({"text": 'One.\n"I go.\n\nFar."\nTwo.'})]
+    got = audit.repair_verdicts(spark.createDataFrame(list(enumerate(bodies)), "chapter long, body string"))
+    assert [r.verdict for r in got.orderBy("chapter").collect()] == ["no json", "no text", "empty", "accepted", "faulty", "accepted"]
+
+
+def test_speech_bursts(spark):
+    from taleweave.operators import audit
+
+    clicks = lambda n: ([0.5] * 40 + [0.0] * 60) * n
+    rows = [(clicks(3), "ti tø", 30, 10), (clicks(2), "ti tø", 30, 10), (clicks(1), "ti", 13, 12), (clicks(1), "ti", 13, 8), ([0.0] * 100, "ti", 30, 1), ([0.5] * 40 + [0.0] * 2 + [0.5] * 40, "ti", 30, 1), ([], "ti", 30, 1), (clicks(5), "ti<|emotion_1|>", 30, 29), (clicks(5), "<|emotion_1|>", 30, 29)]
+    df = spark.createDataFrame(rows, "wav array<double>, said string, cap int, frames int")
+    got = [tuple(r.v) for r in df.select(audit.babble(F.col("wav"), 200, F.col("said"), F.col("cap"), F.col("frames")).alias("v")).collect()]
+    assert got == [(True, 2, 3), (False, 2, 2), (True, 1, 1), (False, 1, 1), (False, 1, 0), (False, 1, 1), (False, 1, 0), (False, 1, 0), (True, 0, 0)]
