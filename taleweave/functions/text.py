@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.markup import SPACE, squeeze, trim
 
-# Marker words of thoughts, honorific suffixes, heads of descriptions, speech verbs, letter folds.
+# Marker words of thoughts, honorific suffixes, heads of descriptions, forms that are no one's alias, speech
+# verbs, letter folds.
 THOUGHT_MARKERS = (
     "i", "i'd", "i'll", "i'm", "i've", "my", "me", "mine", "myself", "we", "us", "our", "ours", "let's",
     "you", "your", "yours", "yourself", "yourselves", "tôi", "tao", "tớ",
@@ -21,6 +22,15 @@ DESCRIPTIVE_HEADS = (
     "người", "kẻ", "tên", "gã", "nữ tử", "nam tử", "cô gái", "thiếu nữ", "thiếu niên", "lão giả", "lão nhân", "lão đầu",
     "thanh niên", "nam nhân", "nữ nhân", "hán tử", "đại hán",
 )
+ALIAS_STOP = (
+    "hắn", "nàng", "ta", "ngươi", "y", "huynh", "đệ", "tỷ", "muội", "phàm nhân", "con", "người", "tên", "tiểu", "lão", "tiểu tử",
+    "narrator", "người dẫn chuyện", "nữ tử", "nam tử", "cô gái", "thiếu nữ", "thiếu niên", "nam hài", "cháu gái", "tiểu thư",
+    "công tử", "tiểu nam hài", "nữ nhân này", "tiền bối", "sư phụ", "sư thúc", "sư tôn", "tông chủ", "hội trưởng", "thánh nữ",
+    "phu nhân", "lão gia", "các hạ", "đại vương", "vương", "tiên nữ", "thuộc hạ", "quản gia", "lão ca", "lão già", "lão giả",
+    "lão đầu", "đồ nhi", "đệ tử", "sư điệt", "ca ca", "đại ca", "hiền đệ", "hiền huynh", "lão hữu", "bản tôn", "bổn hoàng",
+    "vị kia", "ông ta", "một thanh niên", "một phàm nhân", "phàm nhân này", "bọn họ", "thiếu niên này", "vị thiếu niên này",
+    "hai vị cô nương", "hai cô gái", "chó", "tiểu cẩu", "chú chó", "con chó", "cẩu nhi", "quạ đen", "con rết",
+)
 SPEECH_VERBS = (
     "nói", "hỏi", "đáp", "kêu", "rằng", "quát", "thốt", "hét", "gào", "than", "khấn", "dặn", "bảo", "thưa", "đọc",
     "trả lời", "lên tiếng", "tiếp lời", "ngắt lời", "thì thầm", "lẩm bẩm", "cười nói",
@@ -87,6 +97,11 @@ def canon_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(low, rf"^(.*?[^ ]) *(?:(?:{titles}) *)+\z", "$1"))
 
 
+def stopped(form: Column) -> Column:
+    """Whether the scene decides whom a form means: pronouns, kinship words, bare titles and the like."""
+    return F.lower(trim(form)).isin(*dict.fromkeys((*ALIAS_STOP, *TITLE_SUFFIXES)))
+
+
 def descriptive(form: Column) -> Column:
     low = F.lower(trim(form))
     return (F.size(F.split(low, rf"{SPACE}+")) >= 3) & low.rlike(rf"^(?:{'|'.join(DESCRIPTIVE_HEADS)}) ")

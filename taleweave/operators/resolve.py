@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taleweave.functions.text import canon_key, fold
+from taleweave.functions.text import canon_key, fold, stopped
 
 
 def forms(cast: DataFrame) -> DataFrame:
@@ -66,6 +66,44 @@ def merge(cast: DataFrame, folds: DataFrame) -> DataFrame:
     return gathered.select(F.col("owner").alias("name"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["aliases"]))).alias("aliases"), "chapters", "personality")
 
 
+def upsert(cast: DataFrame, found: DataFrame, said: DataFrame) -> DataFrame:
+    """The cast (name, aliases, chapters, first_seen) after the finds of some chapters, in their order.
+
+    cast: pos, name, aliases, chapters, one row per name key. found: at (order of the finds), chapter, name, aliases. said:
+    chapter, speaker. A find of a known name key folds into that character and gives it its name and aliases; the others
+    begin a character. An alias of one letter, or one whose bearer depends on the scene, is not attached, but a new
+    character always has its own name. A form belongs to whom it came first, by its key; what another claims later is
+    refused. A character is marked in the chapters that it speaks in from its first on. Names that are blank are left out.
+
+    Claims are counted once per character and form before they meet the form's owner, so a frequent form is one row per
+    character there."""
+    held = cast.select(canon_key(F.col("name")).alias("key"), F.struct(F.lit(0).alias("turn"), F.col("pos").cast("long").alias("at")).alias("order"), "name", "aliases", "chapters", F.lit(None).cast("long").alias("first_seen"))
+    new = found.where(F.trim("name") != "").select(
+        canon_key(F.col("name")).alias("key"), F.struct(F.lit(1).alias("turn"), F.col("at").cast("long").alias("at")).alias("order"), F.trim("name").alias("name"), "aliases",
+        F.array().cast("array<long>").alias("chapters"), F.col("chapter").cast("long").alias("first_seen"),
+    )
+    every = held.unionByName(new)
+    people = every.groupBy("key").agg(F.min("order").alias("born"), *[F.min_by(c, "order").alias(c) for c in ("name", "chapters", "first_seen")])
+
+    told = F.when(F.col("order.turn") == 0, F.col("aliases")).otherwise(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    claims = every.select("key", "order", F.col("name").alias("teller"), F.posexplode(told).alias("k", "form")).withColumn("form", F.trim("form"))
+    claims = claims.withColumns({"stored": F.col("order.turn") == 0, "rank": F.struct("order.turn", "order.at", "k"), "own": F.lower("form") == F.lower(F.trim("teller"))})
+    claims = claims.groupBy("key", "form").agg(F.min("rank").alias("rank"), F.max("stored").alias("stored"), F.min(F.when(F.col("own"), F.col("order"))).alias("named"))
+    claims = claims.join(people.select("key", "born"), "key")
+    claims = claims.where((F.col("named") == F.col("born")) | ((F.length("form") > 1) | F.col("stored")) & ~stopped(F.col("form"))).withColumn("form_key", canon_key(F.col("form")))
+    one = F.when(F.col("stored"), F.col("key"))
+    owner = claims.groupBy("form_key").agg(F.min_by("key", "rank").alias("owner"), F.min(one).alias("low"), F.max(one).alias("high"))
+    kept = claims.join(owner, "form_key").where(F.col("stored") | (F.col("key") == F.col("owner")) & (F.coalesce("low", "owner") == F.coalesce("high", "owner")))
+    forms = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("forms"))
+
+    heard = said.select(F.col("chapter").cast("long").alias("chapter"), canon_key(F.col("speaker")).alias("key")).distinct().join(people.select("key", "first_seen"), "key")
+    heard = heard.where(F.col("first_seen").isNull() | (F.col("chapter") >= F.col("first_seen"))).groupBy("key").agg(F.collect_set("chapter").alias("heard"))
+    out = people.join(forms, "key", "left").join(heard, "key", "left")
+    nothing = F.array().cast("array<string>")
+    marked = F.array_sort(F.array_distinct(F.concat(F.col("chapters").cast("array<long>"), F.coalesce("heard", F.array().cast("array<long>")))))
+    return out.select("name", F.coalesce(F.transform("forms", lambda x: x["form"]), nothing).alias("aliases"), marked.alias("chapters"), "first_seen")
+
+
 def cast_only_folds(keys: DataFrame, cast: DataFrame) -> DataFrame:
     """Cast keys (a column `key`) that no character is named as, with the most seen character of the same canonical key."""
     best = cast.withColumn("canon", canon_key(F.col("name"))).groupBy("canon").agg(F.max_by("name", F.struct("seen", -F.col("pos"))).alias("canonical"))

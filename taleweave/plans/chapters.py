@@ -188,12 +188,6 @@ def rule_order(spark, sf_dir):
     return d.where("value <> ''").select("doc_id", "value")
 
 
-@query("a16_bible_merge", """SELECT o_custkey AS name, list_sort(list_distinct(list(o_orderkey % 7))) AS chapters, min(o_orderkey) AS first_seen, count(DISTINCT o_orderpriority) AS aliases FROM orders GROUP BY o_custkey""")
-def bible_merge(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name"))
-    return o.agg(F.array_sort(F.collect_set(F.col("o_orderkey") % 7)).alias("chapters"), F.min("o_orderkey").alias("first_seen"), F.size(F.collect_set("o_orderpriority")).cast("long").alias("aliases"))
-
-
 @query("a34_design_fingerprint", "SELECT conv_id, sha256(string_agg(DISTINCT role || '|' || turn % 3, ';' ORDER BY role || '|' || turn % 3)) AS stamp FROM conversations GROUP BY conv_id")
 def design_fingerprint(spark, sf_dir):
     reach = F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", "role", F.col("turn") % 3))), ";")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions import bits, markup, voice, web
 from taleweave.functions import text as tx
-from taleweave.operators import pages, sequential, speech
+from taleweave.operators import pages, resolve, sequential, speech
 
 
 def value(spark, column):
@@ -208,3 +208,36 @@ def test_speech_bursts(spark):
     df = spark.createDataFrame(rows, "wav array<double>, said string, cap int, frames int")
     got = [tuple(r.v) for r in df.select(audit.babble(F.col("wav"), 200, F.col("said"), F.col("cap"), F.col("frames")).alias("v")).collect()]
     assert got == [(True, 2, 3), (False, 2, 2), (True, 1, 1), (False, 1, 1), (False, 1, 0), (False, 1, 1), (False, 1, 0), (False, 1, 0), (True, 0, 0)]
+
+
+def test_upsert_takes_finds_in_their_order(spark):
+    """Against one find after the other in plain Python; the keys here are the lower-cased names."""
+    rng = random.Random(5)
+    names, forms = ["Ann", "ann", "Bo", "Cy", "DI", "di", " ", "Ta"], ["Red", "red", "Owl", "x", "ta", "Bo", "Fox", "Di", "sư phụ"]
+    cast = [(k, n, rng.sample(forms, 2), [k]) for k, n in enumerate(["Ann", "Eve"])]
+    found = [(k, k // 3, rng.choice(names), rng.sample(forms, rng.randrange(4))) for k in range(30)]
+    said = [(rng.randrange(12), rng.choice(["ANN", "bo", "di", "nobody", "eve"])) for _ in range(30)]
+    stop = {"ta", "sư phụ"}
+    people = {n.lower(): [n, [a for a in al if a not in stop], set(ch), None] for _, n, al, ch in cast}
+    for _, chapter, name, aliases in found:
+        name = name.strip()
+        if not name:
+            continue
+        new = name.lower() not in people
+        who = people.setdefault(name.lower(), [name, [], set(), chapter])
+        for k, form in enumerate([name, *aliases]):
+            taken = any(form.lower() in [a.lower() for a in p[1]] for key, p in people.items() if key != name.lower())
+            usable = new and k == 0 or len(form) > 1 and form.lower() not in stop
+            if usable and not taken and form not in who[1]:
+                who[1].append(form)
+    for chapter, speaker in said:
+        who = people.get(speaker.lower())
+        if who and (who[3] is None or chapter >= who[3]):
+            who[2].add(chapter)
+    frames = (
+        spark.createDataFrame(cast, "pos long, name string, aliases array<string>, chapters array<long>"), spark.createDataFrame(found, "at long, chapter long, name string, aliases array<string>"),
+        spark.createDataFrame(said, "chapter long, speaker string"),
+    )
+    got = {r["name"]: (r.aliases, r.chapters, r.first_seen) for r in resolve.upsert(*frames).collect()}
+    assert got == {p[0]: (p[1], sorted(p[2]), p[3]) for p in people.values()}
+    assert not resolve.upsert(*(f.limit(0) for f in frames)).collect()
