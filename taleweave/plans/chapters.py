@@ -188,12 +188,6 @@ def rule_order(spark, sf_dir):
     return d.where("value <> ''").select("doc_id", "value")
 
 
-@query("a34_design_fingerprint", "SELECT conv_id, sha256(string_agg(DISTINCT role || '|' || turn % 3, ';' ORDER BY role || '|' || turn % 3)) AS stamp FROM conversations GROUP BY conv_id")
-def design_fingerprint(spark, sf_dir):
-    reach = F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", "role", F.col("turn") % 3))), ";")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(reach, 256).alias("stamp"))
-
-
 @query("f43_attribution_metadata", "SELECT conv_id, list_sort(list_distinct(list(CASE WHEN trim(lower(role)) = 'system' THEN 'Narrator' ELSE upper(substr(trim(role), 1, 1)) || substr(trim(role), 2) END))) AS roster FROM conversations GROUP BY conv_id")
 def attribution_metadata(spark, sf_dir):
     r = F.trim("role")

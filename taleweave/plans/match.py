@@ -353,6 +353,36 @@ def bible_merge(spark, sf_dir):
     return rs.upsert(cast, found, o.select(chapter.alias("chapter"), F.concat(F.lit("CUSTOMER#"), named(F.floor(key / 2))).alias("speaker")))
 
 
+_SCENES = [(("the",), "hall"), (("en",), "cave")]
+_EFFECTS = {"hall": (("red", "small"), "wide"), "cave": (("ring", "large", "b2"), "deep")}
+_REVERBS = {"wide": "0.4"}
+_PALETTE = {"the": ("dawn", ("blue", "b3")), "is": ("dusk", ("promo", "bolt")), "of": ("dawn", ("blue", "b3"))}
+
+
+def _case(values: dict, key: str, other: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {sql_text(k)} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+@query("a34_design_fingerprint", f"""WITH {_POOL}, clips AS (SELECT CASE WHEN id % 2 = 0 THEN 'effect' ELSE 'music' END AS pool, id, tags, p_retailprice::VARCHAR AS body FROM pool JOIN part ON p_partkey = id),
+    scenes AS (SELECT DISTINCT conv_id AS chapter, trim(text, ' ') AS scene, {_rules(_SCENES, '', 'lower(text)')} AS rule FROM conversations),
+    s AS (SELECT *, {_case({k: sql_list(t) for k, (t, _) in _EFFECTS.items()}, 'rule', '[]')} AS tags, {_case({k: sql_text(r) for k, (_, r) in _EFFECTS.items()}, 'rule', sql_text(''))} AS reverb FROM scenes),
+    moods AS (SELECT DISTINCT conv_id AS chapter, regexp_extract(lower(text), '^([^ ]+) ', 1) AS mood FROM conversations WHERE regexp_matches(text, '^[^ ]+ ')),
+    m AS (SELECT *, {_case({k: sql_text(i) for k, (i, _) in _PALETTE.items()}, 'mood', 'mood')} AS entry, {_case({k: sql_list(t) for k, (_, t) in _PALETTE.items()}, 'mood', '[]')} AS tags FROM moods),
+    want AS (SELECT DISTINCT chapter, 'effect' AS pool, unnest(tags) AS tag FROM s UNION SELECT chapter, 'music', unnest(tags) FROM m),
+    n AS (SELECT chapter, c.pool, id, body, count(*) AS n FROM want w JOIN (SELECT pool, id, body, unnest(tags) AS tag FROM clips) c ON w.pool = c.pool AND w.tag = c.tag GROUP BY ALL),
+    d AS (SELECT chapter, pool, md5(string_agg(id || chr(31) || body, chr(30) ORDER BY id || chr(31) || body)) AS digest FROM (SELECT *, max(n) OVER (PARTITION BY chapter, pool) AS most FROM n) WHERE n = most GROUP BY ALL),
+    parts AS (SELECT chapter, md5(concat_ws(chr(31), 'scene', scene, rule, array_to_string(tags, ','), reverb)) AS part FROM s UNION SELECT chapter, md5(concat_ws(chr(31), 'reverb', 'wide', '0.4')) FROM s WHERE reverb = 'wide'
+      UNION SELECT chapter, md5(concat_ws(chr(31), 'mood', entry, array_to_string(tags, ','))) FROM m UNION SELECT chapter, md5(concat_ws(chr(31), 'clips', pool, digest)) FROM d)
+    SELECT chapter, substr(sha256('k1' || string_agg(part, ';' ORDER BY part)), 1, 16) AS stamp FROM parts GROUP BY chapter""")
+def design_fingerprint(spark, sf_dir):
+    """Turns as scene labels, their first words as moods; even parts are effects, odd ones music."""
+    c = table(spark, sf_dir, "conversations")
+    lines = c.select(F.col("conv_id").alias("chapter"), F.col("text").alias("scene"), F.regexp_extract(F.lower("text"), "^([^ ]+) ", 1).alias("music"))
+    price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("string").alias("body"))
+    clips = pool(spark, sf_dir).join(price, "id").select(F.when(F.col("id") % 2 == 0, "effect").otherwise("music").alias("pool"), "id", "tags", "body")
+    return op.design_stamps(lines, _SCENES, _EFFECTS, _REVERBS, _PALETTE, clips, "k1")
+
+
 _HEARD = ["user", "Stranger 5", "C-7"]
 
 
