@@ -4,7 +4,8 @@
 2. Words of a count over a threshold form the dictionary. The threshold comes from a histogram of counts, so that there
    are at most DICTIONARY words of at most WORD_BYTES bytes: that bounds what goes to every task. The SYMBOLS most
    frequent ones are symbols of the network; all others share symbol 0.
-3. Documents are written as symbols once. Words outside the dictionary are joined with the counts by a shuffle.
+3. Documents are written as symbols once. Words outside the dictionary are joined with the counts by a shuffle; only words
+   over WORD_BYTES can be frequent among them, and those are dealt over SALTS keys.
 4. The network learns from all training documents, dealt to ROUNDS rounds. In a round every task goes on from the common
    parameters over its own documents, and the mean of the tasks' parameters, weighed by tokens, starts the next round.
 5. A token's probability is the network's P(symbol | text so far); within symbol 0 it is (c + 1) / (n + v + 1) with the
@@ -13,6 +14,7 @@
 
 A null doc_id counts as empty text; null text has the end token alone; rows are scored one by one. Without training
 documents the network is untrained and the base score is 0 per token. Documents that repeat are learned as often.
+Very long texts are learnt in segments and scored whole; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ DICTIONARY, WORD_BYTES, SYMBOLS = 262_144, 64, 1_023
 ROUNDS, LEARN_TOKENS, SCORE_TOKENS = 3, 1_000_000, 4_000_000
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 500_000
-SLICES, LOTS = 32, 1024
+SLICES, LOTS, SALTS = 32, 1024, 16
 
 
 def words(text: str | None) -> list[bytes]:
@@ -207,7 +209,11 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     flat = learn(encoded.where(F.col("crc") % folds != held).select("symbols", turn.alias("turn")), weights, 1)
     scored = network_scores(encoded.select("row", "doc_id", "crc", "n_tokens", "known", "known_log", "shared", "shared_log", "symbols"), weights, 1, flat)
 
-    rare = encoded.select("row", F.explode("rare").alias("word", "tf")).join(counts, "word", "left")
+    long = F.octet_length("word") > WORD_BYTES
+    rare = encoded.select("row", F.explode("rare").alias("word", "tf"))
+    rare = rare.withColumn("salt", F.when(long, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(long, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
+    rare = rare.join(spread, ["word", "salt"], "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.log10(c + F.lit(1.0))).alias("rare_log"))
     zero, none = F.lit(0).cast("long"), F.lit(0.0)

@@ -42,6 +42,39 @@ def test_small_dictionary_changes_no_count(spark, data, monkeypatch):
     assert got == want
 
 
+def test_query_score_recomputed(spark, data, monkeypatch):
+    """The score from its parts: the network over the symbols, counts for the words that share symbol 0."""
+    long = "x" * 80
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows += [(1_000_000 + k, f"the {long} " * (k % 3 + 1)) for k in range(40)] + [(2_000_000, None), (2_000_001, f"{long}y never seen")]
+    seen, real = {}, lm.learn
+
+    def learn(encoded, weights, *more):
+        seen["weights"], seen["flat"] = weights, real(encoded, weights, *more)
+        return seen["flat"]
+
+    monkeypatch.setattr(lm, "learn", learn)
+    monkeypatch.setattr(lm, "SYMBOLS", 50)
+    monkeypatch.setattr(lm.dictionary, "__defaults__", (300,))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+    c = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in [*lm.words(t), b""])
+    named = [b"", *sorted((w for w in c if w and len(w) <= 64), key=lambda w: (-c[w], w))][:50]
+    at = {w: k + 1 for k, w in enumerate(named)}
+    tokens = sum(n for w, n in c.items() if w not in at)
+    shared = tokens + len(c) - 50 + 1
+    assert seen["weights"].tolist() == [tokens, *(c[w] for w in named)]
+    assert sum((n + 1) / shared for w, n in c.items() if w not in at) + 1 / shared == pytest.approx(1.0)
+    network = recurrent.Model(seen["weights"], 1).unpack(seen["flat"])
+    assert len(got) == len(rows) and c[long.encode()] > 0
+    for d, t in rows:
+        own = [*lm.words(t), b""]
+        natural = network.score([np.array([at.get(w, 0) for w in own], np.uint16)])[0]
+        want = natural / math.log(10) + sum(math.log10((c[w] + 1) / shared) for w in own if w not in at)
+        assert got[d].score == pytest.approx(want, rel=1e-4)
+        assert got[d].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in own), rel=1e-9)
+
+
 def model(symbols=12, seed=1):
     return recurrent.Model(np.random.default_rng(seed).integers(1, 50, symbols), 1)
 
