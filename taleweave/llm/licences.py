@@ -9,7 +9,7 @@ words in DECIDING as the template does: a licence without a template gets no nam
 
 A directory's licence is that of its best licence file (highest cosine, then name). A file without a licence of its own
 takes that of the nearest directory above it: the distinct directories are exploded to their ancestors and joined with
-the licensed directories, salted, so that one root above a third of all directories is spread over SALTS keys. Files meet
+the licensed directories. One above more than HOT directories is spread over SALTS keys; the others have one row. Files meet
 the result, one row per directory, in a plain join, which adaptive execution splits where a directory is hot.
 
 Null and empty texts have no passages and can only inherit; a null path has no directory; repeated rows get equal
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from taleweave.scratch import written
 
-THRESHOLD, SALTS = 0.6, 32
+THRESHOLD, SALTS, HOT = 0.6, 32, 512
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice)([^a-z].*)?$"
 #: Words (also within others) that tell a licence from its neighbours.
 DECIDING = ("affero", "lesser", "sharealike", "by-sa", "-sa ", "noderiv", "by-nd", "-nd ", "noncommercial", "by-nc")
@@ -163,15 +163,17 @@ def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
     depth = F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth")
     up = directories.select("directory", parts.alias("parts")).select("directory", "parts", depth)
     up = up.select("directory", "depth", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("above"))
-    up = up.withColumn("salt", F.pmod(F.xxhash64("directory"), F.lit(SALTS)).cast("int"))
-    met = up.join(_salted(licensed.select(F.col("directory").alias("above"), "licence")), ["above", "salt"])
+    up = up.withColumn("own", F.pmod(F.xxhash64("directory"), F.lit(SALTS)).cast("int"))
+    hot = up.groupBy("above").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = written(hot.select("above", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("own")), "hot-directories")
+    up = up.join(hot.withColumn("hot", F.lit(True)), ["above", "own"], "left")
+    up = up.select("directory", "depth", "above", F.when(F.col("hot"), F.col("own")).otherwise(-1).alias("salt"))
+    owners = licensed.select(F.col("directory").alias("above"), "licence")
+    spread = owners.join(hot.withColumnRenamed("own", "salt"), "above").select("above", "salt", "licence")
+    met = up.join(owners.select("above", F.lit(-1).alias("salt"), "licence").union(spread), ["above", "salt"])
     return met.groupBy("directory").agg(F.max_by(F.struct("above", "licence"), "depth").alias("x")).select("directory", F.col("x.above").alias("from_directory"), F.col("x.licence").alias("inherited"))
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def scan(files: DataFrame, keep: tuple[str, ...] = (), templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files: path, text and the columns of keep. Returns keep, path, own, cosine, licence, from_directory (null where the
     licence is the file's own)."""

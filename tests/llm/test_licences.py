@@ -52,6 +52,24 @@ def test_nearest_ancestor(spark):
     assert found["z/own.py"] == ("GPL-3.0", None) and found["licence_notes/q"] == ("Apache-2.0", "") and found[None] == (None, None) and found["lic.py"] == ("Apache-2.0", "")
 
 
+@pytest.mark.parametrize("hot", [1, 512])
+def test_inheritance_against_walking_up(spark, monkeypatch, hot):
+    monkeypatch.setattr(licences, "HOT", hot)
+    directories = [f"a{k % 3}/b{k % 7}/c{k}" for k in range(60)] + ["", "z", "a0", "/rooted/x", "a1//b"]
+    owners = {"a0": "MIT", "a1/b4": "ISC", "a2/b2/c2": "Zlib", "a2": "BSD-2-Clause", "a0/b3": "Apache-2.0"}
+    for own in (owners, owners | {"": "MPL-2.0"}):
+        given = spark.createDataFrame([(d,) for d in directories], "directory string")
+        licensed = spark.createDataFrame(list(own.items()), "directory string, licence string")
+        want = set()
+        for d in directories:
+            parts = [x for x in d.split("/") if x]
+            above = next((x for x in ("/".join(parts[:k]) for k in range(len(parts), -1, -1)) if x in own), None)
+            if above is not None:
+                want.add((d, above, own[above]))
+        got = licences.inherited(given, licensed).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_cases(spark):
     from pyspark.sql import functions as F
 
