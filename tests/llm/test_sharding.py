@@ -23,6 +23,19 @@ def test_table_is_even_and_steady():
             sharding.fill_table(bad, 11)
 
 
+@pytest.mark.parametrize("slots", [7, 11, 499])
+def test_table_against_lists_of_preferences(slots):
+    """The rule written a second time: whole preference lists, and the first entry of each that nobody has."""
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:12], 16)
+    lists = [[(number(f"at:{n}") + k * (1 + number(f"skip:{n}") % (slots - 1))) % slots for k in range(slots)] for n in NAMES]
+    assert all(sorted(x) == list(range(slots)) for x in lists)
+    owner = {}
+    for turn in range(slots):
+        shard = turn % len(NAMES)
+        owner[next(x for x in lists[shard] if x not in owner)] = shard
+    assert sharding.fill_table(NAMES, slots) == [owner[k] for k in range(slots)]
+
+
 def test_placement(spark):
     table = sharding.fill_table(NAMES)
     for df in (awkward(spark), clashing(awkward(spark))):
