@@ -53,7 +53,8 @@ def readable(spark, sf_dir):
     return pg.readable(pg.elements(pages(spark, sf_dir)))
 
 
-@query("p10_absolute_url")
+@query("p10_absolute_url", r"""SELECT page_id, site || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'next?p=2' AS next, '' AS "none"
+  FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)""")
 def absolute_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", pg.absolute(F.col("url"), F.lit("../next?p=2")).alias("next"), pg.absolute(F.col("url"), F.lit(" ")).alias("none"))
 
@@ -159,7 +160,14 @@ def speaker_predicates(spark, sf_dir):
     return c.join(retracted, ["conv_id", "turn"], "left").select("conv_id", "turn", F.lower(F.trim("role")).isin("anonymous", "system").alias("anonymous"), kind.alias("kind"))
 
 
-@query("a26_onsets")
+@query(
+    "a26_onsets",
+    """WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+      m AS (SELECT vec_id, i, avg(abs(x)) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM s),
+      p AS (SELECT *, max(m) OVER (PARTITION BY vec_id) AS peak FROM m)
+    SELECT vec_id, CAST(min(i) FILTER (m >= 0.05::DOUBLE * peak) AS INTEGER) AS rise, CAST(min(i) FILTER (m >= 0.25::DOUBLE * peak) AS INTEGER) AS onset,
+      CAST(min(i) FILTER (m >= 0.9::DOUBLE * peak) AS INTEGER) AS attack FROM p GROUP BY vec_id""",
+)
 def onsets(spark, sf_dir):
     """Box average of |x|, and where it first crosses 5, 25 and 90 percent of its peak."""
     around = W.partitionBy("vec_id").orderBy("i").rowsBetween(-1, 1)

@@ -58,7 +58,17 @@ def spine_index(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.length("text").cast("long").alias("chars"), F.substring("text", 1, 160).alias("head"))
 
 
-@query("s17_book_range")
+@query(
+    "s17_book_range",
+    rf"""WITH RECURSIVE parts AS (SELECT conv_id AS book, trim(text, ' ') AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+    run AS (
+      SELECT book, k, p AS b FROM parts WHERE k = 1
+      UNION ALL SELECT x.book, x.k, CASE WHEN r.b = '' THEN x.p WHEN ends_with(r.b, '-') THEN left(r.b, length(r.b) - 1) || x.p
+        WHEN NOT regexp_matches(regexp_replace(regexp_extract(r.b, '[^\n]*\z'), '["”’'')\]»]+\z', ''), '[.!?…]{S}*\z') OR regexp_matches(x.p, '^\p{{Ll}}') THEN r.b || ' ' || x.p
+        ELSE r.b || chr(10) || chr(10) || x.p END
+      FROM run r JOIN parts x ON x.book = r.book AND x.k = r.k + 1)
+    SELECT book, arg_max(b, k) AS text FROM run GROUP BY book""",
+)
 def book_range(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), "text")
     return files.book_ranges(c)

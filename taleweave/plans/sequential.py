@@ -103,12 +103,31 @@ def thought_carving(spark, sf_dir):
     return f.select("conv_id", "turn", "k", F.when(F.col("marked") & ~voiced, "thought").otherwise("narration").alias("kind"))
 
 
-@query("f06_chunk_packing")
+def _packed(keys: str, parts: str, most: int, number: str) -> str:
+    """SQL that packs parts (keys, k from 1, p) greedily into chunks of `most` characters, with the same slack for a tail."""
+    slack = min(15, most // 8)
+    size = "length(r.b) + 1 + length(x.p)"
+    fits = f"({size} <= {most} OR (length(x.p) <= {slack} AND {size} <= {most + slack}))"
+    met = " AND ".join(f"x.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"x.{k.strip()}" for k in keys.split(","))
+    return f"""WITH RECURSIVE parts AS ({parts}), run AS (
+      SELECT {keys}, k, p AS b, 0 AS n FROM parts WHERE k = 1
+      UNION ALL SELECT {own}, x.k, CASE WHEN {fits} THEN r.b || ' ' || x.p ELSE x.p END, CASE WHEN {fits} THEN r.n ELSE r.n + 1 END FROM run r JOIN parts x ON {met} AND x.k = r.k + 1)
+    SELECT {keys}, n AS {number}, arg_max(b, k) AS text FROM run GROUP BY {keys}, n"""
+
+
+_SENTENCES = rf"SELECT doc_id, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS s FROM documents)"
+
+
+@query("f06_chunk_packing", _packed("doc_id", _SENTENCES, 200, "chunk"))
 def chunk_packing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(op.packed(tx.sentences(F.col("text")), 200)).alias("chunk", "text"))
 
 
-@query("f07_long_part_split")
+_TURN_WORDS = rf"SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS p FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS s FROM conversations)"
+
+
+@query("f07_long_part_split", _packed("conv_id, turn", _TURN_WORDS, 80, "piece"))
 def long_part_split(spark, sf_dir):
     words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(op.packed(words, 80)).alias("piece", "text"))
@@ -130,7 +149,16 @@ def fnv_seed(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", bits.fnv1a(F.col("c_name")).cast("string").alias("seed"))
 
 
-@query("f57_split_mix")
+def _sql_split_mix(state: str) -> str:
+    """SplitMix64 in unsigned 128-bit integers: a product of two 64-bit numbers fits."""
+    wrap = "18446744073709551616::UHUGEINT"
+    z = f"(({state})::UHUGEINT + {bits.MIX_STEP}::UHUGEINT) % {wrap}"
+    for shift, factor in ((30, bits.MIX_1), (27, bits.MIX_2)):
+        z = f"list_transform([{z}], lambda z: (xor(z, z // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {wrap})[1]"
+    return f"list_transform([{z}], lambda z: xor(z, z // {1 << 31}::UHUGEINT))[1]"
+
+
+@query("f57_split_mix", f"SELECT c_custkey, CAST({_sql_split_mix('c_custkey')} AS VARCHAR) AS draw FROM customer")
 def split_mix(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", bits.split_mix(F.col("c_custkey").cast("decimal(38,0)")).cast("string").alias("draw"))
 
