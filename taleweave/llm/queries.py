@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.llm import licences, lm, mixing, near_dup, piece_fst, quality, sharding, token_counts, token_files, topk
+from taleweave.llm import alignment, codes, fingerprints, licences, lm, mixing, near_dup, piece_fst, quality, sharding, token_counts, token_files, topk
 
 END_ID, WORD_VOCABULARY, LIMIT = 2, 49_408, 512
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -67,6 +67,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_documents(spark, sf_dir).withColumn("path", path), keep=("doc_id",)).drop("cosine")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = fingerprints.with_neighbours(_documents(spark, sf_dir))
+    text = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return met.select("doc_id", "n_chars", "edited_sha256", *text, "near_edited", "near_next")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.correspondences(_documents(spark, sf_dir), a, b)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_token_files": op2_token_files,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op10_licences": op10_licences,
     "op9_token_counts": op9_token_counts,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_codes": op12_codes,
+    "op13_alignment": op13_alignment,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -171,4 +189,42 @@ def _shards_sql() -> str:
     """
 
 
-SQL = {"op1_mix": _MIX, "op3_topk": _TOPK, "op7_near_duplicates": _NEAR, "op8_shards": _shards_sql()}
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """Lloyd rounds without deltas: every round adds up all vectors anew."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT rid, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far
+  FROM (SELECT r.rid, r.part, b.entry, list_sum(list_transform(r.x, lambda v, i: (v - b.x[i]) * (v - b.x[i]))) AS far
+        FROM cut r JOIN books{k} b USING (part))
+  GROUP BY rid, part
+)""")
+        if k < rounds:
+            steps.append(f"""
+sums{k} AS (
+  SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n
+  FROM cut JOIN near{k} USING (rid, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM cut))) AS i) GROUP BY part, entry, i
+), moved{k} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM sums{k} GROUP BY part, entry
+), books{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books{k} b LEFT JOIN moved{k} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+  SELECT rid, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS part)
+), books0 AS (SELECT part, rid - 1 AS entry, x FROM cut WHERE rid <= {entries}),
+{",".join(steps)}
+, coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM books{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
+SQL = {"op1_mix": _MIX, "op3_topk": _TOPK, "op7_near_duplicates": _NEAR, "op8_shards": _shards_sql(), "op12_codes": _codes_sql()}
