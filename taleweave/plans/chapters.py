@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taleweave.functions import markup, web
 from taleweave.functions import text as tx
+from taleweave.operators import discover as dis
 from taleweave.operators import ledger as led
 from taleweave.operators import pages as pg
+from taleweave.operators import selectors as sel
 from taleweave.operators import sequential as seq
 from taleweave.operators import speech as sp
-from taleweave.plans.common import S, pick, sql_pick, table
+from taleweave.plans.common import S, pick, sql_pick, sql_text, table
 from taleweave.plans.ledger import _TASKS, tasks
 from taleweave.registry import query
+from taleweave.scratch import fresh_path, written
 
 
 def pages(spark, sf_dir):
@@ -22,7 +28,6 @@ def pages(spark, sf_dir):
 
 @query("s02_json_documents", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_documents(spark, sf_dir):
-    from taleweave.scratch import fresh_path
     from taleweave.sources import files
 
     path = fresh_path(spark, "documents")
@@ -34,8 +39,6 @@ def json_documents(spark, sf_dir):
 
 @query("s06_manifest_append", "SELECT o_orderkey AS chapter, md5(o_orderpriority) AS sha FROM orders")
 def manifest_append(spark, sf_dir):
-    from taleweave.scratch import fresh_path
-
     path = fresh_path(spark, "manifest")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chapter"), F.md5("o_orderpriority").alias("sha"))
     for part in (0, 1):
@@ -45,12 +48,49 @@ def manifest_append(spark, sf_dir):
 
 @query("p06_css_select", r"SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<!--.*?-->', '', 'g'), '<a[ >]')) FROM pages) GROUP BY page_id")
 def css_select(spark, sf_dir):
-    return pg.select(pg.elements(pages(spark, sf_dir)), "a").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return sel.matched(pg.elements(pg.parsed(pages(spark, sf_dir))), "a").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+_CLEAN = r"regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+_PARAGRAPHS = "len(regexp_extract_all(h, '<p>'))"
+_LINKS = r"len(regexp_extract_all(h, '<li><a href='))"
+#: Selectors, and what they select in a page by its markup alone: the paragraphs of an article follow its headline as siblings.
+SELECTORS = {
+    "nav li > a, nav > a": _LINKS,
+    "nav > a": "0",
+    "article p": _PARAGRAPHS,
+    "h1 + p": f"least({_PARAGRAPHS}, 1)",
+    "article > p ~ p": f"greatest({_PARAGRAPHS} - 1, 0)",
+    "p > b > br": "len(regexp_extract_all(h, '<p><b>[^<]*<br>'))",
+    "div.ad ~ article p:first-of-type": f"least({_PARAGRAPHS}, 1)",
+    "ul > li:nth-child(2n+1) a[href^='/']": f"({_LINKS} + 1) // 2",
+    "li:not(:first-child):not(:last-child)": f"greatest({_LINKS} - 2, 0)",
+    "html[lang=fr] footer, html[lang|=DE i] footer": r"CAST(regexp_matches(h, '<html lang=\"(fr|de)\">') AS INTEGER)",
+    "title, h1": "2",
+    "[class~=ad]:not(p), #none": "1",
+    "a[href$=',' i], a[href*='.']": r"len(regexp_extract_all(h, '<li><a href=\"[^\"]*(,|\.[^\"]*)\"'))",
+    "body > *:last-child": "1",
+}
+_SELECTED = " UNION ALL ".join(f"SELECT page_id, {sql_text(s)} AS selector, CAST({n} AS BIGINT) AS n FROM h" for s, n in SELECTORS.items())
+
+
+@query("p06_selectors", f"WITH h AS (SELECT page_id, {_CLEAN} AS h FROM pages) SELECT * FROM ({_SELECTED}) WHERE n > 0".replace('\\"', '"'))
+def selectors(spark, sf_dir):
+    """How many elements each selector selects in each page."""
+    found = written(pg.elements(pg.parsed(pages(spark, sf_dir))), "elements")
+    hits = [sel.matched(found, s).select("page_id", F.lit(s).alias("selector")) for s in SELECTORS]
+    return reduce(DataFrame.unionByName, hits).groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p06_first_text", rf"""SELECT page_id, trim(regexp_replace(replace(regexp_extract({_CLEAN}, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '{S}+', ' ', 'g'), ' ') AS text FROM pages""")
+def first_text(spark, sf_dir):
+    """The text of the first headline inside an article, else of the title."""
+    return sel.first_text(pg.parsed(pages(spark, sf_dir)), "article h1, article > h2")
 
 
 @query("p07_readable")
 def readable(spark, sf_dir):
-    return pg.readable(pg.elements(pages(spark, sf_dir)))
+    return pg.readable(pg.parsed(pages(spark, sf_dir)))
 
 
 @query("p10_absolute_url", r"""SELECT page_id, site || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'next?p=2' AS next, '' AS "none"
@@ -63,7 +103,7 @@ def absolute_url(spark, sf_dir):
 def crawl_chapter(spark, sf_dir):
     """Readable text of each page and the outcome of its crawl."""
     status = F.element_at(F.array(*[F.lit(c) for c in (200, 200, 200, 404, 503)]), (F.col("page_id") % 5 + 1).cast("int"))
-    read = pg.readable(pg.elements(pages(spark, sf_dir))).withColumn("class", web.block_class(status))
+    read = pg.readable(pg.parsed(pages(spark, sf_dir))).withColumn("class", web.block_class(status))
     gone = F.coalesce(F.col("class") == "gone", F.lit(False))
     return read.select("page_id", "title", web.outcome(F.when(~gone, F.col("class")), gone, F.col("text")).alias("outcome"))
 
@@ -78,11 +118,71 @@ def crawl_script(spark, sf_dir):
     """A site's selectors as parameter rows (container tag, attribute, part, title tag), joined by host and applied."""
     hosts = pages(spark, sf_dir).select("page_id", web.host(F.col("url")).alias("host"))
     sites = hosts.select("host").distinct().select("host", F.when(F.crc32("host") % 2 == 0, "article").otherwise("body").alias("container"))
-    found = pg.elements(pages(spark, sf_dir)).join(hosts, "page_id").join(sites, "host").where(F.col("tag") == F.col("container"))
+    found = pg.tagged(pg.parsed(pages(spark, sf_dir)), "article", "body").join(hosts, "page_id").join(sites, "host").where(F.col("tag") == F.col("container"))
     first = found.groupBy("page_id").agg(F.min_by("html", "pos").alias("html"))
     return first.select("page_id", markup.prose(markup.text_of(F.col("html"))).alias("text"))
 
 
+def site_links(spark, sf_dir):
+    """url, pos, href, title and to: the items of each page's navigation. No page of the table links another one by its
+    address, so an address stands for the page whose number among all it hashes to."""
+    read = pg.parsed(pages(spark, sf_dir))
+    items = pg.contents(sel.matched(pg.elements(read), "nav li > a[href]"), read)
+    number = F.conv(F.substring(F.md5("href"), 1, 8), 16, 10).cast("long") % pages(spark, sf_dir).count()
+    items = items.select("page_id", "pos", F.element_at("attrs", F.lit("href")).alias("href"), F.col("text").alias("title")).withColumn("target", number)
+    urls = pages(spark, sf_dir).select("page_id", "url")
+    return items.join(urls, "page_id").join(urls.select(F.col("page_id").alias("target"), F.col("url").alias("to")), "target").select("url", "pos", "href", "title", "to")
+
+
+_SITE_LINKS = rf"""
+  cleaned AS (SELECT page_id, url, {_CLEAN} AS h FROM pages),
+  items AS (SELECT page_id, url, unnest(regexp_extract_all(h, '<li><a href="([^"]*)"', 1)) AS raw, unnest(regexp_extract_all(h, '<li><a href="[^"]*">([^<]*)', 1)) AS shown, unnest(range(len(regexp_extract_all(h, '<li><a href="')))) AS pos FROM cleaned),
+  named AS (SELECT page_id, url, pos, replace(raw, '&amp;', '&') AS href, trim(replace(shown, '&amp;', '&'), ' ') AS title FROM items),
+  links AS (SELECT n.url, n.pos, n.href, n.title, p.url AS "to" FROM named n JOIN pages p ON p.page_id = ('0x' || substr(md5(n.href), 1, 8))::BIGINT % (SELECT count(*) FROM pages)),
+  hosts AS (SELECT url, regexp_replace(lower(regexp_extract(regexp_replace(url, '^.*?://', ''), '^([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages)"""
+
+
+def _entries(spark, sf_dir):
+    hosts = pages(spark, sf_dir).select("page_id", "url", web.host(F.col("url")).alias("host"))
+    return hosts, hosts.groupBy("host").agg(F.min_by("url", "page_id").alias("url")).select(F.col("host").alias("site"), "url")
+
+
+@query("x01_discover", f"""WITH RECURSIVE {_SITE_LINKS},
+  reach(url) AS (SELECT arg_min(url, page_id) FROM pages UNION SELECT l."to" FROM reach r JOIN links l ON l.url = r.url)
+  SELECT url, host FROM reach JOIN hosts USING (url)""")
+def discover_all(spark, sf_dir):
+    """All pages that links lead to from the first page."""
+    hosts, _ = _entries(spark, sf_dir)
+    entry = hosts.agg(F.min_by("url", "page_id").alias("url"))
+    return dis.reachable(hosts, site_links(spark, sf_dir), entry).select("url", "host")
+
+
+@query("x01_discover_budget")
+def discover_budget(spark, sf_dir):
+    """The same from the first page of every host, with at most eight pages a host."""
+    hosts, entries = _entries(spark, sf_dir)
+    return dis.reachable(hosts, site_links(spark, sf_dir), entries, budget=8)
+
+
+@query("x03_discover", rf"""WITH RECURSIVE {_SITE_LINKS},
+  nexts AS (SELECT url, arg_min("to", pos) AS next FROM links GROUP BY url),
+  entries AS (SELECT host AS site, arg_min(p.url, page_id) AS url FROM pages p JOIN hosts h ON p.url = h.url GROUP BY host),
+  walk(site, url, turn, path) AS (
+    SELECT site, url, 0, [url] FROM entries
+    UNION ALL SELECT w.site, n.next, w.turn + 1, list_append(w.path, n.next) FROM walk w JOIN nexts n ON n.url = w.url WHERE w.turn < 59 AND NOT list_contains(w.path, n.next)
+  ), listed AS (
+    SELECT w.site, l."to" AS url, arg_min(l.title, (w.turn, l.pos)) AS title, TRY_CAST(nullif(regexp_extract(l."to", '(\d+)\D*$', 1), '') AS BIGINT) AS n
+    FROM walk w JOIN links l ON l.url = w.url GROUP BY w.site, l."to"
+  )
+  SELECT site, n, url, title, max(n) OVER (PARTITION BY site) AS total FROM listed WHERE n IS NOT NULL""")
+def discover_listing(spark, sf_dir):
+    """The chapters of each host's listing: the first link of a page stands for its next page, and walks run into loops."""
+    links = written(site_links(spark, sf_dir), "site-links")
+    _, entries = _entries(spark, sf_dir)
+    walk = dis.walked(entries, links.groupBy("url").agg(F.min_by("to", "pos").alias("next")))
+    return dis.chapters(walk, links.withColumn("n", dis.trailing_number(F.col("to"))))
+
+
 @query("x02_host_functions", r"SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(url, '^.*?://', ''), '^([^/?#:]*)', 1)), '^www\.', '') AS host, 'https://x.example/' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(5, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') AS next FROM pages")
 def host_functions(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", web.host(F.col("url")).alias("host"), web.expand_template(F.lit("https://x.example/{n:05}"), F.col("page_id")).alias("next"))
