@@ -75,7 +75,8 @@ def links(label: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    MOST_SEGMENTS, LONG = 200_000, 64
+    #: Segments that are kept, their characters at most, and the characters that are encoded or cut at once.
+    MOST_SEGMENTS, LONG, CHUNK, GROUP = 500_000, 64, 100_000, 2_000_000
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
@@ -84,10 +85,14 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         letter = {c: b for b, c in byte_letters().items()}
-        self.bytes_a = {k: self._plain(t, letter) for t, k in self.a.get_vocab(with_added_tokens=True).items()}
+        tokens = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(tokens.values(), default=-1) + 1)
+        for t, k in tokens.items():
+            self.bytes_a[k] = bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(MARK, " ").encode() for p in pieces]
+        self.sizes = [np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b)]
         self.lone = self.b.piece_to_id(MARK)
         crossed = {m for p in pieces for m in re.findall(r"(?<=\S)\s|(?<= )[^\S ]", p.replace(MARK, " "))}
         self.apart = " " not in crossed and pieces[self.lone] == MARK
@@ -95,50 +100,82 @@ class Aligner:
         self.n_b = len(pieces)
         self.known: dict[str, Segment | None] = {}
 
-    @staticmethod
-    def _plain(token: str, letter: dict[str, int]) -> bytes:
-        return bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
-
-    def ids(self, segment: str) -> tuple[list[int], list[int]]:
+    def ids(self, part: str) -> tuple[list[int], list[int]]:
         """Ids of both tokenizers for a part of space + text."""
-        of_a = self.a.encode(segment, add_special_tokens=False).ids
-        if segment[0] == " ":
-            return of_a, self.b.encode(segment[1:]) if len(segment) > 1 else [self.lone]
-        of_b = self.b.encode(segment)  # the model's own space comes first, and merges with nothing before white space
+        of_a = self.a.encode(part, add_special_tokens=False).ids
+        if part[0] == " ":
+            return of_a, self.b.encode(part[1:]) if len(part) > 1 else [self.lone]
+        of_b = self.b.encode(part)  # the model's own space comes first, and merges with nothing before white space
         return of_a, of_b[1:] if of_b[0] == self.lone else []
 
-    def _aligned(self, segment: str) -> Segment | None:
-        """None if the tokens' bytes are not the segment's."""
-        raw = segment.encode()
-        of_a, of_b = self.ids(segment)
-        each_a, each_b = [self.bytes_a[k] for k in of_a], [self.bytes_b[k] for k in of_b]
-        if b"".join(each_a) != raw or b"".join(each_b) != raw:
-            return None
-        label = labels(*(np.cumsum(np.fromiter(map(len, e), np.int64, len(e))) for e in (each_a, each_b)), len(raw))
-        at_a, at_b = links(label)
-        parts, i, j = [], 0, 0
+    def align(self, segments: list[str]) -> list[Segment | None]:
+        """Of segments that follow each other; None for one whose tokens' bytes are not its own."""
+        whole = "".join(segments)
+        raw, ids = whole.encode(), self.ids(whole)
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        right = all(b"".join([known[k] for k in own]) == raw for known, own in zip((self.bytes_a, self.bytes_b), ids, strict=True))
+        if right:
+            (of_a, of_b), (ends_a, ends_b) = (np.array(x, np.int64) for x in ids), (np.cumsum(n[x]) for n, x in zip(self.sizes, ids, strict=True))
+            label = labels(ends_a, ends_b, len(raw))
+            right = all(label[e - 1] == 99 for e in ends.tolist())
+        if not right:
+            return [None] if len(segments) == 1 else [x for s in segments for x in self.align([s])]
+        (at_a, at_b), where = links(label), np.flatnonzero(np.frombuffer(label, np.uint8) != 46)
+        pairs = of_a[at_a] * self.n_b + of_b[at_b]
+        text_a, text_b, parts, i, j = list(map(str, ids[0])), list(map(str, ids[1])), [], 0, 0
         for m, n in groups(label):
-            parts.append(",".join(map(str, of_a[i : i + m])) + "|" + ",".join(map(str, of_b[j : j + n])))
+            parts.append(f"{text_a[i]}|{text_b[j]}" if m == n == 1 else ",".join(text_a[i : i + m]) + "|" + ",".join(text_b[j : j + n]))
             i, j = i + m, j + n
-        pairs = np.array(of_a, np.int64)[at_a] * self.n_b + np.array(of_b, np.int64)[at_b]
-        return Segment(len(of_a), len(of_b), len(parts), len(pairs), ";".join(parts).encode(), pairs.tobytes())
-
-    def _segment(self, segment: str) -> Segment | None:
-        found = self._aligned(segment)
-        if len(segment) <= self.LONG:
-            if len(self.known) >= self.MOST_SEGMENTS:
-                self.known.clear()
-            self.known[segment] = found
+        both = where[np.frombuffer(label, np.uint8)[where] == 99]
+        cuts = [np.searchsorted(x, ends - 1) + 1 for x in (ends_a - 1, ends_b - 1, both, where)]
+        counts = [np.diff(c, prepend=0).tolist() for c in cuts]
+        out, g, x, packed = [], 0, 0, pairs.tobytes()
+        for a, b, n_groups, n_links in zip(*counts, strict=True):
+            out.append(Segment(a, b, n_groups, n_links, ";".join(parts[g : g + n_groups]).encode(), packed[8 * x : 8 * (x + n_links)]))
+            g, x = g + n_groups, x + n_links
+        return out
+
+    def _learn(self, segments: list[str]) -> dict[str, Segment | None]:
+        """Segments by their text, encoded many at once; what ends in white space would run into the next one."""
+        found, chunk, size = {}, [], 0
+        for s in segments:
+            if s[-1].isspace():
+                found[s] = self.align([s])[0]
+                continue
+            chunk.append(s)
+            size += len(s)
+            if size >= self.CHUNK:
+                found.update(zip(chunk, self.align(chunk), strict=True))
+                chunk, size = [], 0
+        if chunk:
+            found.update(zip(chunk, self.align(chunk), strict=True))
         return found
 
+    def many(self, texts: list[str | None]) -> Iterator[list[Segment]]:
+        """The segments of space + text for each text; none if it has no tokens."""
+        cut, size = [], 0
+        for text in texts:
+            whole = " " + (text or "")
+            cut.append([] if not text else [whole] if not self.apart or self.odd.search(text) else SEGMENT.findall(whole))
+            size += len(whole)
+            if size >= self.GROUP:
+                yield from self._looked_up(cut)
+                cut, size = [], 0
+        yield from self._looked_up(cut)
+
+    def _looked_up(self, cut: list[list[str]]) -> Iterator[list[Segment]]:
+        if len(self.known) > self.MOST_SEGMENTS:
+            self.known.clear()
+        known = self.known
+        missing = {s for c in cut for s in c if s not in known}
+        long = self._learn([s for s in missing if len(s) > self.LONG])
+        known.update(self._learn([s for s in missing if len(s) <= self.LONG]))
+        for c in cut:
+            out = [known[s] if s in known else long[s] for s in c]
+            yield [] if None in out else out
+
     def segments(self, text: str | None) -> list[Segment]:
-        """The segments of space + text; none if the text has no tokens."""
-        if not text:
-            return []
-        whole, known = " " + text, self.known
-        cut = [whole] if not self.apart or self.odd.search(text) else SEGMENT.findall(whole)
-        out = [known[s] if s in known else self._segment(s) for s in cut]
-        return [] if None in out else out
+        return next(self.many([text]))
 
 
 @functools.lru_cache(maxsize=1)
@@ -158,8 +195,7 @@ def aligned(documents: DataFrame, path_a: str, path_b: str, texts: bool = False)
         aligner, row = kept_aligner(path_a, path_b), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = aligner.segments(text)
+            for doc_id, found in zip(batch.column(0).to_pylist(), aligner.many(batch.column(1).to_pylist()), strict=True):
                 sums = map(sum, list(zip(*found, strict=True))[:4]) if found else (0, 0, 0, 0)
                 digest = b";".join([s.digest for s in found])
                 pairs, times = np.unique(np.frombuffer(b"".join([s.pairs for s in found]), np.int64), return_counts=True)
