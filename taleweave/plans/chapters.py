@@ -12,6 +12,7 @@ from taleweave.functions import markup, web
 from taleweave.functions import text as tx
 from taleweave.operators import discover as dis
 from taleweave.operators import ledger as led
+from taleweave.operators import mentions as mn
 from taleweave.operators import pages as pg
 from taleweave.operators import selectors as sel
 from taleweave.operators import sequential as seq
@@ -303,6 +304,63 @@ def attribution_metadata(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(name)).alias("roster"))
 
 
+_TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+_STOPPED = ", ".join(sql_text(w) for w in dict.fromkeys((*tx.ALIAS_STOP, *tx.TITLE_SUFFIXES)))
+
+
+def opening_claims(spark, sf_dir):
+    """Names out of the texts themselves: a document's first word for every fifth, its first two for every third."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(f"({_TOKENS})")).alias("t"))
+    t = t.withColumn("t", F.when(F.element_at(F.col("t"), 1).rlike(r"^[\p{L}\p{N}]"), F.col("t")).otherwise(F.slice("t", 2, 3))).where("size(t) > 2")
+    one = t.where("doc_id % 5 = 0").select(F.col("t")[0].alias("form"), F.concat(F.lit("Q"), "doc_id").alias("owner"))
+    return one.unionByName(t.where("doc_id % 3 = 0").select(F.concat(F.col("t")[0], F.col("t")[1], F.col("t")[2]).alias("form"), F.concat(F.lit("P"), "doc_id").alias("owner")))
+
+
+@query(
+    "f43_mentions",
+    rf"""WITH RECURSIVE tok AS (SELECT doc_id, regexp_extract_all(text, '{_TOKENS}') AS t FROM documents),
+    heads AS (SELECT doc_id, CASE WHEN regexp_matches(t[1], '^[\p{{L}}\p{{N}}]') THEN t ELSE t[2:4] END AS t FROM tok),
+    claims AS (SELECT t[1] AS form, 'Q' || doc_id AS owner FROM heads WHERE doc_id % 5 = 0 AND len(t) > 2 UNION ALL SELECT t[1] || t[2] || t[3], 'P' || doc_id FROM heads WHERE doc_id % 3 = 0 AND len(t) > 2),
+    own AS (SELECT form, min(owner) AS owner FROM claims WHERE lower(form) NOT IN ({_STOPPED}) GROUP BY form HAVING count(DISTINCT owner) = 1),
+    pieces AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS piece FROM tok),
+    placed AS (SELECT doc_id, pos, sum(length(piece)) OVER o - length(piece) AS start, piece AS one, piece || lead(piece, 1) OVER o || lead(piece, 2) OVER o AS three FROM pieces WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    hits AS (SELECT doc_id, pos, start, arg_max(form, n) AS form, arg_max(owner, n) AS owner, max(n) AS n FROM (
+      SELECT p.doc_id, p.pos, p.start, o.form, o.owner, 1 AS n FROM placed p JOIN own o ON o.form = p.one UNION ALL SELECT p.doc_id, p.pos, p.start, o.form, o.owner, 3 FROM placed p JOIN own o ON o.form = p.three) GROUP BY doc_id, pos, start),
+    nexts AS (SELECT doc_id, pos, CASE WHEN a >= pos + n THEN a WHEN b >= pos + n THEN b ELSE c END AS next FROM (SELECT *, lead(pos, 1) OVER o AS a, lead(pos, 2) OVER o AS b, lead(pos, 3) OVER o AS c FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY pos))),
+    walk(doc_id, pos) AS (SELECT doc_id, min(pos) FROM hits GROUP BY doc_id UNION ALL SELECT n.doc_id, n.next FROM walk w JOIN nexts n ON n.doc_id = w.doc_id AND n.pos = w.pos WHERE n.next IS NOT NULL)
+    SELECT doc_id, form, owner, count(*) AS times, CAST(min(start) AS BIGINT) AS first FROM walk JOIN hits USING (doc_id, pos) GROUP BY doc_id, form, owner""",
+)
+def surface_mentions(spark, sf_dir):
+    """Every name of one document's opening in all documents: from left to right, the longest at each place."""
+    chapters = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter"), "text")
+    return mn.mentions(chapters, opening_claims(spark, sf_dir)).withColumnRenamed("chapter", "doc_id")
+
+
+def answers(spark, sf_dir):
+    """Chapters out of conversations and an answer to each: who speaks a turn is its first word, and the first two words
+    mention it; the bible has the first speakers of every third conversation with a form that only describes them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.regexp_extract_all("text", F.lit(mn.WORD)).alias("w")).where("size(w) > 2")
+    chapters = c.groupBy(F.col("conv_id").alias("chapter")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    who = F.when(F.col("turn") % 4 == 3, F.lit("Stranger")).when(F.col("turn") % 5 == 4, F.concat(F.lit("anonymous:anon-"), F.col("turn"))).otherwise(F.col("w")[0])
+    speakers = c.select(F.col("conv_id").alias("chapter"), F.col("turn").cast("string").alias("id"), who.alias("speaker"))
+    roster = c.select(F.col("conv_id").alias("chapter"), F.col("turn").alias("pos"), who.alias("name"))
+    told = c.select(F.col("conv_id").alias("chapter"), F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1]).alias("form"), F.when(F.col("turn") % 2 == 0, F.col("w")[0]).otherwise("Narrator").alias("owner"))
+    newcomers = c.where("turn % 2 = 0").select(F.col("conv_id").alias("chapter"), F.col("w")[0].alias("name"))
+    epithet = F.concat(F.lit("người "), F.lower(F.col("w")[1]), F.lit(" "), F.lower(F.col("w")[2]))
+    first = c.where("turn = 0 and conv_id % 3 = 0").select(F.col("conv_id").alias("pos"), F.concat(F.lit("Old "), F.col("w")[0]).alias("name"), F.array(F.col("w")[0], F.lit("Stranger"), epithet).alias("aliases"))
+    bible = first.groupBy("name").agg(F.min("pos").alias("pos"), F.min_by("aliases", "pos").alias("aliases"))
+    return chapters, roster, speakers, told, newcomers, bible
+
+
+@query("f43_attribution")
+def attribution(spark, sf_dir):
+    """Rosters, speakers, mentions and undescribed newcomers of all chapters after the answers are made fit."""
+    cast, lines, kept, alone = mn.attribution(*answers(spark, sf_dir))
+    shape = lambda df, kind, key, value: df.select("chapter", F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    out = [shape(cast, "roster", F.col("pos").cast("string"), F.col("name")), shape(lines, "speaker", F.col("id"), F.col("speaker")), shape(kept, "mention", F.col("form"), F.col("owner")), shape(alone, "newcomer", F.col("name"), F.lit("unknown"))]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("f61_chunk_key", "SELECT conv_id, turn // 4 AS chunk, substr(sha256(string_agg(turn || '|' || md5(text), ';' ORDER BY turn)), 1, 16) AS key FROM conversations GROUP BY ALL")
 def chunk_key(spark, sf_dir):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws("|", "turn", F.md5("text")).alias("p")))), lambda x: x["p"])
