@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from taleweave.functions import markup, web
 from taleweave.functions import text as tx
 from taleweave.operators import discover as dis
+from taleweave.operators import index as ix
 from taleweave.operators import ledger as led
 from taleweave.operators import mentions as mn
 from taleweave.operators import pages as pg
+from taleweave.operators import queue as qu
 from taleweave.operators import selectors as sel
 from taleweave.operators import sequential as seq
 from taleweave.operators import speech as sp
-from taleweave.plans.common import S, pick, sql_pick, sql_text, table
-from taleweave.plans.ledger import _TASKS, tasks
+from taleweave.plans.common import S, pick, sql_list, sql_pick, sql_text, table
+from taleweave.plans.ledger import _TASKS, NOW, tasks
 from taleweave.registry import query
 from taleweave.scratch import fresh_path, written
 
@@ -417,8 +419,9 @@ def offer(spark, sf_dir):
     """One tick of the scheduler: the workers of each stage, in order of asking, get its pending rows in order."""
     s = F.col("s_suppkey")
     workers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("w"), s).alias("worker"), pick(("merge", "render", "digest", "crawl"), s % 4).alias("stage"), s.alias("place"))
-    w = workers.withColumn("k", F.row_number().over(W.partitionBy("stage").orderBy("place")))
-    t = tasks(spark, sf_dir).where("state = 'pending'").select("stage", "chapter", "take", F.row_number().over(W.partitionBy("stage").orderBy("chapter", "take")).alias("k"))
+    w = ix.numbered(workers, ["stage"], F.floor(F.col("place") / 1000), ["place"])
+    t = tasks(spark, sf_dir).where("state = 'pending'").select("stage", "chapter", "take")
+    t = ix.numbered(t, ["stage"], F.floor(F.col("chapter") / 1000), ["chapter", "take"])
     return w.join(t, ["stage", "k"]).select("worker", "stage", "chapter", "take")
 
 
@@ -428,3 +431,73 @@ def write_queue(spark, sf_dir):
     busy = tasks(spark, sf_dir).where(led.held(F.col("state"))).select("chapter").distinct()
     q = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chapter"))
     return q.join(busy, "chapter", "left_anti").select("id", "chapter")
+
+
+_STAGE_LIST = sql_list(qu.STAGES)
+
+
+@query(
+    "t12_write_tick",
+    f"""WITH {_TASKS}, held AS (SELECT chapter % 50 AS queue, chapter, stage, take, chapter || '/' || stage || '/' || take AS line, list_append(racers, worker) AS holders, lease_until // 3600 AS updated FROM tasks WHERE state IN ('assigned', 'running')),
+    beats AS (SELECT event_id % 50 AS queue, 'w' || user_id % 12 AS worker, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS ts, CASE WHEN event_type = 'view' THEN user_id END AS chapter, event_id FROM events),
+    fresh AS (SELECT queue, worker, arg_max(chapter, (ts, event_id)) AS chapter FROM (SELECT queue, worker, ts, event_id, coalesce(chapter, -1) AS chapter FROM beats) GROUP BY queue, worker HAVING {NOW // 3600} - max(ts) < 30),
+    writes AS (SELECT o_custkey % 50 AS queue, o_orderkey AS "at", 'write ' || o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN ['render', 'merge'] WHEN 1 THEN {_STAGE_LIST} ELSE ['digest'] END AS stages, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE [o_custkey, o_custkey + 50] END AS chapters FROM orders WHERE o_orderstatus = 'P'),
+    met AS (SELECT w.queue, w."at", h.line, EXISTS (SELECT 1 FROM fresh f WHERE f.queue = h.queue AND list_contains(h.holders, f.worker)) OR h.stage = 'digest' AND {NOW // 3600} - h.updated < 120 AS races
+      FROM writes w JOIN held h ON h.queue = w.queue AND list_contains(w.stages, h.stage) AND (w.chapters IS NULL OR list_contains(w.chapters, h.chapter))),
+    sums AS (SELECT queue, "at", bool_or(races) AS races, count(*) AS n, array_to_string(list_sort(list(line))[1:4], ', ') AS shown FROM met GROUP BY queue, "at"),
+    state AS (SELECT w.*, coalesce(n, 0) AS n, shown, coalesce(races, false) OR len(w.stages) = 4 AND EXISTS (SELECT 1 FROM fresh f WHERE f.queue = w.queue AND f.chapter >= 0 AND (w.chapters IS NULL OR list_contains(w.chapters, f.chapter))) AS racing FROM writes w LEFT JOIN sums s USING (queue, "at")),
+    ahead AS (SELECT *, count(*) FILTER (racing) OVER (PARTITION BY queue ORDER BY "at") AS stops FROM state)
+    SELECT queue, "at", id, CASE WHEN stops = 0 THEN 'run' WHEN racing AND stops = 1 THEN 'head' ELSE 'behind' END AS outcome,
+      CASE WHEN stops = 0 THEN '' WHEN n = 0 THEN 'a worker is still on it' WHEN n > 4 THEN n || ' row(s) in the way, e.g. ' || shown ELSE n || ' row(s) in the way: ' || shown END AS note FROM ahead""",
+)
+def write_tick(spark, sf_dir):
+    """One tick of fifty ledgers' queues: which writes run, which one is blocked by what, and which wait behind it."""
+    key = F.col("o_orderkey")
+    stages = F.when(key % 3 == 0, F.array(F.lit("render"), F.lit("merge"))).when(key % 3 == 1, F.array(*[F.lit(x) for x in qu.STAGES])).otherwise(F.array(F.lit("digest")))
+    chapters = F.when(key % 40 != 0, F.array("o_custkey", F.col("o_custkey") + 50))
+    writes = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 50).alias("queue"), key.alias("at"), F.concat(F.lit("write "), key).alias("id"), stages.alias("stages"), chapters.alias("chapters"))
+    held = tasks(spark, sf_dir).select((F.col("chapter") % 50).alias("queue"), "chapter", "take", "stage", "state", F.array_append("racers", F.col("worker")).alias("holders"), F.floor(F.col("lease_until") / 3600).alias("updated"))
+    beats = table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 50).alias("queue"), F.concat(F.lit("w"), F.col("user_id") % 12).alias("worker"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("ts"),
+        F.when(F.col("event_type") == "view", F.col("user_id")).alias("chapter"), "event_id",
+    )
+    last = beats.groupBy("queue", "worker").agg(F.max_by(F.struct("ts", "chapter"), F.struct("ts", "event_id")).alias("b")).select("queue", "worker", "b.*")
+    return qu.ticked(writes, held, last, NOW // 3600)
+
+
+def event_log(spark, sf_dir):
+    """The events as a stream of one file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def lease_log(events):
+    """Pools of the users' remainders by 16: purchases and errors bring chunks home, all else asks for up to seven."""
+    home = F.col("event_type").isin("purchase", "error")
+    n = F.when(home, F.col("event_id") % 200).otherwise(F.col("event_id") % 7 + 1)
+    return events.select((F.col("user_id") % 16).alias("key"), F.col("event_id").alias("seq"), "ts", F.when(home, "submit").otherwise("ask").alias("kind"), n.alias("n"))
+
+
+@query("t20_pool_stream")
+def pool_stream(spark, sf_dir):
+    """What every ask of a log of work pools gets, up to the last moment but one of the log."""
+    from taleweave.streaming import live, pools
+
+    return live.drained(pools.pool_leases(lease_log(event_log(spark, sf_dir)), 200, 180, "0 seconds"), fresh_path(spark, "pools"), state_store=live.ROCKS)
+
+
+def write_log(events):
+    """Ledgers of the users' remainders by 12: views are ticks, purchases ask for a write, clicks begin and all else ends a row."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    stage = pick(qu.STAGES, e)
+    write = F.concat(F.lit('["w'), e, F.lit('", ["'), stage, F.lit('", "'), pick(qu.STAGES, e + 1), F.lit('"], '), F.when(e % 4 == 0, F.lit("null")).otherwise(F.concat(F.lit("["), e % 5, F.lit(", "), e % 3, F.lit("]"))), F.lit("]"))
+    what = F.when(kind == "view", "tick").when(kind == "purchase", "write").when(kind == "click", "live").otherwise("free")
+    return events.select((F.col("user_id") % 12).alias("key"), e.alias("seq"), "ts", what.alias("kind"), F.when(kind == "purchase", write).alias("write"), (e % 5).alias("chapter"), stage.alias("stage"))
+
+
+@query("t12_write_stream")
+def write_stream(spark, sf_dir):
+    """Which writes of a log run when, and what blocks the others when they are asked for."""
+    from taleweave.streaming import live, pools
+
+    return live.drained(pools.write_queue(write_log(event_log(spark, sf_dir)), "0 seconds"), fresh_path(spark, "writes"), state_store=live.ROCKS)

@@ -316,9 +316,13 @@ def ordered_union(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.slice(u, 1, 0).alias("none"), F.size(u).cast("long").alias("n"))
 
 
-@query("t20_pool_leases", "WITH gone AS (SELECT n AS pos FROM range(0, 400) r(n) WHERE n NOT IN (SELECT l_linenumber * 53 % 400 + l_partkey % 90 FROM lineitem)), r AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS run FROM gone) SELECT min(pos) AS \"from\", count(*) AS count FROM r GROUP BY run")
+@query("t20_pool_leases", """WITH there AS (SELECT DISTINCT l_suppkey AS pool, l_partkey // 3 AS pos FROM lineitem), size AS (SELECT pool, max(pos) AS most FROM there GROUP BY pool),
+    gone AS (SELECT pool, pos FROM (SELECT pool, unnest(range(most + 1)) AS pos FROM size) ANTI JOIN there USING (pool, pos)), r AS (SELECT pool, pos, pos - row_number() OVER (PARTITION BY pool ORDER BY pos) AS run FROM gone)
+    SELECT pool, min(pos) AS "from", count(*) AS count FROM r GROUP BY pool, run""")
 def pool_leases(spark, sf_dir):
+    """The runs of each pool up to its last chunk that is home that are missing."""
     from taleweave.operators.timeline import missing_runs
 
-    there = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("chapter"), (F.col("l_linenumber") * 53 % 400 + F.col("l_partkey") % 90).alias("pos"))
-    return missing_runs(spark.range(0, 400).select(F.lit(0).alias("chapter"), F.col("id").alias("pos")), there).select("from", "count")
+    there = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chapter"), F.floor(F.col("l_partkey") / 3).alias("pos")).distinct()
+    size = there.groupBy("chapter").agg(F.max("pos").alias("most"))
+    return missing_runs(size.select("chapter", F.explode(F.sequence(F.lit(0), "most")).alias("pos")), there).select(F.col("chapter").alias("pool"), "from", "count")

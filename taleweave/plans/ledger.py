@@ -245,11 +245,14 @@ def binding_difference(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", pieces.alias("pieces"))
 
 
-@query("a22_remaining_range", f"WITH {_TASKS}, merged AS (SELECT DISTINCT chapter FROM tasks WHERE stage = 'merge' AND state = 'done') SELECT (SELECT min(n) FROM range(3, 503) r(n) WHERE n NOT IN (SELECT chapter FROM merged)) AS first, 502 AS last, (SELECT count(*) FROM merged WHERE chapter BETWEEN 3 AND 502) AS done")
+@query("a22_remaining_range", f"WITH {_TASKS}, span AS (SELECT min(chapter) AS lo, max(chapter) AS hi FROM tasks), merged AS (SELECT DISTINCT chapter FROM tasks WHERE stage = 'merge' AND state = 'done') SELECT (SELECT min(n) FROM (SELECT unnest(range(lo, hi + 1)) AS n FROM span) WHERE n NOT IN (SELECT chapter FROM merged)) AS first, (SELECT hi FROM span) AS last, (SELECT count(*) FROM merged) AS done")
 def remaining_range(spark, sf_dir):
-    merged = tasks(spark, sf_dir).where("stage = 'merge' and state = 'done' and chapter between 3 and 502").select("chapter").distinct().withColumn("m", F.lit(True))
-    n = spark.range(3, 503).withColumnRenamed("id", "chapter").join(merged, "chapter", "left")
-    return n.agg(F.min(F.when(F.col("m").isNull(), F.col("chapter"))).alias("first"), F.lit(502).alias("last"), F.count("m").alias("done"))
+    """The first chapter of the ledger's range that is not merged, its last chapter, and how many are merged."""
+    t = tasks(spark, sf_dir)
+    merged = t.where("stage = 'merge' and state = 'done'").select("chapter").distinct().withColumn("m", F.lit(True))
+    low, high = t.agg(F.min("chapter"), F.max("chapter")).first()
+    n = spark.range(low or 0, (high if high is not None else -1) + 1).withColumnRenamed("id", "chapter").join(merged, "chapter", "left")
+    return n.agg(F.min(F.when(F.col("m").isNull(), F.col("chapter"))).alias("first"), F.max("chapter").alias("last"), F.count("m").alias("done"))
 
 
 @query("a29_known_characters", "SELECT name, CASE WHEN name = 'FRANCE' THEN 0 ELSE 1 END AS place FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT p_type FROM part)")
@@ -577,9 +580,10 @@ def trim_range(spark, sf_dir):
     return tasks(spark, sf_dir).where(~((F.col("state") == "pending") & ~F.col("chapter").between(100, 900))).select("chapter", "take", "stage")
 
 
-@query("m05_enqueue_range", "WITH w AS (SELECT n AS chapter FROM range(0, 400) r(n)), t AS (SELECT doc_id AS chapter FROM documents WHERE doc_id % 3 > 0), s AS (SELECT doc_id AS chapter FROM labels) SELECT chapter, 'crawl' AS stage, CASE WHEN t.chapter IS NULL THEN 'pending' ELSE 'done' END AS state FROM w LEFT JOIN t USING (chapter) UNION ALL SELECT chapter, 'digest', 'pending' FROM w ANTI JOIN s USING (chapter)")
+@query("m05_enqueue_range", "WITH w AS (SELECT unnest(range(hi + 1)) AS chapter FROM (SELECT max(doc_id) AS hi FROM documents)), t AS (SELECT doc_id AS chapter FROM documents WHERE doc_id % 3 > 0), s AS (SELECT doc_id AS chapter FROM labels) SELECT chapter, 'crawl' AS stage, CASE WHEN t.chapter IS NULL THEN 'pending' ELSE 'done' END AS state FROM w LEFT JOIN t USING (chapter) UNION ALL SELECT chapter, 'digest', 'pending' FROM w ANTI JOIN s USING (chapter)")
 def enqueue_range(spark, sf_dir):
-    want = spark.range(0, 400).withColumnRenamed("id", "chapter")
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    want = spark.range(0, (last if last is not None else -1) + 1).withColumnRenamed("id", "chapter")
     text = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("chapter"), F.lit(True).alias("there"))
     crawl = want.join(text, "chapter", "left").select("chapter", F.lit("crawl").alias("stage"), F.when(F.col("there"), "done").otherwise("pending").alias("state"))
     script = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter"))

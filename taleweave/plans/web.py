@@ -201,10 +201,16 @@ def known_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(hosts, sites).select("page_id", "host", "site")
 
 
-@query("s12_template_index", "SELECT CAST(n AS INTEGER) AS n, 'https://books.example/' || n AS url, false AS absent FROM range(5, 105) t(n)")
+@query("s12_template_index", r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(url, '^.*?://', ''), '^([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages),
+    span AS (SELECT host, count(*) AS pages, min(page_id) AS first FROM h GROUP BY host)
+    SELECT host, CAST(n AS BIGINT) AS n, 'https://' || host || '/' || CASE WHEN first % 2 = 0 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 5, '0') END AS url, false AS absent FROM (SELECT *, unnest(range(first, first + pages)) AS n FROM span)""")
 def template_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1).select(F.explode(F.sequence(F.lit(5), F.lit(104))).alias("n"))
-    return n.select("n", web.expand_template(F.lit("https://books.example/{n}"), F.col("n")).alias("url"), F.lit(False).alias("absent"))
+    """Each site's template over its own range: as many chapters as it has pages, from its first one."""
+    hosts = table(spark, sf_dir, "pages").select("page_id", web.host(F.col("url")).alias("host"))
+    span = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first"))
+    n = span.select("host", "first", F.explode(F.sequence("first", F.col("first") + F.col("pages") - 1)).alias("n"))
+    plain, padded = (web.expand_template(F.lit(f"/{t}"), F.col("n")) for t in ("{n}", "{n:05}"))
+    return n.select("host", "n", F.concat(F.lit("https://"), "host", F.when(F.col("first") % 2 == 0, plain).otherwise(padded)).alias("url"), F.lit(False).alias("absent"))
 
 
 @query(
