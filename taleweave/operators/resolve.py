@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taleweave.functions.text import canon_key, fold, stopped
+from taleweave.functions.text import canon_key, fold, normal_tags, stopped
 
 
 def forms(cast: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def fold_plan(cast: DataFrame) -> DataFrame:
 
 
 def merge(cast: DataFrame, folds: DataFrame) -> DataFrame:
-    """Characters after folds (survivor, absorbed): aliases of all in order of pos with the absorbed names, chapters seen
-    as a sorted union, and the first personality that is not blank, the survivor's own before all others."""
+    """Characters after folds (survivor, absorbed): aliases of all in order of pos with the absorbed names, less forms whose
+    bearer the scene decides, chapters seen as a sorted union, and the first personality that is not blank, the survivor's
+    own before all others."""
     owner = cast.join(folds, cast["name"] == folds["absorbed"], "left").withColumn("owner", F.coalesce("survivor", "name"))
     own = F.col("name") == F.col("owner")
     rank = F.struct(F.when(own, 0).otherwise(1).alias("r"), F.col("pos").alias("p"))
@@ -63,11 +64,22 @@ def merge(cast: DataFrame, folds: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("chapters")))).alias("chapters"),
         F.min_by(F.when(F.trim("personality") != "", F.col("personality")), F.when(F.trim("personality") != "", rank)).alias("personality"),
     )
-    return gathered.select(F.col("owner").alias("name"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["aliases"]))).alias("aliases"), "chapters", "personality")
+    every = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["aliases"])))
+    named = F.filter(every, lambda a: (F.lower(F.trim(a)) == F.lower(F.trim("owner"))) | ~stopped(a))
+    return gathered.select(F.col("owner").alias("name"), named.alias("aliases"), "chapters", "personality")
 
 
-def upsert(cast: DataFrame, found: DataFrame, said: DataFrame) -> DataFrame:
-    """The cast (name, aliases, chapters, first_seen) after the finds of some chapters, in their order.
+def scrubbed(cast: DataFrame) -> DataFrame:
+    """cast with `dropped`, its aliases without the forms whose bearer the scene decides; a character keeps its own name,
+    however it is written. A second scrub drops nothing."""
+    name = F.lower(F.trim("name"))
+    kept = F.filter("aliases", lambda a: (F.lower(F.trim(a)) == name) | ~stopped(a))
+    return cast.withColumns({"aliases": kept, "dropped": F.array_size("aliases") - F.array_size(kept)})
+
+
+def upsert(cast: DataFrame, found: DataFrame, said: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """The cast (name, aliases, chapters, first_seen) after the finds of some chapters, in their order. The cast is healed
+    first, as scrubbed() has it.
 
     cast: pos, name, aliases, chapters, one row per name key. found: at (order of the finds), chapter, name, aliases. said:
     chapter, speaker. A find of a known name key folds into that character and gives it its name and aliases; the others
@@ -75,18 +87,31 @@ def upsert(cast: DataFrame, found: DataFrame, said: DataFrame) -> DataFrame:
     character always has its own name. A form belongs to whom it came first, by its key; what another claims later is
     refused. A character is marked in the chapters that it speaks in from its first on. Names that are blank are left out.
 
+    told: at (in the order of the finds), owner, forms: aliases for a character that is there by then. The owner is looked
+    up among the names and the aliases that the cast began with. personality, voice_hint and tags are kept if both frames
+    have them: a known character's stay as they are, a new one has those of its first find, its tags in normal form.
+
     Claims are counted once per character and form before they meet the form's owner, so a frequent form is one row per
     character there."""
-    held = cast.select(canon_key(F.col("name")).alias("key"), F.struct(F.lit(0).alias("turn"), F.col("pos").cast("long").alias("at")).alias("order"), "name", "aliases", "chapters", F.lit(None).cast("long").alias("first_seen"))
+    details = [c for c in ("personality", "voice_hint", "tags") if c in cast.columns and c in found.columns]
+    fresh = {"tags": normal_tags(F.coalesce("tags", F.array().cast("array<string>")))} if "tags" in details else {}
+    fresh |= {c: F.coalesce(c, F.lit("")) for c in details if c != "tags"}
+    cast = scrubbed(cast)
+    held = cast.select(canon_key(F.col("name")).alias("key"), F.struct(F.lit(0).alias("turn"), F.col("pos").cast("long").alias("at")).alias("order"), "name", "aliases", "chapters", F.lit(None).cast("long").alias("first_seen"), *details)
     new = found.where(F.trim("name") != "").select(
         canon_key(F.col("name")).alias("key"), F.struct(F.lit(1).alias("turn"), F.col("at").cast("long").alias("at")).alias("order"), F.trim("name").alias("name"), "aliases",
-        F.array().cast("array<long>").alias("chapters"), F.col("chapter").cast("long").alias("first_seen"),
+        F.array().cast("array<long>").alias("chapters"), F.col("chapter").cast("long").alias("first_seen"), *[fresh[c].alias(c) for c in details],
     )
     every = held.unionByName(new)
-    people = every.groupBy("key").agg(F.min("order").alias("born"), *[F.min_by(c, "order").alias(c) for c in ("name", "chapters", "first_seen")])
-
-    told = F.when(F.col("order.turn") == 0, F.col("aliases")).otherwise(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    claims = every.select("key", "order", F.col("name").alias("teller"), F.posexplode(told).alias("k", "form")).withColumn("form", F.trim("form"))
+    people = every.groupBy("key").agg(F.min("order").alias("born"), *[F.min_by(c, "order").alias(c) for c in ("name", "chapters", "first_seen", *details)])
+
+    stated = F.when(F.col("order.turn") == 0, F.col("aliases")).otherwise(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    claims = every.select("key", "order", F.col("name").alias("teller"), F.posexplode(stated).alias("k", "form")).withColumn("form", F.trim("form"))
+    if told is not None:
+        begun = people.join(cast.select(canon_key(F.col("name")).alias("key"), "aliases"), "key", "left").select(F.col("born").alias("pos"), "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+        asked = resolve(told.select("at", F.col("owner").alias("speaker"), "forms"), begun).withColumnRenamed("resolved", "teller").join(people.select("key", F.col("name").alias("teller"), "born"), "teller")
+        asked = asked.withColumn("order", F.struct(F.lit(1).alias("turn"), F.col("at").cast("long").alias("at"))).where(F.col("born") < F.col("order"))
+        claims = claims.unionByName(asked.select("key", "order", F.lit(None).cast("string").alias("teller"), F.posexplode("forms").alias("k", "form")).withColumn("form", F.trim("form")))
     claims = claims.withColumns({"stored": F.col("order.turn") == 0, "rank": F.struct("order.turn", "order.at", "k"), "own": F.lower("form") == F.lower(F.trim("teller"))})
     claims = claims.groupBy("key", "form").agg(F.min("rank").alias("rank"), F.max("stored").alias("stored"), F.min(F.when(F.col("own"), F.col("order"))).alias("named"))
     claims = claims.join(people.select("key", "born"), "key")
@@ -101,7 +126,7 @@ def upsert(cast: DataFrame, found: DataFrame, said: DataFrame) -> DataFrame:
     out = people.join(forms, "key", "left").join(heard, "key", "left")
     nothing = F.array().cast("array<string>")
     marked = F.array_sort(F.array_distinct(F.concat(F.col("chapters").cast("array<long>"), F.coalesce("heard", F.array().cast("array<long>")))))
-    return out.select("name", F.coalesce(F.transform("forms", lambda x: x["form"]), nothing).alias("aliases"), marked.alias("chapters"), "first_seen")
+    return out.select("name", F.coalesce(F.transform("forms", lambda x: x["form"]), nothing).alias("aliases"), marked.alias("chapters"), "first_seen", *details)
 
 
 def cast_only_folds(keys: DataFrame, cast: DataFrame) -> DataFrame:
