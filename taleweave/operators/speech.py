@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from taleweave.functions.markup import SPACE, trim
+from taleweave.operators import cues
 
 
 def quoted_sentences(text: Column) -> Column:
@@ -53,36 +53,13 @@ def _merge(chunks: list[str], gaps: list[str], least: int) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def balanced(words: pd.Series, width: pd.Series) -> pd.Series:
-    """As many rows as greedy filling needs, of the least sum of squared widths."""
+    """As many rows as greedy filling needs, of the least sum of squared widths, none wider than asked."""
     return pd.Series([_balance(list(w), n) for w, n in zip(words, width, strict=True)])
 
 
 def _balance(words: list[str], width: int) -> list[str]:
-    """best[b]: the least sum for the first b words in as many rows as are laid so far; one step of it a row."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    rows, used = 1, -1
-    for n in sizes.tolist():
-        used += n + 1
-        if used > width and used > n:
-            rows, used = rows + 1, n
-    edges, n = np.concatenate([[0], np.cumsum(sizes + 1)]), len(words)
-    never = np.int64(1) << 60
-    best, cuts = np.full(n + 1, never), []
-    best[0] = 0
-    for row in range(1, min(rows, n) + 1):
-        last, new, cut = n - (rows - row), np.full(n + 1, never), np.zeros(n + 1, np.int64)
-        for low in range(row, last + 1, 512):  # the words that may end this row
-            ends, starts = np.arange(low, min(low + 512, last + 1)), np.arange(row - 1, last)
-            sums = best[starts, None] + (edges[ends] - edges[starts, None] - 1) ** 2
-            sums[starts[:, None] >= ends] = never
-            cut[ends], new[ends] = starts[sums.argmin(axis=0)], sums.min(axis=0)
-        best = new
-        cuts.append(cut)
-    out, end = [], n
-    for cut in reversed(cuts):
-        out.append(" ".join(words[cut[end] : end]))
-        end = cut[end]
-    return out[::-1]
+    ends = cues.balanced([len(w) for w in words], 1, width)
+    return [" ".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @F.pandas_udf(StringType())
@@ -95,7 +72,7 @@ def repaired_json(text: pd.Series) -> pd.Series:
 def _repair(text: str | None) -> str | None:
     raw = re.sub(r"^﻿*\s*(?:```json)?|```\s*\Z", "", text or "").strip()
     for body in (raw, raw.replace('\\"', '"').replace("\\n", "\n")):
-        for _ in range(256):
+        while True:  # every repair takes a comma or a bare quote away
             try:
                 return json.dumps(json.loads(body, strict=False), ensure_ascii=False, separators=(",", ":"))
             except json.JSONDecodeError as broken:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions import markup, web
 from taleweave.functions import text as tx
+from taleweave.operators import cues as cu
 from taleweave.operators import discover as dis
 from taleweave.operators import index as ix
 from taleweave.operators import ledger as led
@@ -220,8 +221,12 @@ def balanced_lines(spark, sf_dir):
 
 @query("f15_cue_splitting")
 def cue_splitting(spark, sf_dir):
-    """Sentences grouped under a number of characters that two rows hold."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(seq.packed(tx.sentences(F.col("text")), 84)).alias("cue", "text"))
+    """Each turn as cues of two rows and six seconds at most, spoken at fifteen letters a second; users' cues bear a label."""
+    c = table(spark, sf_dir, "conversations")
+    start = F.col("turn") * 100.0
+    label = F.when(F.col("role") == "user", "User: \"").otherwise("")
+    found = cu.split_cues(F.col("text"), start, start + F.length("text") / 15.0, label)
+    return c.select("conv_id", "turn", F.posexplode(found).alias("cue", "c")).select("conv_id", "turn", "cue", F.round("c.start", 6).alias("start"), F.round("c.end", 6).alias("end"), F.col("c.text").alias("text"))
 
 
 @query("f13_paragraph_speech", """SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(p[1], ' ') AS before, trim(p[2], ' ') AS speech, trim(p[3], ' ') AS after FROM (SELECT doc_id, unnest(range(len(l))) AS pos, string_split(unnest(l), '"') AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\n') AS l FROM documents)) WHERE len(p) = 3""")
@@ -239,12 +244,14 @@ def embedded_term(spark, sf_dir):
     return seq.quote_events(d).groupBy("chapter", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_BROKEN = ('```json\n{"a": [1, 2,], "b": "x",}\n```', '{"t": "line\nbreak"}', '{"t": "he said "no" loud"}', '{\\"a\\": 1}', "nothing", '{"k": 1}')
-
-
-@query("f34_json_repair")
+@query("f34_json_repair", rf"""SELECT conv_id, turn, CAST(json_object('conv', conv_id, 'text', said, 'tags', ['a', 'b']) AS VARCHAR) AS body FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, ' (\w+) (\w+) ', ' "\1" \2 ', 'g') ELSE regexp_replace(text, ' (\w+) (\w+) ', ' "\1" \2 ') END AS said FROM conversations WHERE text IS NOT NULL AND NOT contains(text, chr(92)))""")
 def json_repair(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", sp.repaired_json(pick(_BROKEN, F.col("event_id"))).alias("body"))
+    """A model's answers as it writes them: in a fence, with bare quotes in a text, raw line ends and trailing commas."""
+    c = table(spark, sf_dir, "conversations").where("text is not null and not contains(text, '\\\\')")
+    first = F.regexp_replace("text", r"\A((?s).*?) (\w+) (\w+) ", '$1 "$2" $3 ')
+    said = F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", r" (\w+) (\w+) ", ' "$1" $2 ')).otherwise(first)
+    body = F.concat(F.lit('```json\n{"conv": '), "conv_id", F.lit(', "text": "'), said, F.lit('", "tags": ["a", "b",],\n}\n```'))
+    return c.select("conv_id", "turn", sp.repaired_json(body).alias("body"))
 
 
 @query("p33_sound_items", "SELECT conv_id, turn, turn % 3 = 1 AND turn % 2 = 0 AS sound FROM conversations")
