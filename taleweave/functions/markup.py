@@ -70,7 +70,8 @@ def fold_end_marks(line: Column) -> Column:
         letters = F.split(F.replace(F.regexp_replace(marks, rf"{SPACE}+", ""), F.lit("."), F.lit("…")), "")
         return F.array_join(F.array_distinct(letters), "")
 
-    return F.aggregate(longest, line, lambda s, r: F.replace(s, r, compact(r)))
+    folded = F.aggregate(longest, line, lambda s, r: F.replace(s, r, compact(r)))
+    return F.when(line.rlike(rf"[.!?…]{SPACE}+[.!?…]"), folded).otherwise(line)  # most lines have no such run
 
 
 def prose(text: Column) -> Column:

@@ -175,9 +175,12 @@ def _events(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
 def _is_term(text: str, opened: int, closed: int) -> bool:
     inner = text[opened + 1 : closed].strip()
     small = inner and len(inner) <= 24 and not set(inner) & set("\n.!?…") and len(inner.split()) <= 4
-    before = text[text.rfind("\n", 0, opened) + 1 : opened].rstrip()
-    end = text.find("\n", closed)
-    return bool(small and before and before[-1].isalnum() and text[closed + 1 : end if end >= 0 else len(text)].strip())
+    k, m = opened - 1, closed + 1
+    while k >= 0 and text[k] != "\n" and text[k].isspace():
+        k -= 1
+    while m < len(text) and text[m] != "\n" and text[m].isspace():
+        m += 1
+    return bool(small and k >= 0 and text[k].isalnum() and m < len(text) and text[m] != "\n")
 
 
 def assign_voices(speakers: DataFrame, voices: DataFrame) -> DataFrame:

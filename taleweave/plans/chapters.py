@@ -20,8 +20,9 @@ from taleweave.operators import queue as qu
 from taleweave.operators import selectors as sel
 from taleweave.operators import sequential as seq
 from taleweave.operators import speech as sp
-from taleweave.plans.common import S, pick, sql_list, sql_pick, sql_text, table
+from taleweave.plans.common import S, pick, sql_list, sql_pick, sql_text, sql_trim, table
 from taleweave.plans.ledger import _TASKS, NOW, tasks
+from taleweave.plans.web import _HOST, _prose, _text
 from taleweave.registry import query
 from taleweave.scratch import fresh_path, written
 
@@ -92,7 +93,16 @@ def first_text(spark, sf_dir):
     return sel.first_text(pg.parsed(pages(spark, sf_dir)), "article h1, article > h2")
 
 
-@query("p07_readable")
+_ARTICLE, _BODY = (rf"regexp_extract(html, '(?s)<{t}>(.*?)(?:</{t}>|\z)', 1)" for t in ("article", "body"))
+_SHOWN = r"length(regexp_replace(regexp_replace(regexp_replace(%s, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&[a-z]+;', '_', 'g'))"
+_LINKED = rf"3 * list_sum(list_transform(list_append(regexp_extract_all({_BODY}, '<a [^>]*>([^<]*)</a>', 1), ''), lambda x: length(regexp_replace(x, '&[a-z]+;', '_', 'g'))))"
+_BEST = f"CASE WHEN {_SHOWN % _BODY} - {_LINKED} >= {_SHOWN % _ARTICLE} THEN {_BODY} ELSE {_ARTICLE} END"
+_READ = rf"""SELECT page_id, trim(regexp_replace(replace(regexp_extract({_CLEAN}, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '{S}+', ' ', 'g'), ' ') AS title,
+  regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array({_prose(_text('best'))}, '\r?\n'), lambda l: {sql_trim('l')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+\z', '', 'g') AS text
+  FROM (SELECT page_id, html, {_BEST} AS best FROM pages)"""
+
+
+@query("p07_readable", _READ)
 def readable(spark, sf_dir):
     return pg.readable(pg.parsed(pages(spark, sf_dir)))
 
@@ -103,7 +113,7 @@ def absolute_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", pg.absolute(F.col("url"), F.lit("../next?p=2")).alias("next"), pg.absolute(F.col("url"), F.lit(" ")).alias("none"))
 
 
-@query("s10_crawl_chapter")
+@query("s10_crawl_chapter", f"""SELECT page_id, title, CASE WHEN page_id % 5 = 4 THEN 'blocked:challenge' WHEN page_id % 5 = 3 THEN 'absent' WHEN strlen(text) > {web.MAX_BYTES} THEN 'blocked:unknown' WHEN strlen(text) < {web.MIN_BYTES} THEN 'blocked:empty' ELSE 'text' END AS outcome FROM ({_READ})""")
 def crawl_chapter(spark, sf_dir):
     """Readable text of each page and the outcome of its crawl."""
     status = F.element_at(F.array(*[F.lit(c) for c in (200, 200, 200, 404, 503)]), (F.col("page_id") % 5 + 1).cast("int"))
@@ -117,11 +127,11 @@ def discover(spark, sf_dir):
     return pg.listing(pages(spark, sf_dir)).groupBy("page_id").agg(F.count(F.lit(1)).alias("chapters"), F.max("n").cast("long").alias("last"))
 
 
-@query("x01_crawl_script")
+@query("x01_crawl_script", rf"""SELECT page_id, CASE WHEN length(host) % 2 = 0 THEN {_prose(_text(_ARTICLE))} ELSE {_prose(_text(_BODY))} END AS text FROM (SELECT *, {_HOST} AS host FROM pages)""")
 def crawl_script(spark, sf_dir):
     """A site's selectors as parameter rows (container tag, attribute, part, title tag), joined by host and applied."""
     hosts = pages(spark, sf_dir).select("page_id", web.host(F.col("url")).alias("host"))
-    sites = hosts.select("host").distinct().select("host", F.when(F.crc32("host") % 2 == 0, "article").otherwise("body").alias("container"))
+    sites = hosts.select("host").distinct().select("host", F.when(F.length("host") % 2 == 0, "article").otherwise("body").alias("container"))
     found = pg.tagged(pg.parsed(pages(spark, sf_dir)), "article", "body").join(hosts, "page_id").join(sites, "host").where(F.col("tag") == F.col("container"))
     first = found.groupBy("page_id").agg(F.min_by("html", "pos").alias("html"))
     return first.select("page_id", markup.prose(markup.text_of(F.col("html"))).alias("text"))
