@@ -353,6 +353,28 @@ def bible_merge(spark, sf_dir):
     return rs.upsert(cast, found, o.select(chapter.alias("chapter"), F.concat(F.lit("CUSTOMER#"), named(F.floor(key / 2))).alias("speaker")))
 
 
+@query("a16_bible_healing", f"""WITH t AS (SELECT 0 AS turn, c_custkey AS place, c_name AS name, ['C-' || c_custkey, 'Lão Giả', 'y'] AS aliases, [c_custkey % 5] AS chapters, NULL AS first_seen, c_mktsegment AS personality, [lower(c_mktsegment)] AS tags FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT 1, o_orderkey, name, [name, 'C-' || o_custkey // 2, 'sư huynh', o_orderpriority || ' ' || o_custkey % 40], [], o_orderkey // 8, o_orderstatus, ['old', 'male'] FROM (SELECT *, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || [' (young)', '', ' lão tổ'][o_orderkey % 3 + 1] AS name FROM orders)),
+    every AS (SELECT *, {_canon('name')} AS key FROM t), people AS (SELECT key, min((turn, place)) AS born, arg_min(name, (turn, place)) AS name, arg_min(chapters, (turn, place)) AS chapters, arg_min(personality, (turn, place)) AS personality, arg_min(tags, (turn, place)) AS tags, min(first_seen) FILTER (turn = 1) AS begun, min(turn) AS turn FROM every GROUP BY key),
+    said AS (SELECT DISTINCT chapter, {_canon('speaker')} AS key FROM (SELECT o_orderkey // 8 AS chapter, 'CUSTOMER#' || lpad(CAST(o_custkey // 2 AS VARCHAR), 9, '0') AS speaker FROM orders)),
+    c AS (SELECT e.key, e.turn, e.place, unnest(range(len(e.aliases))) AS k, unnest(e.aliases) AS form, e.name AS teller, (e.turn, e.place) = p.born AND e.turn = 1 AS first FROM every e JOIN people p USING (key)
+      UNION ALL SELECT p.key, 1, o_orderkey, unnest(range(3)), unnest(['Kin ' || o_custkey % 50, 'Nữ tử', 'Heir of ' || o_orderkey]), NULL, false FROM (SELECT *, 'CUSTOMER#' || lpad(CAST(o_custkey // 3 AS VARCHAR), 9, '0') AS owner FROM orders) JOIN people p ON p.key = {_canon('owner')} WHERE p.born < (1, o_orderkey)),
+    ok AS (SELECT key, form, {_canon('form')} AS form_key, min((turn, place, k)) AS rank, min(turn) = 0 AS stored FROM c WHERE first AND k = 0 OR (turn = 0 OR length(form) > 1) AND lower(form) NOT IN ({_STOPPED}) GROUP BY key, form),
+    own AS (SELECT form_key, arg_min(key, rank) AS owner, count(DISTINCT key) FILTER (stored) AS holders FROM ok GROUP BY form_key),
+    kept AS (SELECT key, list(form ORDER BY rank) AS forms FROM ok JOIN own USING (form_key) WHERE stored OR key = owner AND holders < 2 GROUP BY key)
+    SELECT p.name, coalesce(forms, []) AS aliases, (SELECT coalesce(list_sort(list_distinct(list(x))), []) FROM (SELECT unnest(p.chapters) AS x UNION ALL SELECT unnest(h.heard))) AS chapters, CASE WHEN p.turn = 1 THEN begun END AS first_seen, personality, tags
+    FROM people p LEFT JOIN kept USING (key) LEFT JOIN (SELECT key, list(chapter) AS heard FROM said JOIN people q USING (key) WHERE q.turn = 0 OR chapter >= q.begun GROUP BY key) h USING (key)""")
+def bible_healing(spark, sf_dir):
+    """The same with what is known of each character, and with aliases told for characters that are there by then."""
+    c, o, key = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0"), table(spark, sf_dir, "orders"), F.col("o_custkey")
+    named = lambda k: F.lpad(k.cast("string"), 9, "0")
+    cast = c.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("C-"), "c_custkey"), F.lit("Lão Giả"), F.lit("y")).alias("aliases"), F.array(F.col("c_custkey") % 5).alias("chapters"), F.col("c_mktsegment").alias("personality"), F.array(F.lower("c_mktsegment")).alias("tags"))
+    chapter, forms = F.floor(F.col("o_orderkey") / 8), F.array(F.concat(F.lit("C-"), F.floor(key / 2)), F.lit("sư huynh"), F.concat("o_orderpriority", F.lit(" "), key % 40))
+    found = o.select(F.col("o_orderkey").alias("at"), chapter.alias("chapter"), F.concat(F.lit("Customer#"), named(key), pick((" (young)", "", " lão tổ"), F.col("o_orderkey"))).alias("name"), forms.alias("aliases"), F.col("o_orderstatus").alias("personality"), F.array(F.lit("Elderly"), F.lit(" old "), F.lit("MALE"), F.lit("")).alias("tags"))
+    told = o.select(F.col("o_orderkey").alias("at"), F.concat(F.lit("CUSTOMER#"), named(F.floor(key / 3))).alias("owner"), F.array(F.concat(F.lit("Kin "), key % 50), F.lit("Nữ tử"), F.concat(F.lit("Heir of "), "o_orderkey")).alias("forms"))
+    return rs.upsert(cast, found, o.select(chapter.alias("chapter"), F.concat(F.lit("CUSTOMER#"), named(F.floor(key / 2))).alias("speaker")), told)
+
+
 _SCENES = [(("the",), "hall"), (("en",), "cave")]
 _EFFECTS = {"hall": (("red", "small"), "wide"), "cave": (("ring", "large", "b2"), "deep")}
 _REVERBS = {"wide": "0.4"}

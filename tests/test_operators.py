@@ -241,3 +241,45 @@ def test_upsert_takes_finds_in_their_order(spark):
     got = {r["name"]: (r.aliases, r.chapters, r.first_seen) for r in resolve.upsert(*frames).collect()}
     assert got == {p[0]: (p[1], sorted(p[2]), p[3]) for p in people.values()}
     assert not resolve.upsert(*(f.limit(0) for f in frames)).collect()
+
+
+def _bible(spark, *characters):
+    rows = [(k, name, aliases, [], "x", "adult male", ["male"]) for k, (name, aliases) in enumerate(characters)]
+    return spark.createDataFrame(rows, "pos long, name string, aliases array<string>, chapters array<long>, personality string, voice_hint string, tags array<string>")
+
+
+def _merged(spark, bible, new=(), told=(), said=()):
+    """new: (name, aliases, personality, hint, tags); told: (owner, forms); said: speakers; all of chapter 7."""
+    found = spark.createDataFrame([(k, 7, *x) for k, x in enumerate(new)], "at long, chapter long, name string, aliases array<string>, personality string, voice_hint string, tags array<string>")
+    heard = spark.createDataFrame([(7, s) for s in said], "chapter long, speaker string")
+    aliases = spark.createDataFrame([(100 + k, *x) for k, x in enumerate(told)], "at long, owner string, forms array<string>")
+    return {r["name"]: r for r in resolve.upsert(bible, found, heard, aliases).collect()}
+
+
+def test_merge_heals_and_keeps_what_is_known(spark):
+    got = _merged(spark, _bible(spark), [("Lão Trần", [], "gruff", "elderly male", ["Old", "MALE", "old"])], said=["Lão Trần"])
+    assert got["Lão Trần"].asDict() == {"name": "Lão Trần", "aliases": ["Lão Trần"], "chapters": [7], "first_seen": 7, "personality": "gruff", "voice_hint": "elderly male", "tags": ["old", "male"]}
+    got = _merged(spark, _bible(spark), [("Hắn", ["y", "phàm nhân"], None, None, None)])
+    assert got["Hắn"].aliases == ["Hắn"] and got["Hắn"].personality == "" and got["Hắn"].tags == []
+    got = _merged(spark, _bible(spark, ("A", ["Tuyết"])), [("B", ["Tuyết"], "", "adult female", [])])
+    assert got["A"].aliases == ["Tuyết"] and got["B"].aliases == ["B"]
+    got = _merged(spark, _bible(spark, ("Huyền Vũ", ["Huyền Vũ"])), [("Huyền Vũ lão tổ", [], "y", "old man", ["old"])], said=["Huyền Vũ lão tổ"])
+    assert list(got) == ["Huyền Vũ"] and got["Huyền Vũ"].aliases == ["Huyền Vũ", "Huyền Vũ lão tổ"] and got["Huyền Vũ"].chapters == [7]
+    assert (got["Huyền Vũ"].personality, got["Huyền Vũ"].voice_hint, got["Huyền Vũ"].tags) == ("x", "adult male", ["male"])
+    got = _merged(spark, _bible(spark, ("Mao Ý", ["Mao Ý"])), told=[("Mao Ý (thanh niên mặc hoa phục)", ["Mao Ý hoa phục"]), ("Ai Đó", ["Không"])])
+    assert got["Mao Ý"].aliases == ["Mao Ý", "Mao Ý hoa phục"] and len(got) == 1
+    got = _merged(spark, _bible(spark, ("Lạc Lan Tuyết", ["Lạc Lan Tuyết"])), told=[("Lạc Lan Tuyết", ["nữ tử", "Nữ tử", "cô gái", "tiền bối", "vị kia", "Lý cô nương"])])
+    assert got["Lạc Lan Tuyết"].aliases == ["Lạc Lan Tuyết", "Lý cô nương"]
+    got = _merged(spark, _bible(spark, ("Thanh Sơn lão tổ", ["Thanh Sơn lão tổ", "Sư phụ", "tiểu thư", "Lục Thanh Sơn"])), said=["Thanh Sơn lão tổ"])
+    assert got["Thanh Sơn lão tổ"].aliases == ["Thanh Sơn lão tổ", "Lục Thanh Sơn"]
+
+
+def test_scrub_is_idempotent_and_folds_bring_nothing_back(spark):
+    bible = _bible(spark, ("Lạc Lan Tuyết", ["Lạc Lan Tuyết", "Nữ tử", "nữ tử", "cô gái", "nữ tử áo trắng", "Lý cô nương"]), ("Dịch Phong", ["Dịch Phong", "công tử", "tiền bối", "vị kia", "Dịch sư phụ"]), ("Quản gia", ["Quản gia"]), ("Lý Anh Liên", ["Lý Anh Liên", "lão tổ"]), ("Trần công tử", ["Trần công tử", "Trần Uy"]))
+    once = resolve.scrubbed(bible)
+    got = {r["name"]: (r.aliases, r.dropped) for r in once.collect()}
+    assert got == {"Lạc Lan Tuyết": (["Lạc Lan Tuyết", "nữ tử áo trắng", "Lý cô nương"], 3), "Dịch Phong": (["Dịch Phong", "Dịch sư phụ"], 3), "Quản gia": (["Quản gia"], 0), "Lý Anh Liên": (["Lý Anh Liên"], 1), "Trần công tử": (["Trần công tử", "Trần Uy"], 0)}
+    assert resolve.scrubbed(once).where("dropped > 0").count() == 0
+    cast = _bible(spark, ("Thanh Sơn lão tổ", ["Thanh Sơn lão tổ", "Sư phụ", "sư tôn"]), ("Thanh Sơn", ["lão đầu", "Lục Thanh Sơn"]))
+    folded = resolve.merge(cast, spark.createDataFrame([("Thanh Sơn lão tổ", "Thanh Sơn")], "survivor string, absorbed string")).first()
+    assert folded.aliases == ["Thanh Sơn lão tổ", "Thanh Sơn", "Lục Thanh Sơn"]
