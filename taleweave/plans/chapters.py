@@ -13,6 +13,7 @@ from taleweave.functions import text as tx
 from taleweave.operators import cues as cu
 from taleweave.operators import discover as dis
 from taleweave.operators import index as ix
+from taleweave.operators import jsontext as js
 from taleweave.operators import ledger as led
 from taleweave.operators import mentions as mn
 from taleweave.operators import pages as pg
@@ -518,3 +519,48 @@ def write_stream(spark, sf_dir):
     from taleweave.streaming import live, pools
 
     return live.drained(pools.write_queue(write_log(event_log(spark, sf_dir)), "0 seconds"), fresh_path(spark, "writes"), state_store=live.ROCKS)
+
+
+
+def registries(spark, sf_dir):
+    """Each event as a small registry in JSON, written by hand as it were."""
+    body = F.concat(F.lit('{\n  "id": '), "event_id", F.lit(',\n  "props": '), "props", F.lit(',\n  "type": "'), "event_type", F.lit('"\n}'))
+    return js.members(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("text")))
+
+
+@query("s37_json_members", """WITH e AS (SELECT event_id AS id, CAST(event_id AS VARCHAR) AS a, props AS b, '"' || event_type || '"' AS c FROM events)
+    SELECT id, 'id' AS key, 10 AS start, a AS raw FROM e UNION ALL SELECT id, 'props', CAST(10 + length(a) + 13 AS INTEGER), b FROM e UNION ALL SELECT id, 'type', CAST(10 + length(a) + 13 + length(b) + 12 AS INTEGER), c FROM e""")
+def json_members(spark, sf_dir):
+    """Members of each registry with the place and the text of their values."""
+    each = registries(spark, sf_dir).select("id", "text", F.explode("found").alias("m"))
+    return each.select("id", F.col("m.key").alias("key"), F.col("m.start").alias("start"), js.value_of(F.col("text"), F.col("m")).alias("raw"))
+
+
+@query("s37_json_edits", """SELECT event_id AS id, '{' || chr(10) || '  "id": ' || event_id || CASE WHEN event_id % 5 = 0 THEN '' ELSE ',' || chr(10) || '  "props": ' || props END || ',' || chr(10) || '  "type": ' ||
+    CASE WHEN event_id % 3 = 0 THEN '["edited"]' ELSE '"' || event_type || '"' END || CASE WHEN event_id % 7 = 0 THEN ',' || chr(10) || '  "new": 1' ELSE '' END || chr(10) || '}' AS text FROM events""")
+def json_edits(spark, sf_dir):
+    """Registries with one member changed, one taken out, one new; the others to the letter as they were."""
+    found = registries(spark, sf_dir)
+    change = lambda by, key, value: found.where(F.col("id") % by == 0).select("id", F.lit(key).alias("key"), F.lit(value).cast("string").alias("value"))
+    return js.edited(found, change(3, "type", '["edited"]').unionByName(change(5, "props", None)).unionByName(change(7, "new", "1")))
+
+
+@query("s19_wav_blocks", """WITH s AS (SELECT vec_id // 50 AS file, (vec_id % 50) * 64 + i AS place, greatest(-32768, least(32767, floor(CAST(x AS DOUBLE) * 32768 + 0.5))) AS pcm FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)),
+    r AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY place) - 1 AS place, pcm FROM s)
+    SELECT CAST(file AS BIGINT) AS file, place // 1000 AS block, count(*) AS n, 16000 AS rate, max(abs(pcm)) / 32768 AS peak, CAST(sum(pcm) AS BIGINT) AS total, CAST(count(*) FILTER (abs(pcm) >= 6553.6) AS BIGINT) AS loud FROM r GROUP BY file, place // 1000""")
+def wav_blocks(spark, sf_dir):
+    """Fifty vectors a WAV file, read back in blocks of 1,000 samples: peak, sum and loud samples of every block."""
+    from taleweave.sources import samples as sm
+
+    vectors = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 50).alias("file")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x")))).alias("v"))
+    rows = vectors.select(F.concat(F.lit("clip-"), "file", F.lit(".wav")).alias("name"), F.lit(16_000).alias("rate"), F.flatten(F.transform("v", lambda v: v["x"])).alias("samples"))
+    folder = fresh_path(spark, "clips")
+    sm.write(rows, folder).agg(F.sum("bytes")).first()
+    spark.dataSource.register(sm.Samples)
+    read = spark.read.format("samples").option("path", folder).option("block", 1000).load()
+    pcm = F.transform("samples", lambda x: F.round(x * 32768).cast("long"))
+    size = F.transform(pcm, F.abs)
+    return read.select(
+        F.regexp_extract("path", r"clip-(\d+)\.wav$", 1).cast("long").alias("file"), "block", "n", "rate", (F.array_max(size) / 32768).alias("peak"),
+        F.aggregate(pcm, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter(size, lambda x: x >= 6553.6)).cast("long").alias("loud"),
+    )
