@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.text import descriptive, stopped
 from taleweave.operators.resolve import resolve
+from taleweave.scratch import written
 
 WORD = r"([\p{L}\p{N}]+)"
 ANONYMOUS, NARRATOR = "Anonymous", "Narrator"
@@ -118,7 +119,7 @@ def described_only(chapters: DataFrame, roster: DataFrame, speakers: DataFrame,
     given = given.unionByName(speakers.select("chapter", F.trim("speaker").alias("speaker"), F.lit(False).alias("epithet")))
     given = given.unionByName(told.where(descriptive(F.col("form"))).select("chapter", F.trim("owner").alias("speaker"), F.lit(True).alias("epithet")))
     given = given.groupBy("chapter", "speaker").agg(F.max("epithet").alias("epithet")).where((F.col("speaker") != "") & (F.col("speaker") != NARRATOR) & ~anonymous(F.col("speaker")))
-    given = resolve(given, bible).where((F.col("resolved") != NARRATOR) & ~anonymous(F.col("resolved")))
+    given = written(resolve(given, bible).where((F.col("resolved") != NARRATOR) & ~anonymous(F.col("resolved"))), "figures")
     known = _supported(chapters, given.select("chapter", F.col("resolved").alias("name")).distinct(), bible, told)
     unnamed = given.join(known.withColumnRenamed("name", "resolved"), ["chapter", "resolved"]).where("not named and (epithet or described)")
     return unnamed.select("chapter", F.explode(F.array("speaker", "resolved")).alias("name")).distinct()
@@ -132,10 +133,11 @@ def attribution(chapters: DataFrame, roster: DataFrame, speakers: DataFrame, tol
     characters that the answer describes; bible: pos, name, aliases. Figures that a chapter only describes leave the roster
     and the mentions and speak as the anonymous one; an anonymous roster entry stays if a line has it. A mention stays if its
     form stands in the text, bears a name, and its owner is the narrator, in the roster or known."""
-    unnamed = described_only(chapters, roster, speakers, told, bible)
+    unnamed = written(described_only(chapters, roster, speakers, told, bible), "described-only")
     named = roster.select("chapter", "pos", F.trim("name").alias("name")).where("name <> ''").join(unnamed, ["chapter", "name"], "left_anti")
     speaking = speakers.select("chapter", F.col("speaker").alias("name")).distinct().withColumn("speaks", F.lit(True))
     cast = named.join(speaking, ["chapter", "name"], "left").where(~anonymous(F.col("name")) | F.col("speaks")).groupBy("chapter", "name").agg(F.min("pos").alias("pos"))
+    cast = written(cast, "named-cast")
 
     heard = resolve(speakers.select("chapter", "id", F.trim("speaker").alias("speaker")), bible)
     silent = unnamed.withColumn("unnamed", F.lit(True))
