@@ -145,3 +145,17 @@ def paced(requests: DataFrame, pace: int) -> DataFrame:
     k = requests.withColumn("k", F.row_number().over(order) - 1)
     slot = F.max(F.col("ts") - F.col("k") * pace).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("k") * pace
     return k.withColumn("slot", slot).drop("k")
+
+
+def accepted(tasks: DataFrame, offers: DataFrame, now: int) -> DataFrame:
+    """The ledger after offers (worker, stage, chapter, take; one a row) are taken up: the row is assigned to its worker with
+    a lease from now on. A digest that another worker already grinds is raced: the worker joins its racers and the lease of
+    all is renewed. tasks: chapter, take, stage, state, worker, racers, lease_until."""
+    met = tasks.join(offers.withColumnRenamed("worker", "offered"), ["chapter", "take", "stage"], "left")
+    holder = (F.col("worker") == F.col("offered")) | F.array_contains("racers", F.col("offered"))
+    race = F.coalesce(F.col("offered").isNotNull() & (F.col("stage") == "digest") & held(F.col("state")) & ~holder, F.lit(False))
+    takes = F.col("offered").isNotNull() & ~race
+    return met.select(
+        "chapter", "take", "stage", F.when(takes, "assigned").otherwise(F.col("state")).alias("state"), F.when(takes, F.col("offered")).otherwise(F.col("worker")).alias("worker"),
+        F.when(race, F.array_append("racers", F.col("offered"))).otherwise(F.col("racers")).alias("racers"), F.when(F.col("offered").isNotNull(), now + lease(F.col("stage"))).otherwise(F.col("lease_until")).alias("lease_until"),
+    )

@@ -203,6 +203,18 @@ def host_functions(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", web.host(F.col("url")).alias("host"), web.expand_template(F.lit("https://x.example/{n:05}"), F.col("page_id")).alias("next"))
 
 
+@query("x02_page_functions", rf"""WITH {_SITE_LINKS.strip()}, n AS (SELECT page_id, count(*) AS links, arg_min(href, pos) AS href FROM named GROUP BY page_id)
+  SELECT page_id, trim(regexp_replace(replace(regexp_extract({_CLEAN}, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '{S}+', ' ', 'g'), ' ') AS title, {_prose(_text(_ARTICLE))} AS text, coalesce(links, 0) AS links,
+    coalesce(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href, '') AS first FROM pages LEFT JOIN n USING (page_id)""")
+def page_functions(spark, sf_dir):
+    """What a site's script asks of a page: the text of one element, another with its paragraphs, all links, one resolved."""
+    read = written(pg.parsed(pages(spark, sf_dir)), "parsed")
+    links = pg.contents(sel.matched(pg.elements(read), "nav li > a[href]"), read)
+    links = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.min_by(F.element_at("attrs", F.lit("href")), "pos").alias("href"))
+    out = sel.first_text(read, "h1").withColumnRenamed("text", "title").join(sel.first_prose(read, "article"), "page_id").join(links, "page_id", "left").join(pages(spark, sf_dir).select("page_id", "url"), "page_id")
+    return out.select("page_id", "title", "text", F.coalesce("links", F.lit(0)).alias("links"), pg.absolute(F.col("url"), F.col("href")).alias("first"))
+
+
 @query("x03_site_parameters", r"SELECT host, count(*) AS pages, min(lang) AS lang FROM (SELECT regexp_replace(lower(regexp_extract(regexp_replace(url, '^.*?://', ''), '^([^/?#:]*)', 1)), '^www\.', '') AS host, regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) AS lang FROM pages) GROUP BY host")
 def site_parameters(spark, sf_dir):
     p = pages(spark, sf_dir).select(web.host(F.col("url")).alias("host"), F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("lang"))
@@ -443,6 +455,30 @@ def offer(spark, sf_dir):
     return w.join(t, ["stage", "k"]).select("worker", "stage", "chapter", "take")
 
 
+_LEASE = "CASE stage WHEN 'crawl' THEN 600 WHEN 'digest' THEN 1200 WHEN 'render' THEN 5400 ELSE 1800 END"
+_RANKED = "t AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY state <> 'pending', chapter, take) AS k FROM tasks WHERE state = 'pending' OR stage = 'digest' AND state IN ('assigned', 'running'))"
+
+
+@query(
+    "t05_racing",
+    f"""WITH {_TASKS}, {_WORKERS}, asking AS (SELECT 'box ' || (place + 100000 * r) AS worker, stage, place + 100000 * r AS place FROM workers, range(150) x(r)), w AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY place) AS k FROM asking), {_RANKED},
+    o AS (SELECT w.worker AS offered, t.stage, t.chapter, t.take FROM w JOIN t USING (stage, k)),
+    m AS (SELECT a.*, offered, coalesce(offered IS NOT NULL AND stage = 'digest' AND state IN ('assigned', 'running') AND NOT (worker = offered OR list_contains(racers, offered)), false) AS race FROM tasks a LEFT JOIN o USING (chapter, take, stage))
+    SELECT chapter, take, stage, CASE WHEN offered IS NOT NULL AND NOT race THEN 'assigned' ELSE state END AS state, CASE WHEN offered IS NOT NULL AND NOT race THEN offered ELSE worker END AS worker, CASE WHEN race THEN list_append(racers, offered) ELSE racers END AS racers,
+      CAST(CASE WHEN offered IS NULL THEN lease_until ELSE {NOW} + {_LEASE} END AS BIGINT) AS lease_until FROM m""",
+)
+def racing(spark, sf_dir):
+    """One tick taken up: workers get pending rows, and digesters beyond those race digests that others hold."""
+    s, r = F.col("s_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(149)))
+    asking = table(spark, sf_dir, "supplier").withColumn("r", r).select(F.concat(F.lit("box "), s + 100000 * F.col("r")).alias("worker"), pick(("merge", "render", "digest", "crawl"), s % 4).alias("stage"), (s + 100000 * F.col("r")).alias("place"))
+    w = ix.numbered(asking, ["stage"], F.floor(F.col("place") / 1000), ["place"])
+    rows = tasks(spark, sf_dir)
+    ready = rows.where((F.col("state") == "pending") | ((F.col("stage") == "digest") & led.held(F.col("state")))).select("stage", "chapter", "take", (F.col("state") != "pending").cast("long").alias("busy"))
+    ready = ix.numbered(ready, ["stage"], F.struct("busy", F.floor(F.col("chapter") / 1000)), ["busy", "chapter", "take"])
+    offers = w.join(ready, ["stage", "k"]).select("worker", "stage", "chapter", "take")
+    return led.accepted(rows.select("chapter", "take", "stage", "state", "worker", "racers", "lease_until"), offers, NOW)
+
+
 @query("t12_write_queue", f"WITH {_TASKS}, busy AS (SELECT DISTINCT chapter FROM tasks WHERE state IN ('assigned', 'running')), q AS (SELECT o_orderkey AS id, o_custkey AS chapter FROM orders WHERE o_orderstatus = 'P') SELECT id, chapter FROM q ANTI JOIN busy USING (chapter)")
 def write_queue(spark, sf_dir):
     """Queued writes that no live row of their chapter blocks."""
@@ -564,3 +600,12 @@ def wav_blocks(spark, sf_dir):
         F.regexp_extract("path", r"clip-(\d+)\.wav$", 1).cast("long").alias("file"), "block", "n", "rate", (F.array_max(size) / 32768).alias("peak"),
         F.aggregate(pcm, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter(size, lambda x: x >= 6553.6)).cast("long").alias("loud"),
     )
+
+
+@query("t02_liveness_stream")
+def liveness_stream(spark, sf_dir):
+    """When each user comes online and falls silent for six hours, as a stream of the events."""
+    from taleweave.streaming import live
+
+    beats = event_log(spark, sf_dir).select("user_id", "ts")
+    return live.drained(live.liveness(beats, 6 * 3600, "0 seconds"), fresh_path(spark, "liveness"), state_store=live.ROCKS)

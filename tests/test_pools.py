@@ -180,3 +180,25 @@ def test_queries_against_simulations(spark, data):
     got = [tuple(r)[:4] for r in plans.write_stream(spark, data).collect()]
     assert sorted(set(got) & set(want)) == sorted(want) and len(got) - len(want) <= 5
     assert {w[3] for w in want} == {"ran", "queued"}
+
+
+def test_liveness_query_against_a_walk(spark, data):
+    """Each user's beats in order: online after a silence, offline when it begins; silences up to the last beat of all."""
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", plans.F.col("ts").cast("timestamp")).collect()
+    beats, silence, want = {}, 6 * 3_600_000, set()
+    for e in events:
+        beats.setdefault(e.user_id, []).append(int(e.ts.timestamp() * 1000))
+    end = max(max(x) for x in beats.values())
+    for user, times in beats.items():
+        last = None
+        for ms in sorted(times):
+            if last is None or ms > last + silence:
+                if last is not None:
+                    want.add((user, "offline", last + silence))
+                want.add((user, "online", ms))
+            last = ms
+        if last + silence < end:
+            want.add((user, "offline", last + silence))
+    got = {(r.worker, r.state, int(r["at"].timestamp() * 1000)) for r in plans.liveness_stream(spark, data).collect()}
+    shift = {a[2] - b[2] for a in got for b in want if a[:2] == b[:2] == next(iter(want))[:2]} if got != want else set()
+    assert got == want, (len(got), len(want), sorted(shift)[:3])
