@@ -137,15 +137,23 @@ def tagged(read: DataFrame, *tags: str) -> DataFrame:
     return e.select("page_id", F.inline(each))
 
 
+_PLACES = ("pos", "attrs", "text_at", "text_end", "html_at", "html_end")
+
+
 def contents(hits: DataFrame, read: DataFrame) -> DataFrame:
-    """page_id, pos, attrs, text (squeezed) and html of found elements: a page's hits meet its row once."""
-    own = hits.groupBy("page_id").agg(F.collect_set("pos").alias("hits"))
-    met = read.join(own, "page_id")
-    of = F.filter("found", lambda e: F.array_contains("hits", e["pos"]))
-    each = F.transform(of, lambda e: F.struct(e["pos"].alias("pos"), e["attrs"].alias("attrs"), markup.squeeze(cut(F.col("text"), e["text_at"], e["text_end"])).alias("text"), cut(F.col("html"), e["html_at"], e["html_end"]).alias("html")))
+    """page_id, pos, attrs, text (squeezed) and html of found elements: a page's hits meet its row once. hits: rows of
+    elements()."""
+    own = hits.groupBy("page_id").agg(F.collect_list(F.struct(*_PLACES)).alias("hits"))
+    met = read.select("page_id", F.col("text").alias("whole"), F.col("html").alias("markup")).join(own, "page_id")
+    each = F.transform("hits", lambda e: F.struct(e["pos"].alias("pos"), e["attrs"].alias("attrs"), markup.squeeze(cut(F.col("whole"), e["text_at"], e["text_end"])).alias("text"), cut(F.col("markup"), e["html_at"], e["html_end"]).alias("html")))
     return met.select("page_id", F.inline(each))
 
 
+def firsts(hits: DataFrame) -> DataFrame:
+    """The first hit of each page, with what contents() needs."""
+    return hits.groupBy("page_id").agg(F.min_by(F.struct(*_PLACES), "pos").alias("first")).select("page_id", "first.*")
+
+
 def readable(read: DataFrame) -> DataFrame:
     """page_id, title, text of parsed() pages: the prose of the best container. Candidates count their characters less three
     times those in links; the last of the best wins; the title is the first h1, else the title element."""

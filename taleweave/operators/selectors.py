@@ -190,7 +190,7 @@ def first_text(read: DataFrame, selector: str) -> DataFrame:
     """page_id, text: of the first match in each parsed() page, squeezed; '' without one."""
     from taleweave.operators import pages
 
-    first = matched(pages.elements(read), selector).groupBy("page_id").agg(F.min("pos").alias("pos"))
+    first = pages.firsts(matched(pages.elements(read), selector))
     text = pages.contents(first, read).select("page_id", "text")
     return read.select("page_id").join(text, "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -200,6 +200,6 @@ def first_prose(read: DataFrame, selector: str) -> DataFrame:
     from taleweave.functions import markup
     from taleweave.operators import pages
 
-    first = matched(pages.elements(read), selector).groupBy("page_id").agg(F.min("pos").alias("pos"))
+    first = pages.firsts(matched(pages.elements(read), selector))
     text = pages.contents(first, read).select("page_id", markup.prose(markup.text_of(F.col("html"))).alias("text"))
     return read.select("page_id").join(text, "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))

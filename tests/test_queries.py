@@ -1,4 +1,5 @@
-"""Every registered query with SQL against DuckDB on the smallest tables; the others run and keep a stable schema."""
+"""Every registered query with SQL against DuckDB on the smallest tables; the others give rows (and are held to plain Python
+elsewhere)."""
 
 import decimal
 import math
@@ -47,7 +48,7 @@ def test_equals_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
     df = QUERIES[name](spark, data)
-    assert df.count() >= 0 and df.columns
+    assert df.count() > 0 and df.columns
 
 
 def test_entry(spark):
