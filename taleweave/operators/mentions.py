@@ -7,6 +7,7 @@ over its own candidates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,6 +20,7 @@ from taleweave.operators.resolve import resolve
 from taleweave.scratch import written
 
 WORD = r"([\p{L}\p{N}]+)"
+TOKEN = re.compile(r"[^\W_]+|[\W_]+")
 ANONYMOUS, NARRATOR = "Anonymous", "Narrator"
 
 
@@ -33,7 +35,33 @@ def anonymous(name: Column) -> Column:
 
 def scan(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
     """(start, end, form) of the forms that stand in a text between other characters than letters and digits: from left to
-    right, the longest at each place, none over another."""
+    right, the longest at each place, none over another. The forms make one automaton over words and what is between
+    words, so a step of it is a word; forms that begin or end with another character need one over characters."""
+    if any(not (f[0].isalnum() and f[-1].isalnum()) for f in forms):
+        return _by_characters(text, forms)
+    start: dict = {}
+    for f in forms:
+        state = start
+        for t in TOKEN.findall(f):
+            state = state.setdefault(t, {})
+        state[None] = f
+    tokens, out, at, k = TOKEN.findall(text), [], 0, 0
+    while k < len(tokens):
+        state, j, end, best = start.get(tokens[k]), k, k, None
+        while state is not None:
+            j += 1
+            if None in state:
+                end, best = j, state[None]
+            state = state.get(tokens[j]) if j < len(tokens) else None
+        if best is None:
+            at, k = at + len(tokens[k]), k + 1
+        else:
+            out.append((at, at + len(best), best))
+            at, k = at + len(best), end
+    return out
+
+
+def _by_characters(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
     machine = ahocorasick.Automaton()
     for f in forms:
         machine.add_word(f, f)
@@ -54,9 +82,11 @@ def scan(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
 def found(chapters: DataFrame, forms: DataFrame) -> DataFrame:
     """chapter, form, times and first (characters before it) of the forms in each chapter's text, as scan() has them.
     chapters: chapter (unique), text; forms: form. Forms without a letter or digit are not looked for."""
-    held = chapters.select("chapter", F.explode(words(F.col("text"))).alias("word"))
+    each = written(forms.select("form").distinct().withColumn("words", words(F.col("form"))).where(F.size("words") > 0), "forms")
+    asked = each.select(F.explode("words").alias("word")).distinct()
+    every = chapters.select("chapter", F.explode(F.regexp_extract_all("text", F.lit(WORD))).alias("word"))
+    held = written(every.join(asked, "word", "left_semi").distinct(), "words-held")
     spread = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    each = forms.select("form").distinct().withColumn("words", words(F.col("form"))).where(F.size("words") > 0)
     known = each.select("form", "words", F.explode("words").alias("word")).join(spread, "word")
     keyed = known.groupBy("form").agg(F.count(F.lit(1)).alias("known"), F.min_by("word", F.struct("n", "word")).alias("word"), F.first(F.size("words")).alias("words"))
     keyed = keyed.where("known = words").select("word", "form")  # all of its words occur somewhere
@@ -92,7 +122,7 @@ def owned(claims: DataFrame) -> DataFrame:
 
 def mentions(chapters: DataFrame, claims: DataFrame) -> DataFrame:
     """chapter, form, owner, times and first of every form of one owner that a chapter's text holds."""
-    forms = owned(claims)
+    forms = written(owned(claims), "owned-forms")
     return found(chapters, forms).join(forms, "form").select("chapter", "form", "owner", "times", "first")
 
 

@@ -342,10 +342,10 @@ _STOPPED = ", ".join(sql_text(w) for w in dict.fromkeys((*tx.ALIAS_STOP, *tx.TIT
 
 def opening_claims(spark, sf_dir):
     """Names out of the texts themselves: a document's first word for every fifth, its first two for every third."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(f"({_TOKENS})")).alias("t"))
-    t = t.withColumn("t", F.when(F.element_at(F.col("t"), 1).rlike(r"^[\p{L}\p{N}]"), F.col("t")).otherwise(F.slice("t", 2, 3))).where("size(t) > 2")
-    one = t.where("doc_id % 5 = 0").select(F.col("t")[0].alias("form"), F.concat(F.lit("Q"), "doc_id").alias("owner"))
-    return one.unionByName(t.where("doc_id % 3 = 0").select(F.concat(F.col("t")[0], F.col("t")[1], F.col("t")[2]).alias("form"), F.concat(F.lit("P"), "doc_id").alias("owner")))
+    word, between = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    heads = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", rf"^(?:{between})?({word}{between}{word})", 1).alias("two")).where("two <> ''")
+    one = heads.where("doc_id % 5 = 0").select(F.regexp_extract("two", f"^{word}", 0).alias("form"), F.concat(F.lit("Q"), "doc_id").alias("owner"))
+    return one.unionByName(heads.where("doc_id % 3 = 0").select(F.col("two").alias("form"), F.concat(F.lit("P"), "doc_id").alias("owner")))
 
 
 @query(

@@ -35,7 +35,9 @@ def test_scan_against_plain_search():
         word = lambda: "".join(r.choice("ab漢") for _ in range(r.randint(1, 2)))
         text = "".join(r.choice([word(), " ", "-", ", "]) for _ in range(30))
         forms = list({" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(6)} | {"a-b", "b, a"})
-        assert mn.scan(text, forms) == plain(text, forms), (text, forms)
+        assert mn.scan(text, forms) == mn._by_characters(text, forms) == plain(text, forms), (text, forms)
+        odd = [*forms, "-a", "b,", "- b"]
+        assert mn.scan(text, odd) == plain(text, odd), (text, odd)
 
 
 def test_table_of_chapters(spark):

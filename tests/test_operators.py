@@ -170,7 +170,7 @@ def test_small_facts(spark):
 def test_readable_page(spark):
     html = "<html><head><title>Index</title></head><body><nav><a href='/a'>Start</a><a href='b?x=1'>End</a></nav><article><h1>One &amp; two</h1><p>First line.</p><p>Second.</p></article></body></html>"
     df = spark.createDataFrame([(1, html, "http://h.example/x/y"), (2, "", "http://h.example/"), (3, "<p>no close <b>x", "http://h.example/")], "page_id long, html string, url string")
-    got = {r.page_id: r for r in pages.readable(pages.elements(df)).collect()}
+    got = {r.page_id: r for r in pages.readable(pages.parsed(df)).collect()}
     assert got[1].title == "One & two" and got[1].text == "One & two\n\nFirst line.\n\nSecond."
     links = {(r.n, r.url, r.title) for r in pages.listing(df).collect()}
     assert links == {(1, "http://h.example/a", "Start"), (2, "http://h.example/x/b?x=1", "End")}
