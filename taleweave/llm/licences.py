@@ -13,7 +13,7 @@ the licensed directories. One above more than HOT directories is spread over SAL
 the result, one row per directory, in a plain join, which adaptive execution splits where a directory is hot.
 
 Null and empty texts have no passages and can only inherit; a null path has no directory; repeated rows get equal
-verdicts; an empty table gives no rows.
+verdicts; very long texts are scanned whole; an empty table gives no rows; other columns than those asked to be kept go.
 """
 
 from __future__ import annotations

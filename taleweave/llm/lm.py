@@ -15,6 +15,7 @@
 A null doc_id counts as empty text; null text has the end token alone; rows are scored one by one. Without training
 documents the network is untrained and the base score is 0 per token. Documents that repeat are learned as often.
 Very long texts are learnt in segments and scored whole; columns other than doc_id and text are not looked at.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ gives its share of words and the words taken lie near the target.
 
 Cases: null text has size 0; the null source is a source of its own, last in order; a source whose documents are all
 empty has target 0 and takes nothing; repeated rows count one by one; an empty table gives no rows; extra columns are
-ignored. The offset depends on the seed and the source name alone, so reruns agree.
+ignored; very long texts count with their whole size. Rows of one size and doc_id are told apart by nothing, so which of
+them is taken more often is not fixed. The offset depends on the seed and the source name alone, so reruns agree.
 """
 
 from __future__ import annotations

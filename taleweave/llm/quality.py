@@ -19,7 +19,9 @@ its source, failing that of all documents: the first of them that has LEAST docu
 Distances are whitened through a Cholesky factor, written out for the five components.
 
 Null language and null source are groups of their own. Rows are judged one by one, so repeated rows get equal verdicts
-and a null doc_id is judged as any other. An empty table gives no rows.
+and a null doc_id is judged as any other. Very long texts are judged whole. An empty table gives no rows. judge() and
+accepted() keep clear of the names of other columns; statistics() replaces columns that begin with two underscores. The
+quantile of a group comes from a merged sketch, so a document at a bound may fall otherwise if partials merge in another order.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleweave.llm import alignment, codes, fingerprints, licences, lm, mixing, near_dup, piece_fst, quality, sharding, token_counts, token_files, topk
+from taleweave.scratch import fresh_path
 
 END_ID, WORD_VOCABULARY, LIMIT = 2, 49_408, 512
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -50,7 +51,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(_documents(spark, sf_dir).select("doc_id"), SHARDS)
+    """Whole documents written by shard, and where each is read back from."""
+    placed = sharding.write_shards(_documents(spark, sf_dir), fresh_path(spark, "shards"), SHARDS)
+    return placed.select("doc_id", "slot", "shard", "shard_name")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

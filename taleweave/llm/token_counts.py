@@ -10,6 +10,7 @@ encoded again. A text falls into words by the vocabulary's split; the counts ins
 
 Null and empty texts have no tokens and no prefixes. Repeated rows are counted one by one. Special strings in a text are
 special tokens, as is the library's default; nothing is added, cut or padded.
+Very long texts are counted whole; an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ so that any id range is found by one division and unpacked by numpy without touc
 
 A task writes under a name of its own attempt and renames at the end; a task that runs again writes the same bytes, and
 readers take only names without an attempt. Cases: null text encodes as empty text (the end id alone); null doc_id sorts
-first and reads back as null; repeated rows are written one by one; an empty table writes no file.
+first and reads back as null; repeated rows are written one by one, those of one doc_id and text in any order; very long
+texts are encoded whole and make their file as long as needed; an empty table writes no file; columns other than doc_id and
+text are not looked at.
 """
 
 from __future__ import annotations

@@ -49,10 +49,31 @@ def test_placement(spark):
     assert sharding.place(empty(spark), NAMES).count() == 0
 
 
-def test_written_shards(spark, data):
+def test_written_shards_hold_whole_rows(spark, data):
     docs, path = spark.read.parquet(f"{data}/documents.parquet"), fresh_path(spark, "shards")
-    sharding.write_shards(docs, path, NAMES)
-    back = spark.read.parquet(path)
-    assert back.count() == docs.count()
-    want = {r.doc_id: r.shard_name for r in sharding.place(docs, NAMES).collect()}
-    assert all(want[r.doc_id] == r.shard_name for r in back.select("doc_id", "shard_name").collect())
+    back = sharding.write_shards(docs.repartition(9), path, NAMES, files=2)
+    want = {r.doc_id: r for r in sharding.place(docs, NAMES).collect()}
+    assert {r.doc_id: tuple(r) for r in back.collect()} == {k: tuple(r) for k, r in want.items()}
+    for name in {r.shard_name for r in want.values()}:
+        folder = f"{path}/shard_name={name}"
+        files = spark.read.parquet(folder).select("_metadata.file_path").distinct().count()
+        assert 1 <= files <= 2
+
+
+def test_written_shards_cases(spark):
+    for df in (awkward(spark), clashing(awkward(spark))):
+        back = sharding.write_shards(df, fresh_path(spark, "shards"), NAMES)
+        key = lambda r: (repr(r.doc_id), repr(r.text))
+        assert sorted(map(key, back.collect())) == sorted(map(key, df.collect())) and set(df.columns) | {"slot", "shard", "shard_name"} == set(back.columns)
+    assert sharding.write_shards(empty(spark), fresh_path(spark, "shards"), NAMES).count() == 0
+
+
+def test_one_key_on_all_rows_spreads_over_files(spark):
+    rows, joined = spark.range(4_000).selectExpr("7L AS doc_id", "id AS n").repartition(4), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined, "false")  # small parts would be put together
+    try:
+        back = sharding.write_shards(rows, fresh_path(spark, "shards"), NAMES, files=16)
+    finally:
+        spark.conf.unset(joined)
+    sizes = [r["count"] for r in back.select("_metadata.file_path").groupBy("file_path").count().collect()]
+    assert sum(sizes) == 4_000 and len(sizes) > 1 and max(sizes) < 2_600
