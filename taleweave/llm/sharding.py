@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: A prime; at 64 shards each holds over a thousand slots, so shares differ by less than 0.1 %.
 SLOTS = 65_537
-#: Files of a shard at most.
-FILES = 8
+#: Rows of a file of a shard, about.
+ROWS_A_FILE = 20_000
 
 
 def _number(text: str) -> int:
@@ -65,11 +65,13 @@ def place(rows: DataFrame, shards: list[str], key: str = "doc_id", slots: int =
     return rows.select(*kept).withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot").select(*kept, "slot", "shard", "shard_name")
 
 
-def write_shards(rows: DataFrame, path: str, shards: list[str], key: str = "doc_id", files: int = FILES) -> DataFrame:
+def write_shards(rows: DataFrame, path: str, shards: list[str], key: str = "doc_id", rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """Writes whole rows, with slot and shard, to one folder per shard, and returns them as they are read from there. Rows are
-    dealt by shard and one of `files` parts, so a shard has no more files than that and no task holds a shard; the part
-    follows the row's place in the input, so that rows which repeat a key spread as well."""
+    dealt by shard and part; there are as many parts as make files of about rows_a_file rows, so files stay of one size as
+    the table grows and no task holds a shard. The part follows the row's place in the input, so that rows which repeat a
+    key spread as well."""
     placed = place(rows, shards, key)
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    parts = max(1, -(-rows.count() // (len(shards) * rows_a_file)))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
     placed.withColumn("__part", part).repartition("shard", "__part").drop("__part").write.partitionBy("shard_name").parquet(path)
     return rows.sparkSession.read.schema(placed.schema).parquet(path)
