@@ -202,3 +202,13 @@ def test_liveness_query_against_a_walk(spark, data):
     got = {(r.worker, r.state, int(r["at"].timestamp() * 1000)) for r in plans.liveness_stream(spark, data).collect()}
     shift = {a[2] - b[2] for a in got for b in want if a[:2] == b[:2] == next(iter(want))[:2]} if got != want else set()
     assert got == want, (len(got), len(want), sorted(shift)[:3])
+
+
+def test_a_write_meets_sums_and_not_rows(spark):
+    """Twenty writes over all chapters and two hundred held rows: one row a write, whatever is in its way."""
+    writes = spark.range(20).selectExpr("0L as queue", "id as at", "array('digest', 'merge') as stages", "cast(if(id < 19, null, array(3L, 4L)) as array<long>) as chapters")
+    rows = spark.range(200).selectExpr("0L as queue", "'digest' as stage", "id % 50 as chapter", "concat('r', lpad(string(id), 3, '0')) as row", "id = 7 as races")
+    got = {r["at"]: r for r in qu._reach(writes, rows).collect()}
+    assert len(got) == 20 == qu._reach(writes, rows).count()
+    assert (got[0].racing, got[0].in_way, got[0].shown) == (True, 200, ["r000", "r001", "r002", "r003"])
+    assert (got[19].racing, got[19].in_way, got[19].shown) == (False, 8, ["r003", "r004", "r053", "r054"])
