@@ -159,6 +159,14 @@ def missing_runs(expected: DataFrame, present: DataFrame) -> DataFrame:
     return gone.withColumn("run", run).groupBy("chapter", "run").agg(F.min("pos").alias("from"), F.count(F.lit(1)).alias("count")).drop("run")
 
 
+def gaps(present: DataFrame) -> DataFrame:
+    """chapter, from, count of each run of pos from 0 up to the chapter's last that is not present: what lies between each
+    pos and the one before it. Nothing is made for the places themselves, however far apart they are."""
+    before = F.coalesce(F.lag("pos").over(line_order()), F.lit(-1))
+    apart = present.select("chapter", "pos").distinct().withColumn("from", before + 1)
+    return apart.where(F.col("pos") > F.col("from")).select("chapter", "from", (F.col("pos") - F.col("from")).alias("count"))
+
+
 def carry_forward(lines: DataFrame, fields: list[str]) -> DataFrame:
     """The last value that is not blank."""
     filled = lambda c: F.last(F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))), ignorenulls=True).over(lines_so_far())

@@ -321,8 +321,7 @@ def ordered_union(spark, sf_dir):
     SELECT pool, min(pos) AS "from", count(*) AS count FROM r GROUP BY pool, run""")
 def pool_leases(spark, sf_dir):
     """The runs of each pool up to its last chunk that is home that are missing."""
-    from taleweave.operators.timeline import missing_runs
+    from taleweave.operators.timeline import gaps
 
-    there = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chapter"), F.floor(F.col("l_partkey") / 3).alias("pos")).distinct()
-    size = there.groupBy("chapter").agg(F.max("pos").alias("most"))
-    return missing_runs(size.select("chapter", F.explode(F.sequence(F.lit(0), "most")).alias("pos")), there).select(F.col("chapter").alias("pool"), "from", "count")
+    there = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chapter"), F.floor(F.col("l_partkey") / 3).alias("pos"))
+    return gaps(there).select(F.col("chapter").alias("pool"), "from", "count")

@@ -283,3 +283,11 @@ def test_scrub_is_idempotent_and_folds_bring_nothing_back(spark):
     cast = _bible(spark, ("Thanh Sơn lão tổ", ["Thanh Sơn lão tổ", "Sư phụ", "sư tôn"]), ("Thanh Sơn", ["lão đầu", "Lục Thanh Sơn"]))
     folded = resolve.merge(cast, spark.createDataFrame([("Thanh Sơn lão tổ", "Thanh Sơn")], "survivor string, absorbed string")).first()
     assert folded.aliases == ["Thanh Sơn lão tổ", "Thanh Sơn", "Lục Thanh Sơn"]
+
+
+def test_gaps_of_places_far_apart(spark):
+    """Three places up to four thousand million: as many rows as there are gaps."""
+    from taleweave.operators.timeline import gaps
+
+    there = spark.createDataFrame([(1, 0), (1, 4_000_000_000), (1, 2), (1, 2), (2, 3), (3, 0)], "chapter long, pos long")
+    assert sorted(tuple(r) for r in gaps(there).collect()) == [(1, 1, 1), (1, 3, 3_999_999_997), (2, 0, 3)]
