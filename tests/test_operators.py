@@ -291,3 +291,27 @@ def test_gaps_of_places_far_apart(spark):
 
     there = spark.createDataFrame([(1, 0), (1, 4_000_000_000), (1, 2), (1, 2), (2, 3), (3, 0)], "chapter long, pos long")
     assert sorted(tuple(r) for r in gaps(there).collect()) == [(1, 1, 1), (1, 3, 3_999_999_997), (2, 0, 3)]
+
+
+def test_pool_joins_compare_sets_and_not_members(spark):
+    """Sixty queries and ninety entries with few distinct sets: tags that nobody asks for make no new set, and what the sets
+    give is what the pairs give."""
+    from taleweave.operators import match
+
+    tags = lambda k: ["red", f"own{k}", "blue" if k % 3 == 0 else "small"]
+    asked = [(q, ["red", "large"] if q % 2 else ["small", "small", "blue"]) for q in range(60)]
+    pool = [(i, tags(i)) for i in range(90)]
+    a, p = spark.createDataFrame(asked, "q long, tags array<string>"), spark.createDataFrame(pool, "id long, tags array<string>")
+    bar = [("small", "large"), ("red", "blue"), ("red", "green")]
+    clash = lambda x, y: any((s in x and t in y) or (t in x and s in y) for s, t in bar)
+    ok = [(q, i) for q, x in asked for i, y in pool if set(x) & set(y) and not clash(x, y)]
+    assert match._set_pairs(*match._by_sets(a, p)).count() == 4
+    assert sorted(tuple(r) for r in match.compatible(a, p, bar).collect()) == sorted(ok)
+    assert sorted(tuple(r) for r in match.candidates(a, p, bar).collect()) == sorted({(q, sum(q == r for r, _ in ok), min(i for r, i in ok if r == q)) for q, _ in ok})
+    assert {r["id"]: r["uses"] for r in match.reachable(a, p).collect()} == {i: [q for q, x in asked if set(x) & set(y)] for i, y in pool if any(set(x) & set(y) for _, x in asked)}
+    _, best = match.best_by_set(a, p, match.F.floor(match.F.col("id") / 7))
+    most = {q: max(len(set(x) & set(y)) for _, y in pool) for q, x in asked}
+    want = [(q, i, most[q]) for q, x in asked for i, y in pool if len(set(x) & set(y)) == most[q]]
+    got = match.best_overlap(a, p, match.F.floor(match.F.col("id") / 7)).collect()
+    assert best.count() < len(got) and sorted((r.q, r.id, r.n) for r in got) == sorted(want)
+    assert all(r.place == 1 + sum(q == r.q and i < r.id for q, i, _ in want) for r in got)
