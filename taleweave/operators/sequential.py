@@ -6,6 +6,7 @@ hold the lines of one chapter, whose number does not follow the data. Only what
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from taleweave.functions.text import ends_sentence, sentence_ends
 
@@ -87,11 +89,23 @@ def inject_events(directives: DataFrame) -> DataFrame:
     return out.where("to > from")
 
 
+@F.pandas_udf(DoubleType())
+def _log(x: pd.Series) -> pd.Series:
+    """The C library's logarithm, which databases use too; the JVM's own differs in the last bit. 0 gives -inf."""
+    return pd.Series([None if pd.isna(v) or v < 0 else math.log(v) if v else -math.inf for v in x], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _exp(x: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else math.exp(v) for v in x], dtype="float64")
+
+
 def release_hold(levels: DataFrame, decay: float) -> DataFrame:
-    """Peak follower h = max(x, decay * h before) over levels (chapter, pos, x > 0), as a running maximum in logarithms."""
-    rate = F.log(F.lit(decay))
+    """Peak follower h = max(x, decay * h before) over levels (chapter, pos, x >= 0), as a running maximum in logarithms."""
+    fall = F.col("pos") * F.lit(math.log(decay))
     so_far = W.partitionBy("chapter").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return levels.withColumn("hold", F.exp(F.max(F.log("x") - F.col("pos") * rate).over(so_far) + F.col("pos") * rate))
+    peak = levels.withColumn("__log", _log(F.col("x").cast("double"))).withColumn("__peak", F.max(F.col("__log") - fall).over(so_far) + fall)
+    return peak.withColumn("hold", _exp(F.col("__peak"))).drop("__log", "__peak")
 
 
 def decimate(series: DataFrame, tolerance: float) -> DataFrame:

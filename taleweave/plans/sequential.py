@@ -59,7 +59,7 @@ def release_hold(spark, sf_dir):
 
     pos = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chapter"), pos.alias("pos"), F.col("value").alias("x"), "event_id")
-    return op.release_hold(e, 0.9).select(F.col("chapter").alias("user_id"), "event_id", F.round("hold", 6).alias("hold"))
+    return op.release_hold(e, 0.9).select(F.col("chapter").alias("user_id"), "event_id", (F.round(F.col("hold") * 1e6) / 1e6).alias("hold"))
 
 
 @query("w29_keyframes")

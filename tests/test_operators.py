@@ -315,3 +315,15 @@ def test_pool_joins_compare_sets_and_not_members(spark):
     got = match.best_overlap(a, p, match.F.floor(match.F.col("id") / 7)).collect()
     assert best.count() < len(got) and sorted((r.q, r.id, r.n) for r in got) == sorted(want)
     assert all(r.place == 1 + sum(q == r.q and i < r.id for q, i, _ in want) for r in got)
+
+
+def test_release_hold_in_the_arithmetic_of_the_c_library(spark):
+    """Bit for bit, and silence holds nothing instead of being unknown."""
+    import math
+
+    x = [0.0, 110.61, 3.3, 0.0, 162.37, 99.99, 171.91]
+    got = sequential.release_hold(spark.createDataFrame([(1, k + 1, v) for k, v in enumerate(x)], "chapter long, pos long, x double"), 0.9).orderBy("pos").collect()
+    fall = [(k + 1) * math.log(0.9) for k in range(len(x))]
+    logs = [(math.log(v) if v else -math.inf) - f for v, f in zip(x, fall, strict=True)]
+    assert [r.hold for r in got] == [math.exp(max(logs[: k + 1]) + fall[k]) for k in range(len(x))]
+    assert got[0].hold == 0.0
