@@ -129,7 +129,8 @@ def summary(rows: list[str]) -> str:
 
 
 class Ordered(StatefulProcessor):
-    """Hands the rows of a key to step() in order, once the watermark has passed them."""
+    """Hands the rows of a key to step() in order, once the watermark has passed them. A key has one timer, at its earliest
+    waiting row: when it runs out, all rows that are due are taken at once."""
 
     out: list[str]
 
@@ -137,25 +138,35 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", StructType([StructField("ms", LongType()), StructField("row", StringType())]))
         self.state = handle.getValueState("state", StructType([StructField("kept", StringType())]))
+        self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = [(int(r["ms"]), json.dumps(r, default=int)) for batch in rows for r in batch.drop(columns="ts").to_dict("records")]
-        for x in new:
-            self.waiting.appendValue(x)
-        for ms in {ms for ms, _ in new}:
-            self.handle.registerTimer(ms)
+        if new:
+            self.waiting.appendList(new)
+            first, set_for = min(ms for ms, _ in new), self.timer.get()[0] if self.timer.exists() else None
+            if set_for is None or first < set_for:
+                if set_for is not None:
+                    self.handle.deleteTimer(set_for)
+                self._wait_for(first)
         yield from ()
 
+    def _wait_for(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs()
-        every = list(self.waiting.get())
-        due = sorted((json.loads(x[1]) for x in every if x[0] <= until), key=lambda r: (r["ms"], r["seq"]))
+        every = [(x[0], x[1]) for x in self.waiting.get()]
+        due = sorted((json.loads(row) for ms, row in every if ms <= until), key=lambda r: (r["ms"], r["seq"]))
+        left = [(ms, row) for ms, row in every if ms > until]
+        self.waiting.clear()
+        self.timer.clear()
+        if left:
+            self.waiting.put(left)
+            self._wait_for(min(ms for ms, _ in left))
         if not due:
             return
-        left = [(x[0], x[1]) for x in every if x[0] > until]
-        self.waiting.clear()
-        for x in left:
-            self.waiting.appendValue(x)
         kept = json.loads(self.state.get()[0]) if self.state.exists() else None
         out, kept = self.step(due, kept)
         self.state.update((json.dumps(kept),))

@@ -212,3 +212,46 @@ def test_a_write_meets_sums_and_not_rows(spark):
     assert len(got) == 20 == qu._reach(writes, rows).count()
     assert (got[0].racing, got[0].in_way, got[0].shown) == (True, 200, ["r000", "r001", "r002", "r003"])
     assert (got[19].racing, got[19].in_way, got[19].shown) == (False, 8, ["r003", "r004", "r053", "r054"])
+
+
+def test_a_key_has_one_timer(monkeypatch):
+    """A hundred waiting rows of a key set one timer, at the first of them; what is left after it sets the next."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.x = None
+
+        exists = lambda self: self.x is not None
+        get = lambda self: self.x
+        update = lambda self, x: setattr(self, "x", x)
+        clear = lambda self: setattr(self, "x", None)
+
+    class Many:
+        def __init__(self):
+            self.x = []
+
+        get = lambda self: iter(self.x)
+        appendValue = lambda self, x: self.x.append(x)  # noqa: E731, N815
+        appendList = lambda self, x: self.x.extend(x)  # noqa: E731, N815
+        put = lambda self, x: setattr(self, "x", list(x))
+        clear = lambda self: setattr(self, "x", [])
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getListState = lambda self, *a: Many()  # noqa: E731, N815
+        getValueState = lambda self, *a: Value()  # noqa: E731, N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+        deleteTimer = lambda self, ms: self.timers.remove(ms)  # noqa: E731, N815
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 1049  # noqa: E731, N815
+
+    log, handle = pools.PoolLog(200, 1000), Handle()
+    log.init(handle)
+    rows = pd.DataFrame({"seq": range(100), "ts": 0, "kind": "ask", "n": 1, "ms": [1000 + (k * 37) % 100 for k in range(100)]})
+    assert list(log.handleInputRows((1,), iter([rows[:50], rows[50:]]), None)) == [] and handle.timers == [1000]
+    out = list(log.handleExpiredTimer((1,), Now(), None))
+    assert len(out) == 1 and len(out[0]) == 50 and handle.timers == [1000, 1050] and len(list(log.waiting.get())) == 50
