@@ -178,3 +178,12 @@ def test_quoted_sentences(spark, data):
             if paired:
                 assert text.count('"', 0, at) % 2 == 0
         assert not re.search(r"[^\W_]", text[at:])
+
+
+def test_racing_broadcasts_no_asks(spark, data):
+    """Each supplier asks 150 times, which the planner does not count in: the asks meet the rows by a merge."""
+    from taleweave import registry
+
+    plan = registry.queries()["t05_racing"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [stage#" in line and ", k#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
