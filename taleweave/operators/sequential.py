@@ -11,12 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from taleweave.functions.text import ends_sentence, sentence_ends
+from taleweave.operators.slices import slices
 
 CELL = 1024  # width of a range of positions that is numbered by itself
 OVERHEAD = 64  # characters that a line costs besides its text
@@ -149,19 +151,22 @@ def packed(parts: Column, most: int) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.when(a["b"] == "", a["out"]).otherwise(F.array_append(a["out"], a["b"])))
 
 
+_EVENT = pa.schema([("chapter", pa.int64()), ("pos", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("open", pa.bool_())])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1):
+        rows = []
+        for chapter, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = (e for e in _events(text or "") if e[1].strip())
+            rows += [(chapter, k, kind, part.strip(), a, b, o) for k, (kind, part, a, b, o) in enumerate(found)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_EVENT)], schema=_EVENT)
+
+
 def quote_events(chapters: DataFrame) -> DataFrame:
     """Narration and dialogue of chapters (chapter, text): chapter, pos, kind, text, from, to (characters), open (the quote
     was never closed). Line ends part narration; a quoted term inside a sentence stays narration."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for chapter, text in zip(pdf.chapter, pdf.text, strict=True):
-                found = (e for e in _events(text or "") if e[1].strip())
-                rows += [(chapter, k, kind, part.strip(), a, b, o) for k, (kind, part, a, b, o) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["chapter", "pos", "kind", "text", "from", "to", "open"])
-
-    return chapters.select("chapter", "text").mapInPandas(split, "chapter long, pos long, kind string, text string, `from` long, `to` long, open boolean")
+    return chapters.select("chapter", "text").mapInArrow(_split, "chapter long, pos long, kind string, text string, `from` long, `to` long, open boolean")
 
 
 _MARK, _CLOSE = re.compile('[\n"“「]'), re.compile('["”」]')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from taleweave.functions.markup import SPACE, trim
 from taleweave.operators import cues
+from taleweave.operators.slices import ROWS
 
 
 def quoted_sentences(text: Column) -> Column:
@@ -63,10 +65,12 @@ def _balance(words: list[str], width: int) -> list[str]:
 
 
 @F.pandas_udf(StringType())
-def repaired_json(text: pd.Series) -> pd.Series:
+def repaired_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The document as compact JSON after small repairs (fences, raw controls, trailing commas, stray quotes, one level of
-    escaping too much); null if that is not enough."""
-    return pd.Series([_repair(t) for t in text])
+    escaping too much); null if that is not enough. A batch is answered in slices."""
+    for text in texts:
+        for at in range(0, len(text), ROWS):
+            yield pd.Series([_repair(t) for t in text.iloc[at : at + ROWS]], dtype=object)
 
 
 def _repair(text: str | None) -> str | None:
