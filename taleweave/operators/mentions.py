@@ -1,14 +1,16 @@
 """Surface forms of names in chapter texts, and what a chapter's attribution says about them.
 
-A cast grows with the data, so no list of names goes to every task. Each form is keyed by the word of it that the fewest
-chapters hold, and chapters meet the forms keyed by their own distinct words. Each chapter is then read once by an automaton
-over its own candidates.
+A cast grows with the data, so no list of names goes to every task. A form of one word is keyed by it, a longer one by the
+pair of neighbouring words in it that the fewest chapters hold, and chapters meet the forms keyed by their own distinct words
+and pairs. Words are few and forms many, so by single words each chapter would meet more forms as the cast grows. Each
+chapter is then read once by an automaton over its own candidates.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.text import descriptive, stopped
 from taleweave.operators.resolve import resolve
+from taleweave.operators.slices import slices
 from taleweave.scratch import written
 
 WORD = r"([\p{L}\p{N}]+)"
@@ -25,8 +28,13 @@ ANONYMOUS, NARRATOR = "Anonymous", "Narrator"
 
 
 def words(text: Column) -> Column:
-    """Distinct runs of letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD)))
+    """Runs of letters and digits in order."""
+    return F.regexp_extract_all(text, F.lit(WORD))
+
+
+def neighbours(words: Column) -> Column:
+    """Pairs of words that follow one another."""
+    return F.array_compact(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def anonymous(name: Column) -> Column:
@@ -45,19 +53,21 @@ def scan(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
         for t in TOKEN.findall(f):
             state = state.setdefault(t, {})
         state[None] = f
-    tokens, out, at, k = TOKEN.findall(text), [], 0, 0
-    while k < len(tokens):
-        state, j, end, best = start.get(tokens[k]), k, k, None
+    tokens, out, free = TOKEN.findall(text), [], 0
+    begun = [k for k, t in enumerate(tokens) if t in start]
+    places = [0, *accumulate(map(len, tokens))] if begun else []
+    for k in begun:
+        if k < free:
+            continue
+        state, j, end, best = start[tokens[k]], k, k, None
         while state is not None:
             j += 1
             if None in state:
                 end, best = j, state[None]
             state = state.get(tokens[j]) if j < len(tokens) else None
-        if best is None:
-            at, k = at + len(tokens[k]), k + 1
-        else:
-            out.append((at, at + len(best), best))
-            at, k = at + len(best), end
+        if best is not None:
+            out.append((places[k], places[k] + len(best), best))
+            free = end
     return out
 
 
@@ -79,36 +89,43 @@ def _by_characters(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1):
+        at, names, times, first = [], [], [], []
+        for k, (text, forms) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            seen: dict[str, list[int]] = {}
+            for start, _, form in scan(text, forms):
+                seen.setdefault(form, []).append(start)
+            for form, starts in seen.items():
+                at.append(k)
+                names.append(form)
+                times.append(len(starts))
+                first.append(starts[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], names=["chapter", "form", "times", "first"])
+
+
+def candidates(chapters: DataFrame, forms: DataFrame) -> DataFrame:
+    """chapter, text and the forms that it may hold: those of whose keys it holds the rarest."""
+    each = forms.select("form").distinct().withColumn("words", words(F.col("form")))
+    key = F.array_distinct(F.when(F.size("words") > 1, neighbours(F.col("words"))).otherwise(F.col("words")))
+    each = written(each.select("form", key.alias("keys")).where(F.size("keys") > 0), "forms")
+    asked = each.select(F.explode("keys").alias("key")).distinct()
+    every = chapters.select("chapter", words(F.col("text")).alias("words"))
+    every = every.select("chapter", F.explode(F.array_union("words", neighbours(F.col("words")))).alias("key"))
+    held = written(every.join(asked, "key", "left_semi"), "keys-held")
+    spread = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    known = each.select("form", F.size("keys").alias("keys"), F.explode("keys").alias("key")).join(spread, "key")
+    keyed = known.groupBy("form").agg(F.count(F.lit(1)).alias("known"), F.min_by("key", F.struct("n", "key")).alias("key"), F.first("keys").alias("keys"))
+    keyed = keyed.where("known = keys").select("key", "form")  # all that it is made of occurs somewhere
+    met = held.join(keyed, "key").groupBy("chapter").agg(F.collect_list("form").alias("forms"))
+    return chapters.select("chapter", "text").join(met, "chapter").select("chapter", "text", "forms")
+
+
 def found(chapters: DataFrame, forms: DataFrame) -> DataFrame:
     """chapter, form, times and first (characters before it) of the forms in each chapter's text, as scan() has them.
     chapters: chapter (unique), text; forms: form. Forms without a letter or digit are not looked for."""
-    each = written(forms.select("form").distinct().withColumn("words", words(F.col("form"))).where(F.size("words") > 0), "forms")
-    asked = each.select(F.explode("words").alias("word")).distinct()
-    every = chapters.select("chapter", F.explode(F.regexp_extract_all("text", F.lit(WORD))).alias("word"))
-    held = written(every.join(asked, "word", "left_semi").distinct(), "words-held")
-    spread = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = each.select("form", "words", F.explode("words").alias("word")).join(spread, "word")
-    keyed = known.groupBy("form").agg(F.count(F.lit(1)).alias("known"), F.min_by("word", F.struct("n", "word")).alias("word"), F.first(F.size("words")).alias("words"))
-    keyed = keyed.where("known = words").select("word", "form")  # all of its words occur somewhere
-    met = held.join(keyed, "word").groupBy("chapter").agg(F.collect_list("form").alias("forms"))
-    full = chapters.select("chapter", "text").join(met, "chapter").select("chapter", "text", "forms")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, names, times, first = [], [], [], []
-            for k, (text, forms) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                seen: dict[str, list[int]] = {}
-                for start, _, form in scan(text, forms):
-                    seen.setdefault(form, []).append(start)
-                for form, starts in seen.items():
-                    at.append(k)
-                    names.append(form)
-                    times.append(len(starts))
-                    first.append(starts[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], names=["chapter", "form", "times", "first"])
-
     kind = chapters.schema["chapter"].dataType.simpleString()
-    return full.mapInArrow(read, f"chapter {kind}, form string, times long, first long")
+    return candidates(chapters, forms).mapInArrow(_read, f"chapter {kind}, form string, times long, first long")
 
 
 def owned(claims: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """What only larger tables bring: odd rows, full batches, frequent words and long logs, made small."""
 
 import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from taleweave import registry
+from taleweave.operators import mentions, pages, sequential, slices, speech
 
 
 def against_sql(spark, folder, name):
@@ -28,3 +31,36 @@ def test_a_number_alone_with_a_cue_is_not_judged(spark, tmp_path):
     vectors = spark.range(1, 6).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (k % 16 / 16).cast("float")).alias("embedding"))
     save(vectors, tmp_path, "embeddings")
     assert against_sql(spark, tmp_path, "v19_babble_verdict") == (set(), set())
+
+
+def test_slices_hold_every_row_once_in_order():
+    texts = ["x" * n for n in (5, 0, slices.BYTES + 1, 7)] + [None] * 600 + ["y" * (slices.BYTES // 3)] * 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t, pa.string())], names=["id", "text"]) for t in (texts, [], texts[:1])]
+    got = list(slices.slices(iter(batches), 1))
+    assert [r for b in got for r in b.column(1).to_pylist()] == texts + texts[:1]
+    assert all(b.num_rows <= slices.ROWS and (b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= slices.BYTES) for b in got)
+
+
+@pytest.mark.parametrize(("task", "rest"), [(pages._parse, []), (sequential._split, []), (mentions._read, [pa.array([["words"]] * 2_000)])])
+def test_a_task_hands_out_its_rows_before_it_has_read_a_batch(task, rest):
+    texts = ["<p>Some words.</p> \"One\"\n" * 40] * 2_000
+    columns = [pa.array(range(2_000), pa.int64()), pa.array(texts), *rest]
+    given = list(task(iter([pa.RecordBatch.from_arrays(columns, names=["page_id", "text", "forms"][: len(columns)])])))
+    assert len(given) >= 8 and sum(b.nbytes for b in given) > 4 * max(b.nbytes for b in given)
+    assert pa.Table.from_batches(given).column(0).unique().to_pylist() == list(range(2_000))
+
+
+def test_json_is_repaired_in_slices():
+    import pandas as pd
+
+    given = list(speech.repaired_json.func(iter([pd.Series(["{} "] * 1_000)])))
+    assert [len(s) for s in given] == [256, 256, 256, 232] and {x for s in given for x in s} == {"{}"}
+
+
+def test_chapters_meet_forms_by_pairs_of_words(spark):
+    """Each chapter holds all words of all forms, but the pairs of its own forms only."""
+    words = [f"w{k}" for k in range(12)]
+    forms = [f"{a} {b}" for a in words for b in words]
+    rows = [(k, " ".join(words[k:] + words[:k])) for k in range(12)]
+    met = mentions.candidates(spark.createDataFrame(rows, "chapter long, text string"), spark.createDataFrame([(f,) for f in forms], "form string"))
+    assert {r.chapter: len(r.forms) for r in met.collect()} == {k: 11 for k, _ in rows}
