@@ -5,7 +5,7 @@ columns. Combinators are windows and one equality join over the numbers of the e
 
     a b    the greatest `last` of the a's before b in its page reaches b
     a > b  b's parent is an a
-    a + b  the element before b under its parent is an a
+    a + b  the element before b under its parent, which nth tells, is an a
     a ~ b  some element before b under its parent is an a
 
 A page's elements come from one row, which bounds a window. Understood: tag, *, #id, .class, [a], [a=v] and the operators
@@ -164,7 +164,7 @@ def _follow(found: DataFrame, joined: str, condition: Column) -> DataFrame:
         reach = F.max(F.when(F.col("hit"), F.col("last"))).over(page.rowsBetween(W.unboundedPreceding, -1))
         near = reach >= F.col("pos")
     elif joined == "+":
-        near = F.lag("hit").over(siblings)
+        near = F.lag(F.when(F.col("hit"), F.col("nth"))).over(siblings) == F.col("nth") - 1
     elif joined == "~":
         near = F.max("hit").over(siblings.rowsBetween(W.unboundedPreceding, -1))
     else:
@@ -175,13 +175,15 @@ def _follow(found: DataFrame, joined: str, condition: Column) -> DataFrame:
 
 def matched(found: DataFrame, selector: str) -> DataFrame:
     """The rows of found (as pages.elements() gives them) that the selector selects, each once. Columns named hit or under
-    are not kept."""
+    are not kept. Only elements that meet one of a chain's conditions are shuffled, with what they meet instead of what it
+    is read from."""
     columns = [c for c in found.columns if c not in ("hit", "under")]
     hits = []
-    for (_, first), *rest in compiled(selector):
-        marked = found.select(*columns, first.alias("hit"))
-        for joined, condition in rest:
-            marked = _follow(marked, joined, condition)
+    for chain in compiled(selector):
+        meets = [c.alias(f"__meets{k}") for k, (_, c) in enumerate(chain)]
+        marked = found.where(reduce(lambda a, b: a | b, [c for _, c in chain])).select(*columns, *meets).withColumn("hit", F.col("__meets0"))
+        for k, (joined, _) in enumerate(chain[1:], 1):
+            marked = _follow(marked, joined, F.col(f"__meets{k}"))
         hits.append(marked.where("hit").select(*columns))
     return hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, hits).dropDuplicates(["page_id", "pos"])
 

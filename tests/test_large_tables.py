@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleweave import registry
-from taleweave.operators import mentions, pages, sequential, slices, speech
+from taleweave.operators import mentions, pages, selectors, sequential, slices, speech
 
 
 def against_sql(spark, folder, name):
@@ -64,3 +64,14 @@ def test_chapters_meet_forms_by_pairs_of_words(spark):
     rows = [(k, " ".join(words[k:] + words[:k])) for k in range(12)]
     met = mentions.candidates(spark.createDataFrame(rows, "chapter long, text string"), spark.createDataFrame([(f,) for f in forms], "form string"))
     assert {r.chapter: len(r.forms) for r in met.collect()} == {k: 11 for k, _ in rows}
+
+
+def test_a_chain_shuffles_only_what_meets_its_conditions(spark):
+    """Elements that meet no condition of a chain go into no window; a sibling that stands further off is not the one before."""
+    html = "<ul><li class='a'>1</li>" + "<li><b>x</b></li>" * 50 + "<li class='c'>2</li><li class='a'>3</li><li class='c'>4</li></ul>"
+    found = pages.elements(pages.parsed(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    near = selectors.matched(found, "li.a + li.c")
+    assert [r.pos for r in near.collect()] == [104]
+    assert [r.pos for r in selectors.matched(found, "li.a ~ li.c").orderBy("pos").collect()] == [102, 104]
+    below = near._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert any("Filter" in line and "= li" in line for line in below.splitlines())
