@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taleweave import registry
 from taleweave.operators import mentions, pages, selectors, sequential, slices, speech
+from taleweave.streaming import live
 
 
 def against_sql(spark, folder, name):
@@ -75,3 +76,21 @@ def test_a_chain_shuffles_only_what_meets_its_conditions(spark):
     assert [r.pos for r in selectors.matched(found, "li.a ~ li.c").orderBy("pos").collect()] == [102, 104]
     below = near._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
     assert any("Filter" in line and "= li" in line for line in below.splitlines())
+
+
+def test_edits_scan_each_text_once(spark, data):
+    plan = registry.queries()["s37_json_edits"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_worker_hands_out_its_changes_at_once():
+    import pandas as pd
+
+    class Kept:
+        get = lambda self: None
+        update = lambda self, value: None
+
+    worker = live.Liveness(1_000)
+    worker.last, worker.handle = Kept(), type("Handle", (), {"registerTimer": lambda self, ms: None})()
+    (given,) = worker.handleInputRows((7,), iter([pd.DataFrame({"ms": [5_000, 0]}), pd.DataFrame({"ms": [500]})]), None)
+    assert [tuple(r) for r in given.itertuples(index=False)] == [(7, "online", 0), (7, "offline", 1_500), (7, "online", 5_000)]
