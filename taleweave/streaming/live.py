@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -53,15 +53,16 @@ class Liveness(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        beats = sorted(int(pd.Timestamp(t).timestamp() * 1000) for batch in rows for t in batch["ts"])
-        before = last = self.last.get()[0] if self.last.exists() else None
+        beats = sorted(ms for batch in rows for ms in batch["ms"].tolist())
+        kept = self.last.get()
+        before = last = kept[0] if kept else None
         out = []
         for ms in beats:
             if last is not None and ms > last + self.silence:  # rows come before the timers of their batch
-                out.append(self._row(key, "offline", last + self.silence))
+                out.append((key[0], "offline", last + self.silence))
                 last = None
             if last is None:
-                out.append(self._row(key, "online", ms))
+                out.append((key[0], "online", ms))
             last = ms if last is None else max(last, ms)
         if last != before:
             if before is not None:
@@ -69,28 +70,29 @@ class Liveness(StatefulProcessor):
             self.last.update((last,))
             self.handle.registerTimer(last + self.silence)
         if out:
-            yield pd.concat(out)
+            yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
         self.last.clear()
-        yield self._row(key, "offline", at)
+        yield self._rows([(key[0], "offline", at)])
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _row(key, state: str, ms: int) -> pd.DataFrame:
-        return pd.DataFrame({"worker": [key[0]], "state": [state], "at": [pd.Timestamp(ms, unit="ms")]})
+    def _rows(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["worker", "state", "ms"])
 
 
-TRANSITIONS = StructType([StructField("worker", LongType()), StructField("state", StringType()), StructField("at", TimestampType())])
+TRANSITIONS = StructType([StructField("worker", LongType()), StructField("state", StringType()), StructField("ms", LongType())])
 
 
 def liveness(beats: DataFrame, silence_seconds: int = 90, late: str = "1 minute") -> DataFrame:
     """worker, state, at: when each worker (user_id) comes online and falls silent. Needs the RocksDB state store."""
-    own = beats.withWatermark("ts", late).select(F.col("user_id").alias("worker"), "ts")
-    return own.groupBy("worker").transformWithStateInPandas(Liveness(silence_seconds * 1000), TRANSITIONS, "append", "EventTime")
+    own = beats.withWatermark("ts", late).select(F.col("user_id").alias("worker"), "ts", F.unix_millis("ts").alias("ms"))
+    told = own.groupBy("worker").transformWithStateInPandas(Liveness(silence_seconds * 1000), TRANSITIONS, "append", "EventTime")
+    return told.select("worker", "state", F.timestamp_millis("ms").alias("at"))
 
 
 class Leases(StatefulProcessor):
