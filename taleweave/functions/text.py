@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from taleweave.functions.markup import SPACE, squeeze, trim
+from taleweave.functions.markup import SPACE, trim
 
 # Marker words of thoughts, honorific suffixes, heads of descriptions, forms that are no one's alias, speech
 # verbs, letter folds.
@@ -89,17 +89,21 @@ def thought(sentence: Column) -> Column:
 
 
 def canon_key(name: Column) -> Column:
-    """Squeezed, without a trailing bracket, lower-cased, without honorifics at the end unless nothing else is left."""
-    s = squeeze(name)
-    s = F.when(s.endswith(")") & (F.instr(s, "(") > 0), F.regexp_replace(s, r"\([^(]*\)\z", "")).otherwise(s)
-    low = F.trim(F.lower(F.trim(s)))
+    """Squeezed, without a trailing bracket, lower-cased, without honorifics at the end unless nothing else is left. The
+    patterns run only where white space or the last letters call for them, since most names need neither."""
+    odd = F.contains(name, F.lit("  "))
+    for c in "\t\n\r\f\x0B":
+        odd = odd | F.contains(name, F.lit(c))
+    s = F.trim(F.when(odd, F.regexp_replace(name, rf"{SPACE}+", " ")).otherwise(name))
+    low = F.trim(F.lower(F.trim(F.regexp_replace(s, r"\([^(]*\)\z", ""))))
     titles = "|".join(TITLE_SUFFIXES)
-    return F.trim(F.regexp_replace(low, rf"^(.*?[^ ]) *(?:(?:{titles}) *)+\z", "$1"))
+    bare = F.trim(F.regexp_replace(low, rf"^(.*?[^ ]) *(?:(?:{titles}) *)+\z", "$1"))
+    return F.when(F.substring(low, -4, 4).isin(*dict.fromkeys(t[-4:] for t in TITLE_SUFFIXES)), bare).otherwise(low)
 
 
 def stopped(form: Column) -> Column:
     """Whether the scene decides whom a form means: pronouns, kinship words, bare titles and the like."""
-    return F.lower(trim(form)).isin(*dict.fromkeys((*ALIAS_STOP, *TITLE_SUFFIXES)))
+    return F.lower(F.trim(form, F.lit(" \t\n\r\f\x0B"))).isin(*dict.fromkeys((*ALIAS_STOP, *TITLE_SUFFIXES)))
 
 
 def descriptive(form: Column) -> Column:

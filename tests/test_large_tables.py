@@ -94,3 +94,39 @@ def test_a_worker_hands_out_its_changes_at_once():
     worker.last, worker.handle = Kept(), type("Handle", (), {"registerTimer": lambda self, ms: None})()
     (given,) = worker.handleInputRows((7,), iter([pd.DataFrame({"ms": [5_000, 0]}), pd.DataFrame({"ms": [500]})]), None)
     assert [tuple(r) for r in given.itertuples(index=False)] == [(7, "online", 0), (7, "offline", 1_500), (7, "online", 5_000)]
+
+
+@pytest.mark.parametrize("name", ["a16_bible_merge", "a16_bible_healing"])
+def test_a_merge_reads_its_finds_once_for_people_and_once_for_claims(spark, data, name):
+    """Both are written, so that only the speakers are still read from the orders by the last plan."""
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "o_custkey" in line for line in plan.splitlines()) == 1
+
+
+def test_a_find_comes_before_an_alias_told_in_its_place(spark):
+    from taleweave.operators import resolve
+
+    cast = spark.createDataFrame([(0, "Zo", [], [])], "pos long, name string, aliases array<string>, chapters array<long>")
+    found = spark.createDataFrame([(5, 1, "Zo lão tổ", ["Zed"])], "at long, chapter long, name string, aliases array<string>")
+    told = spark.createDataFrame([(5, "ZO", ["Ann", "Bo"])], "at long, owner string, forms array<string>")
+    said = spark.createDataFrame([], "chapter long, speaker string")
+    (row,) = resolve.upsert(cast, found, said, told).collect()
+    assert row.aliases == ["Zo lão tổ", "Ann", "Zed", "Bo"]
+
+
+def test_odd_names_have_the_keys_that_the_patterns_give(spark):
+    import re
+
+    from taleweave.functions import text as tx
+
+    space, titles = "[ \t\n\r\f\x0b]", "|".join(tx.TITLE_SUFFIXES)
+
+    def key(name):
+        s = re.sub(r"\([^(]*\)\Z", "", re.sub(f"{space}+", " ", name).strip(" ")).strip(" ").lower().strip(" ")
+        return re.sub(rf"^(.*?[^ ]) *(?:(?:{titles}) *)+\Z", r"\1", s).strip(" ")
+
+    parts = ["", " ", "\t", "A", "\x0bB  C", "(young)", "( old ) ", ")", "lão tổ", "SƯ PHỤ", "sư huynh\n", "xsư tỷ", "lão\ttổ", "y", " Hắn ", "tổ"]
+    names = [a + sep + b + end for a in parts for b in parts for sep in ("", " ", "\r\n") for end in ("", " lão tổ", " sư tỷ  (x)")]
+    got = spark.createDataFrame([(n,) for n in [*names, None]], "name string").select("name", tx.canon_key(F.col("name")).alias("key"), tx.stopped(F.col("name")).alias("stopped")).collect()
+    stop = {*tx.ALIAS_STOP, *tx.TITLE_SUFFIXES}
+    assert {r.name: (r.key, r.stopped) for r in got} == {n: (key(n), re.sub(rf"^{space}+|{space}+\Z", "", n).lower() in stop) for n in names} | {None: (None, None)}
