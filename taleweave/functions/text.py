@@ -95,9 +95,11 @@ def canon_key(name: Column) -> Column:
     for c in "\t\n\r\f\x0B":
         odd = odd | F.contains(name, F.lit(c))
     s = F.trim(F.when(odd, F.regexp_replace(name, rf"{SPACE}+", " ")).otherwise(name))
-    low = F.trim(F.lower(F.trim(F.regexp_replace(s, r"\([^(]*\)\z", ""))))
-    titles = "|".join(TITLE_SUFFIXES)
-    bare = F.trim(F.regexp_replace(low, rf"^(.*?[^ ]) *(?:(?:{titles}) *)+\z", "$1"))
+    bracket = F.endswith(s, F.lit(")")) & F.contains(s, F.lit("("))
+    s = F.when(bracket, F.left(s, F.length(s) - F.length(F.substring_index(s, "(", -1)) - 1)).otherwise(s)
+    low = F.trim(F.lower(F.trim(s)))
+    titles, heads = "|".join(TITLE_SUFFIXES), "".join(dict.fromkeys(t[0] for t in TITLE_SUFFIXES))
+    bare = F.trim(F.regexp_replace(low, rf"(?<=[^ ]) *(?=[{heads}])(?:(?:{titles}) *)+\z", ""))
     return F.when(F.substring(low, -4, 4).isin(*dict.fromkeys(t[-4:] for t in TITLE_SUFFIXES)), bare).otherwise(low)
 
 

@@ -130,3 +130,42 @@ def test_odd_names_have_the_keys_that_the_patterns_give(spark):
     got = spark.createDataFrame([(n,) for n in [*names, None]], "name string").select("name", tx.canon_key(F.col("name")).alias("key"), tx.stopped(F.col("name")).alias("stopped")).collect()
     stop = {*tx.ALIAS_STOP, *tx.TITLE_SUFFIXES}
     assert {r.name: (r.key, r.stopped) for r in got} == {n: (key(n), re.sub(rf"^{space}+|{space}+\Z", "", n).lower() in stop) for n in names} | {None: (None, None)}
+
+
+@pytest.mark.parametrize("name", ["a16_bible_merge", "a16_bible_healing"])
+def test_a_merge_keys_each_speaker_once(spark, data, name):
+    """No filter for nulls asks for the key again below the count of speakers."""
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+
+
+def test_a_speaker_without_a_name_is_no_character(spark):
+    from taleweave.operators import resolve
+
+    cast = spark.createDataFrame([(0, "(x)", [], [1]), (1, "Zo", [], [])], "pos long, name string, aliases array<string>, chapters array<long>")
+    found = spark.createDataFrame([], "at long, chapter long, name string, aliases array<string>")
+    said = spark.createDataFrame([(2, None), (3, "ZO"), (4, "(y)")], "chapter long, speaker string")
+    assert {r["name"]: r.chapters for r in resolve.upsert(cast, found, said).collect()} == {"(x)": [1, 4], "Zo": [3]}
+
+
+def test_places_of_claims_are_numbers_in_their_order(spark):
+    from decimal import Decimal
+
+    from taleweave.operators import resolve
+
+    places = [(t, at, k, told) for t in (0, 1) for at in (-(2**63), -1, 0, 5, 2**63 - 1) for k in (0, 1, 2**31 - 1) for told in (0, 1)]
+    rank = resolve._place(F.col("turn"), F.col("at"), F.col("k"), F.col("told"))
+    rows = spark.createDataFrame(places, "turn int, at long, k int, told int").withColumn("rank", rank)
+    got = rows.collect()
+    assert [tuple(r)[:4] for r in sorted(got, key=lambda r: r.rank)] == sorted(places) and len({r.rank for r in got}) == len(places)
+    assert all((r.rank < Decimal(2**96)) == (r.turn == 0) for r in got)
+    plan = rows.groupBy("k").agg(F.min("rank"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_a_line_separator_inside_a_name_does_not_keep_its_title(spark):
+    from taleweave.functions import text as tx
+
+    names = {"A B lão tổ": "a b", "A\x85B sư tỷ  (x)": "a\x85b", "(a) b (c": "(a) b (c", "A (b) (c(d)": "a (b) (c", ")": ")", "()": ""}
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.canon_key(F.col("name")).alias("key")).collect()
+    assert {r["name"]: r.key for r in got} == names
