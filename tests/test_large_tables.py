@@ -169,3 +169,24 @@ def test_a_line_separator_inside_a_name_does_not_keep_its_title(spark):
     names = {"A B lão tổ": "a b", "A\x85B sư tỷ  (x)": "a\x85b", "(a) b (c": "(a) b (c", "A (b) (c(d)": "a (b) (c", ")": ")", "()": ""}
     got = spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.canon_key(F.col("name")).alias("key")).collect()
     assert {r["name"]: r.key for r in got} == names
+
+
+@pytest.fixture
+def many_of_a_set(spark):
+    """3,000 queries and 700 entries of one set of tags, and one entry that shares nothing with a query."""
+    queries = spark.range(3_000).select(F.col("id").alias("q"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    held = spark.range(701).select("id", F.when(F.col("id") < 700, F.array(F.lit("a"))).otherwise(F.array(F.lit("z"))).alias("tags"))
+    return queries, held
+
+
+def test_pairs_are_unpacked_behind_a_shuffle_of_packs(spark, many_of_a_set):
+    """All pairs come out, in blocks of at most PACK by PACK, and no join hands pairs on."""
+    from taleweave.operators import match
+
+    queries, held = many_of_a_set
+    for pairs in (match.compatible(queries, held, [("a", "x")]), match.best_overlap(queries, held)):
+        assert pairs.count() == 700 * 3_000 == pairs.select("q", "id").distinct().count()
+        above = pairs._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)[0]
+        assert above.count("Generate explode") == 2 and "Join" not in above
+    packs = match._packs(queries.withColumn("q_set", F.lit("s")), "q_set", "qs", F.col("q"), "q").select(F.size("qs").alias("n")).collect()
+    assert sum(r.n for r in packs) == 3_000 and max(r.n for r in packs) <= match.PACK
