@@ -190,3 +190,14 @@ def test_pairs_are_unpacked_behind_a_shuffle_of_packs(spark, many_of_a_set):
         assert above.count("Generate explode") == 2 and "Join" not in above
     packs = match._packs(queries.withColumn("q_set", F.lit("s")), "q_set", "qs", F.col("q"), "q").select(F.size("qs").alias("n")).collect()
     assert sum(r.n for r in packs) == 3_000 and max(r.n for r in packs) <= match.PACK
+
+
+def test_uses_are_joined_to_entries_one_by_one(spark, many_of_a_set):
+    """A hash join built from the entries would hold all rows of a set, each with its uses, at once."""
+    from taleweave.operators import match
+
+    uses = match.reachable(*many_of_a_set)
+    join = next(line for line in uses._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert "SortMergeJoin" in join
+    rows = uses.collect()
+    assert sorted(r.id for r in rows) == list(range(700)) and all(r.uses == list(range(3_000)) for r in rows)
