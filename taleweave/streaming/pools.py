@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 STAGES = ("crawl", "digest", "render", "merge")
+#: Rows that wait are sorted this many at a time, and read back in blocks.
+RUN, BLOCK = 65_536, 1_024
 
 
 class Runs:
@@ -87,15 +91,16 @@ class Pool:
 
 class Queue:
     """Exclusive writes of one ledger in the order they were asked for. A write is (id, stages, chapters; None: all). The head
-    runs as soon as no live row of its stages and chapters is in the way; those behind a blocked head wait. A write that finds
-    its way clear when it is asked for runs at once."""
+    runs as soon as no live row of its stages and chapters is in the way; those behind a blocked head wait, as text, since
+    they may be many. A write that finds its way clear when it is asked for runs at once."""
 
     def __init__(self, kept: dict | None = None) -> None:
         kept = kept or {}
-        self.queue, self.live = kept.get("queue", []), {tuple(k): None for k in kept.get("live", [])}
+        self.queue, self.live = deque(kept.get("queue", [])), {tuple(k): None for k in kept.get("live", [])}
+        self.head = json.loads(self.queue[0]) if self.queue else None
 
     def kept(self) -> dict:
-        return {"queue": self.queue, "live": [list(k) for k in self.live]}
+        return {"queue": list(self.queue), "live": [list(k) for k in self.live]}
 
     def blockers(self, write: list) -> list[str]:
         _, stages, chapters = write
@@ -105,7 +110,8 @@ class Queue:
         rows = self.blockers(write)
         if not rows:
             return "ran", ""
-        self.queue.append(write)
+        self.queue.append(json.dumps(write))
+        self.head = self.head or write
         return "queued", summary(rows)
 
     def row(self, chapter: int, stage: str, live: bool) -> None:
@@ -117,8 +123,10 @@ class Queue:
     def tick(self) -> list[str]:
         """Ids of the writes that run now."""
         out = []
-        while self.queue and not self.blockers(self.queue[0]):
-            out.append(self.queue.pop(0)[0])
+        while self.head and not self.blockers(self.head):
+            out.append(self.head[0])
+            self.queue.popleft()
+            self.head = json.loads(self.queue[0]) if self.queue else None
         return out
 
 
@@ -128,11 +136,16 @@ def summary(rows: list[str]) -> str:
     return f"{len(rows)} row(s) in the way: {', '.join(rows)}"
 
 
+def _place(row: list) -> tuple[int, int]:
+    return row[0], row[1]
+
+
 class Ordered(StatefulProcessor):
-    """Hands the rows of a key to step() in order, once the watermark has passed them. A key has one timer, at its earliest
-    waiting row: when it runs out, all rows that are due are taken at once."""
+    """Hands the rows of a key to take() in order of (ms, seq), once the watermark has passed them. A key has one timer, at
+    its earliest waiting row: when it runs out, all rows that are due are taken at once."""
 
     out: list[str]
+    fields: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -141,16 +154,35 @@ class Ordered(StatefulProcessor):
         self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(r["ms"]), json.dumps(r, default=int)) for batch in rows for r in batch.drop(columns="ts").to_dict("records")]
+        new, first = [], None
+        for batch in rows:
+            columns = [batch[c].tolist() for c in ("ms", "seq", *self.fields)]
+            new += map(list, zip(*columns, strict=True))
+            first = min(columns[0] if first is None else [first, *columns[0]])
+            if len(new) >= RUN:
+                new = self._put_by(new)
         if new:
-            self.waiting.appendList(new)
-            first, set_for = min(ms for ms, _ in new), self.timer.get()[0] if self.timer.exists() else None
+            self.waiting.appendList([(r[0], json.dumps(r)) for r in new])
+        if first is not None:
+            set_for = self.timer.get()[0] if self.timer.exists() else None
             if set_for is None or first < set_for:
                 if set_for is not None:
                     self.handle.deleteTimer(set_for)
                 self._wait_for(first)
         yield from ()
 
+    def _put_by(self, rows: list[list]) -> list[list]:
+        """The rows that still go to the list of waiting ones."""
+        return rows
+
+    def _put_by_due(self, until: int) -> list[Iterator[list]]:
+        """Rows that were put by and are due, in order."""
+        return []
+
+    def _put_by_left(self) -> list[int]:
+        """Times of the first rows that stay put by, once those that are due have been read."""
+        return []
+
     def _wait_for(self, ms: int) -> None:
         self.handle.registerTimer(ms)
         self.timer.update((ms,))
@@ -158,59 +190,127 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs()
         every = [(x[0], x[1]) for x in self.waiting.get()]
-        due = sorted((json.loads(row) for ms, row in every if ms <= until), key=lambda r: (r["ms"], r["seq"]))
+        due = sorted((json.loads(row) for ms, row in every if ms <= until), key=_place)
         left = [(ms, row) for ms, row in every if ms > until]
+        model = self.begin(json.loads(self.state.get()[0]) if self.state.exists() else None)
+        out: list[tuple] = []
+        for row in merge(due, *self._put_by_due(until), key=_place):
+            out += self.take(model, dict(zip(("ms", "seq", *self.fields), row, strict=True)))
+            if len(out) >= BLOCK:
+                yield self._frame(key, out)
+                out = []
+        self.state.update((json.dumps(model.kept()),))
         self.waiting.clear()
         self.timer.clear()
         if left:
             self.waiting.put(left)
-            self._wait_for(min(ms for ms, _ in left))
-        if not due:
-            return
-        kept = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out, kept = self.step(due, kept)
-        self.state.update((json.dumps(kept),))
+        if later := [ms for ms, _ in left] + self._put_by_left():
+            self._wait_for(min(later))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", *self.out])
+            yield self._frame(key, out)
+
+    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["key", *self.out])
 
-    def step(self, rows: list[dict], kept: dict | None) -> tuple[list[tuple], dict]:
+    def begin(self, kept: dict | None) -> Pool | Queue:
+        raise NotImplementedError
+
+    def take(self, model: Pool | Queue, row: dict) -> list[tuple]:
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class Merged(Ordered):
+    """For logs of which much may come at once: every RUN rows of a key are put by as a sorted run, in blocks of BLOCK rows,
+    and the runs are merged block by block. A task holds a run while rows come in and a block of each run while they are
+    handed on, not the log of a key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.blocks = handle.getMapState("blocks", StructType([StructField("run", LongType()), StructField("block", LongType())]), StructType([StructField("rows", StringType())]))
+        self.runs = handle.getValueState("runs", StructType([StructField("runs", StringType())]))
+
+    def _waiting_runs(self) -> list[list[int]]:
+        """Number, first block, number of blocks and first ms of each run."""
+        return json.loads(self.runs.get()[0]) if self.runs.exists() else []
+
+    def _put_by(self, rows: list[list]) -> list[list]:
+        rows.sort(key=_place)
+        runs, starts = self._waiting_runs(), range(0, len(rows), BLOCK)
+        number = runs[-1][0] + 1 if runs else 0
+        for k, at in enumerate(starts):
+            self.blocks.updateValue((number, k), (json.dumps(rows[at : at + BLOCK]),))
+        self.runs.update((json.dumps([*runs, [number, 0, len(starts), rows[0][0]]]),))
+        return []
+
+    def _put_by_due(self, until: int) -> list[Iterator[list]]:
+        self.reading = self._waiting_runs()
+        return [self._read(run, until) for run in self.reading]
+
+    def _read(self, run: list[int], until: int) -> Iterator[list]:
+        """The rows of a run up to a time. Blocks that are read go, and the run begins with what is left."""
+        while run[1] < run[2]:
+            place = (run[0], run[1])
+            rows = json.loads(self.blocks.getValue(place)[0])
+            n = bisect_right(rows, until, key=lambda r: r[0])
+            yield from rows[:n]
+            if n < len(rows):
+                run[3] = rows[n][0]
+                if n:
+                    self.blocks.updateValue(place, (json.dumps(rows[n:]),))
+                return
+            self.blocks.removeKey(place)
+            run[1] += 1
+
+    def _put_by_left(self) -> list[int]:
+        left = [run for run in self.reading if run[1] < run[2]]
+        self.runs.update((json.dumps(left),))
+        return [run[3] for run in left]
+
+
 class PoolLog(Ordered):
     out = ["seq", "start", "count"]
+    fields = ["kind", "n"]
 
     def __init__(self, size: int, lease: int) -> None:
         self.size, self.lease = size, lease
 
-    def step(self, rows: list[dict], kept: dict | None) -> tuple[list[tuple], dict]:
-        pool, out = Pool(self.size, self.lease, kept), []
-        for r in rows:
-            if r["kind"] == "ask":
-                got = pool.ask(r["ms"], r["n"]) or (-1, 0)
-                out.append((r["seq"], *got))
-            elif r["kind"] == "submit":
-                pool.submit(r["n"])
-        return out, pool.kept()
+    def begin(self, kept: dict | None) -> Pool:
+        return Pool(self.size, self.lease, kept)
+
+    def take(self, model: Pool, row: dict) -> list[tuple]:
+        if row["kind"] == "ask":
+            return [(row["seq"], *(model.ask(row["ms"], row["n"]) or (-1, 0)))]
+        if row["kind"] == "submit":
+            model.submit(row["n"])
+        return []
 
 
 class QueueLog(Ordered):
     out = ["seq", "id", "outcome", "blocked"]
+    fields = ["kind", "write", "chapter", "stage"]
+
+    def begin(self, kept: dict | None) -> Queue:
+        return Queue(kept)
+
+    def take(self, model: Queue, row: dict) -> list[tuple]:
+        if row["kind"] == "write":
+            write = json.loads(row["write"])
+            return [(row["seq"], write[0], *model.ask(write))]
+        if row["kind"] == "tick":
+            return [(row["seq"], i, "ran", "") for i in model.tick()]
+        model.row(row["chapter"], row["stage"], row["kind"] == "live")
+        return []
+
+
+class PoolRuns(Merged, PoolLog):
+    pass
+
 
-    def step(self, rows: list[dict], kept: dict | None) -> tuple[list[tuple], dict]:
-        queue, out = Queue(kept), []
-        for r in rows:
-            if r["kind"] == "write":
-                write = json.loads(r["write"])
-                out.append((r["seq"], write[0], *queue.ask(write)))
-            elif r["kind"] == "tick":
-                out += [(r["seq"], i, "ran", "") for i in queue.tick()]
-            else:
-                queue.row(r["chapter"], r["stage"], r["kind"] == "live")
-        return out, queue.kept()
+class QueueRuns(Merged, QueueLog):
+    pass
 
 
 def _ordered(log: DataFrame, processor: Ordered, kind: str, late: str) -> DataFrame:
@@ -222,11 +322,11 @@ def pool_leases(log: DataFrame, size: int, lease_seconds: int = 180, late: str =
     """log: key (pool), seq (order among equal times), ts, kind (ask, submit), n (chunks wanted, or the chunk that is home).
     Returns key, seq, start, count of every ask; -1 and 0 if nothing is left."""
     own = log.select("key", F.col("seq").cast("long").alias("seq"), "ts", "kind", F.col("n").cast("long").alias("n"))
-    return _ordered(own, PoolLog(size, lease_seconds * 1000), "key long, seq long, start long, count long", late)
+    return _ordered(own, PoolRuns(size, lease_seconds * 1000), "key long, seq long, start long, count long", late)
 
 
 def write_queue(log: DataFrame, late: str = "10 minutes") -> DataFrame:
     """log: key (ledger), seq, ts, kind (write, live, free, tick), write (JSON: id, stages, chapters or null), chapter, stage.
     Returns key, seq, id, outcome (ran, queued) and, of queued ones, what is in the way."""
     own = log.select("key", F.col("seq").cast("long").alias("seq"), "ts", "kind", "write", F.coalesce("chapter", F.lit(-1)).cast("long").alias("chapter"), F.coalesce("stage", F.lit("")).alias("stage"))
-    return _ordered(own, QueueLog(), "key long, seq long, id string, outcome string, blocked string", late)
+    return _ordered(own, QueueRuns(), "key long, seq long, id string, outcome string, blocked string", late)

@@ -255,3 +255,67 @@ def test_a_key_has_one_timer(monkeypatch):
     assert list(log.handleInputRows((1,), iter([rows[:50], rows[50:]]), None)) == [] and handle.timers == [1000]
     out = list(log.handleExpiredTimer((1,), Now(), None))
     assert len(out) == 1 and len(out[0]) == 50 and handle.timers == [1000, 1050] and len(list(log.waiting.get())) == 50
+
+
+def test_a_long_log_waits_in_sorted_runs(monkeypatch):
+    """Rows that come at once are put by in blocks, few of them are read at a time, and what is not due stays, over two timers."""
+    import pandas as pd
+
+    class Value:
+        x = None
+        exists = lambda self: self.x is not None
+        get = lambda self: self.x
+        update = lambda self, x: setattr(self, "x", x)
+        clear = lambda self: setattr(self, "x", None)
+
+    class Many:
+        def __init__(self):
+            self.x = []
+
+        get = lambda self: iter(self.x)
+        appendList = lambda self, x: self.x.extend(x)  # noqa: E731, N815
+        put = lambda self, x: setattr(self, "x", list(x))
+        clear = lambda self: setattr(self, "x", [])
+
+    class Blocks(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__  # noqa: N815
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.blocks = [], Blocks()
+
+        getListState = lambda self, *a: Many()  # noqa: E731, N815
+        getValueState = lambda self, *a: Value()  # noqa: E731, N815
+        getMapState = lambda self, *a: self.blocks  # noqa: E731, N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+        deleteTimer = lambda self, ms: self.timers.remove(ms)  # noqa: E731, N815
+
+    def now(until):
+        return type("Now", (), {"getCurrentWatermarkInMs": lambda self: until})()
+
+    monkeypatch.setattr(pools, "RUN", 100)
+    monkeypatch.setattr(pools, "BLOCK", 8)
+    r = random.Random(3)
+    rows = [(1_000 + r.randrange(3_000), k, r.choice(["ask", "ask", "submit"]), r.randrange(1, 6)) for k in range(730)]
+    log, handle = pools.PoolRuns(300, 400), Handle()
+    log.init(handle)
+    frame = pd.DataFrame(rows, columns=["ms", "seq", "kind", "n"])
+    assert list(log.handleInputRows((1,), iter([frame[k : k + 50] for k in range(0, 730, 50)]), None)) == []
+    assert len(list(log.waiting.get())) == 30 and len(handle.blocks) == 7 * 13 and handle.timers == [min(x[0] for x in rows)]
+    frames = list(log.handleExpiredTimer((1,), now(2_500), None))
+    assert handle.timers[-1] == min(x[0] for x in rows if x[0] > 2_500) and 0 < len(handle.blocks) < 7 * 13
+    frames += log.handleExpiredTimer((1,), now(9_000), None)
+    assert not handle.blocks and not list(log.waiting.get()) and max(map(len, frames)) <= 8
+    want = simulated_pool([(ms, k, kind, n) for ms, k, kind, n in rows], 300, 400)
+    assert {x.seq: (x.start, x.count_) for f in frames for x in f.rename(columns={"count": "count_"}).itertuples()} == want
+
+
+def test_queries_put_long_logs_by(spark):
+    assert issubclass(pools.PoolRuns, pools.Merged) and issubclass(pools.QueueRuns, pools.Merged)
+    queue = pools.Queue()
+    queue.row(1, "crawl", True)
+    for k in range(3):
+        assert queue.ask([f"w{k}", ["crawl"], None])[0] == "queued"
+    again = pools.Queue(json.loads(json.dumps(queue.kept())))
+    again.row(1, "crawl", False)
+    assert [type(x) for x in queue.queue] == [str] * 3 and again.tick() == ["w0", "w1", "w2"] and again.tick() == []
