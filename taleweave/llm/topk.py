@@ -5,7 +5,7 @@ for q < 0 it scores |q| * (high - x), with low and high the shard's extremes of
 negative, and the sum differs from the inner product by a constant of the query. Each shard keeps its vectors by
 component, so a term's postings are one contiguous row. For a query the terms are sorted by their bounds
 |q| * (high - low); the longest prefix of small bounds whose sum cannot lift a vector over the k-th best score so far is
-non-essential. The postings of the essential terms are traversed whole; the rest are probed, largest bound first, only
+non-essential. The postings of the essential terms are traversed whole, for some queries at once; the rest are probed, largest bound first, only
 for vectors that can still compete, ties included. Shards give k rows each and a window merges them.
 
 Queries and shards meet in blocks of bounded size, one task row per (shard, query block); only the query blocks are sent to
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from taleweave.scratch import written
 
 SHARD_ROWS, QUERY_ROWS = 4096, 1024
+#: Queries whose essential terms are traversed together.
+AT_ONCE = 64
 #: Inner products of doubles are exact up to here.
 EXACT = float(2**53)
 
@@ -46,20 +48,40 @@ class Shard:
         self.postings = (self.rows - self.low[:, None]).astype(np.float64)
         self.span = (self.high - self.low).astype(np.float64)
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
-        """The k best (score, id), best first, ties to the smaller id; those below floor may be missing."""
-        q = query.astype(np.float64)
-        if self.peak * np.abs(q).sum() * 2 >= EXACT:
-            return self._plain(query, own, k)
-        bound = np.abs(q) * self.span
-        base = float(q @ np.where(q > 0, self.low, self.high))
-        flip = np.where(q < 0, np.abs(q) * self.span, 0.0)
-        order = np.argsort(bound)
-        reach = np.cumsum(bound[order])
-        need = floor - base
-        cut = int(np.searchsorted(reach, need, side="left"))
-        essential = order[cut:]
-        alive, part = np.arange(len(self.ids)), q[essential] @ self.postings[essential] + flip[essential].sum()
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of the k best for each query, best first, ties to the smaller id. queries: (rows, dims) of
+        integers, own: their ids. The essential terms of a few queries at a time are traversed as one matrix product."""
+        out: list[tuple[int, int, int]] = []
+        first = max(k + 1, len(self.ids) // 16)
+        sample, sampled = self.rows[:, :first].astype(np.float64), self.ids[:first]
+        for at in range(0, len(own), AT_ONCE):
+            q, ids = queries[at : at + AT_ONCE].astype(np.float64), own[at : at + AT_ONCE].tolist()
+            large = self.peak * np.abs(q).sum(axis=1) * 2 >= EXACT
+            floors = np.full(len(ids), -np.inf)
+            for n, seen in enumerate(q @ sample):  # full scores of a few rows: a first k-th best, own row aside
+                seen = seen[sampled != ids[n]]
+                floors[n] = np.partition(seen, -k)[-k] if len(seen) >= k else -np.inf
+            bound = np.abs(q) * self.span
+            base = np.where(q > 0, q * self.low, q * self.high).sum(axis=1)
+            flip = np.where(q < 0, bound, 0.0)
+            order = np.argsort(bound, axis=1)
+            reach = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+            cuts = (reach < (floors - base)[:, None]).sum(axis=1)
+            essential = np.empty(q.shape, bool)
+            np.put_along_axis(essential, order, np.arange(q.shape[1]) >= cuts[:, None], axis=1)
+            parts = np.where(essential, q, 0.0) @ self.postings + np.where(essential, flip, 0.0).sum(axis=1)[:, None]
+            for n, i in enumerate(ids):
+                if large[n]:
+                    best = self._plain(queries[at + n], i, k)
+                else:
+                    best = self._probed(q[n], i, k, floors[n] - base[n], parts[n], order[n, : cuts[n]], reach[n], flip[n], base[n])
+                out += [(i, x, s) for s, x in best]
+        return out
+
+    def _probed(self, q: np.ndarray, own: int, k: int, need: float, part: np.ndarray, order: np.ndarray, reach: np.ndarray, flip: np.ndarray, base: float) -> list[tuple[int, int]]:
+        """The k best (score, id) by the sums of the essential terms and, for rows that can still compete, of the others
+        (order: ascending bounds, whose running sums reach has)."""
+        alive, cut = np.arange(len(self.ids)), len(order)
         mine = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
         if mine.start < mine.stop:  # the query's own rows do not count among the k
             alive, part = np.delete(alive, mine), np.delete(part, mine)
@@ -71,7 +93,11 @@ class Shard:
             if not keep.all():
                 alive, part = alive[keep], part[keep]
             probe = order[max(0, at - 7) : at + 1]
-            part = part + q[probe] @ self.postings[probe[:, None], alive] + flip[probe].sum()
+            if 8 * len(alive) > len(self.ids):  # whole rows are read faster than many single places
+                more = (q[probe] @ self.postings[probe])[alive]
+            else:
+                more = q[probe] @ self.postings[probe[:, None], alive]
+            part = part + more + flip[probe].sum()
             left = reach[at - 8] if at >= 8 else 0.0
         return self._best(part + base, self.ids[alive], k)
 
@@ -118,21 +144,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     shards = written(_blocks(spread(vectors, n_shards), "part"), "topk-shards").withColumnRenamed("block", "shard")
     blocks = written(_blocks(spread(queries, n_blocks), "part"), "topk-queries")
     sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    pairs = shards.join(sent, ["shard", "dims"]).select("dims", "ids", "vectors", "qids", "qvectors")
+    # the planner takes sent for as small as blocks, and would gather one copy for each shard in the driver to broadcast them
+    pairs = shards.join(sent.hint("merge"), ["shard", "dims"]).select("dims", "ids", "vectors", "qids", "qvectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dims, ids, data, qids, qdata in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own_ids, asked = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
                 shard = Shard(own_ids, np.frombuffer(data, "<i8").reshape(len(own_ids), dims))
-                out: list[tuple[int, int, int]] = []
-                first = max(k + 1, len(shard.ids) // 16)
-                sample = shard.rows[:, :first].astype(np.float64)
-                for q, query in zip(asked.tolist(), np.frombuffer(qdata, "<i8").reshape(len(asked), dims), strict=True):
-                    seen = query.astype(np.float64) @ sample  # full scores of a few rows: a first k-th best, own row aside
-                    seen = seen[shard.ids[:first] != q]
-                    floor = float(np.partition(seen, -k)[-k]) if len(seen) >= k else -np.inf
-                    out += [(q, i, s) for s, i in shard.search(query, q, k, floor)]
+                out = shard.search(np.frombuffer(qdata, "<i8").reshape(len(asked), dims), asked, k)
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, id long, score long")

@@ -63,3 +63,11 @@ def test_one_id_on_most_rows(spark):
     vectors = frame(spark, rows)
     got = topk.top_k(vectors, frame(spark, [(50, [9, 3]), (100, [0, 1])]), 5, shard_rows=5_000)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, [(50, [9, 3]), (100, [0, 1])], 5)
+
+
+def test_queries_are_not_broadcast(spark):
+    """They are sent to every shard, and the planner does not see that this multiplies them: a broadcast would gather all in the driver."""
+    rows = [(i, [i % 7, 3]) for i in range(300)]
+    got = topk.top_k(frame(spark, rows), frame(spark, rows).where("id % 50 = 0"), 5, shard_rows=20, query_rows=2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
